@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontaminate, language_id, ngram_join, token_output
+from logweave.llm import decontaminate, language_id, mixing, ngram_join, token_output
 from logweave.llm.common import table, written
-from logweave.llm.queries import END_ID, vocabulary
+from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,23 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti").select(*names)
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing to the target token shares: each document appears as often as its rate says."""
+    rated = mixing.mix(docs.select("doc_id", "text"), domain_labels(spark, sf_dir), TARGETS)
+    return mixing.apply_copies(docs, rated)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-ID output: the files are written, and each document is returned as they give it back."""
+    return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID))
+
+
 STAGES = [
     ("language id", keep_languages),
     ("n-gram jaccard join", keep_one_of_near),
     ("benchmark decontamination", decontaminated),
+    ("mixing to target weights", mixed),
+    ("token-id output", tokenised),
 ]
 
 #: Near-duplicate components, the classifier and the fitted rates are iterative: no SQL.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, secret_scan, token_output, toxicity
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, token_output, toxicity
 from .common import id_crc, table
 
 
@@ -18,6 +18,32 @@ def vocabulary() -> str:
 END_ID = 1
 
 
+#: Target token shares by domain of the mixing query and stage.
+TARGETS = {"good": 0.86, "poor": 0.12, "toxic": 0.02}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label table as domains: toxic before quality; one row an id."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("domain"))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), domain_labels(spark, sf_dir), TARGETS)
+    names = sorted(TARGETS)
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(names)], "rate", "copies")
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_shards(table(spark, sf_dir, "documents"), vocabulary(), END_ID)
     return token_output.read_back(manifest)
@@ -95,8 +121,8 @@ FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_output, op4_ngram_join, op5_toxicity, op6_decontaminate, op7_exact_dedup, op8_secret_scan, op9_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_ngram_join, op5_toxicity, op6_decontaminate, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_join": SQL4, "op6_decontaminate": SQL6, "op7_exact_dedup": SQL7}
+    return {"op1_license_scan": license_scan.oracle(), "op2_line_dedup": line_dedup.oracle(), "op4_ngram_join": SQL4, "op6_decontaminate": SQL6, "op7_exact_dedup": SQL7}
