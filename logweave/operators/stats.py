@@ -1,0 +1,149 @@
+"""Session statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as P
+from ..functions.presets import Preset
+from ..functions.schemas import KEY, ROLES
+from .slicing import page_count
+
+# Tools that modify the file they name.
+FILE_TOOLS = ("Edit", "Write", "Create", "NotebookEdit")
+# Sources whose tools never count errors.
+NO_ERRORS = ("gemini", "copilot", "opencode", "kiro")
+#: Sources that attribute an error to the latest earlier call (J2); the others to the last name of an id.
+AS_OF = ("codex",)
+
+
+def role_counts(messages: DataFrame) -> DataFrame:
+    """A1."""
+    return messages.groupBy(*KEY).agg(F.count("*").alias("total_messages"), *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ROLES])
+
+
+def exploded(messages: DataFrame) -> DataFrame:
+    """One row a block: key, idx, bpos, role, and the block's fields."""
+    return messages.select(*KEY, "idx", "role", F.posexplode("blocks").alias("bpos", "b")).select(*KEY, "idx", "bpos", "role", "b.*")
+
+
+def block_types(messages: DataFrame) -> DataFrame:
+    """A2, one row a (session, type)."""
+    return exploded(messages).groupBy(*KEY, "type").agg(F.count("*").alias("n"))
+
+
+def block_type_map(messages: DataFrame) -> DataFrame:
+    """A2."""
+    return block_types(messages).groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_block_type"))
+
+
+def attributed_errors(messages: DataFrame) -> DataFrame:
+    """(key, name, errors): error results by the last tool that used their id within the session. Empty ids are left out."""
+    blocks = exploded(messages)
+    uses = blocks.where((F.col("type") == "tool_use") & (P.truthy("id").isNotNull())).groupBy(*KEY, "id").agg(F.max_by("name", F.struct("idx", "bpos")).alias("name"))
+    results = blocks.where((F.col("type") == "tool_result") & F.col("is_error") & P.truthy("tool_use_id").isNotNull() & (F.col("role") == "tool_result"))
+    errors = results.groupBy(*KEY, F.col("tool_use_id").alias("id")).agg(F.count("*").alias("errors"))
+    return uses.join(errors, [*KEY, "id"]).groupBy(*KEY, "name").agg(F.sum("errors").alias("errors"))
+
+
+def attributed_errors_as_of(messages: DataFrame) -> DataFrame:
+    """Error results by the latest earlier call with their id; no join, one window."""
+    blocks = exploded(messages).where(F.col("type").isin("tool_use", "tool_result"))
+    call = F.coalesce("id", "tool_use_id")
+    last = F.last(F.when(F.col("type") == "tool_use", F.col("name")), ignorenulls=True).over(Window.partitionBy(*KEY, "call").orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1))
+    named = blocks.withColumn("call", call).withColumn("tool", last)
+    return named.where((F.col("type") == "tool_result") & F.col("is_error") & F.col("tool").isNotNull()).groupBy(*KEY, F.col("tool").alias("name")).agg(F.count("*").alias("errors"))
+
+
+def tool_counts(messages: DataFrame) -> DataFrame:
+    """A3, one row a (session, tool): count, errors, first place. How errors are attributed depends on the source."""
+    uses = exploded(messages).where("type = 'tool_use'").groupBy(*KEY, "name").agg(F.count("*").alias("count"), F.min(F.struct("idx", "bpos")).alias("first"))
+    late = messages.where(F.col("source").isin(*AS_OF))
+    plain = messages.where(~F.col("source").isin(*AS_OF, *NO_ERRORS))
+    errors = attributed_errors(plain).unionByName(attributed_errors_as_of(late))
+    return uses.join(errors, [*KEY, "name"], "left").select(*KEY, "name", "count", F.coalesce("errors", F.lit(0).cast("bigint")).alias("errors"), "first")
+
+
+def tool_frequency(messages: DataFrame) -> DataFrame:
+    """A3: array ordered by count, then first appearance."""
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "first", "name", "count", "errors")))
+    return tool_counts(messages).groupBy(*KEY).agg(ordered.alias("t")).select(*KEY, F.transform("t", lambda x: F.struct(x["name"].alias("name"), x["count"].alias("count"), x["errors"].alias("errors"))).alias("tool_frequency"))
+
+
+def corpus_tool_frequency(messages: DataFrame) -> DataFrame:
+    """A4: over all sessions; hot names are summed before they are shuffled."""
+    return tool_counts(messages).groupBy("name").agg(F.sum("count").alias("count"), F.sum("errors").alias("errors"), F.count("*").alias("sessions"))
+
+
+def token_usage(usage: DataFrame) -> DataFrame:
+    """A5: sums per session; null if neither input nor output is ever above 0; cache sums of 0 are null."""
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    sums = usage.groupBy(*KEY).agg(add("input"), add("output"), add("cache_read"), add("cache_creation"))
+    has = (F.col("input") != 0) | (F.col("output") != 0)
+    return sums.select(*KEY, F.when(has, F.struct("input", "output", F.nullif("cache_read", F.lit(0)).alias("cache_read"), F.nullif("cache_creation", F.lit(0)).alias("cache_creation"))).alias("token_usage"))
+
+
+def usage_deltas(counters: DataFrame, order: str = "line_no") -> DataFrame:
+    """``counters`` has nullable structs ``last`` and ``total`` of (input, cached, output); returns usage rows.
+
+    Usage is ``last``, else the total less the previous non-null total, no field below 0. Cached tokens are at most
+    the input and are taken off it; rows of zeros are skipped.
+    """
+    before = F.last("total", ignorenulls=True).over(Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = counters.withColumn("_before", before)
+    def field(f: str) -> Column:
+        return F.when(F.col("last").isNotNull(), F.col("last")[f]).otherwise(F.greatest(F.col("total")[f] - F.coalesce(F.col("_before")[f], F.lit(0)), F.lit(0)))
+    rows = rows.where("last is not null or total is not null").select(*KEY, order, field("input").alias("i"), field("cached").alias("c"), field("output").alias("output"))
+    cache = F.least("c", "i")
+    out = rows.select(*KEY, order, F.greatest(F.col("i") - cache, F.lit(0)).alias("input"), "output", cache.alias("cache_read"))
+    return out.where("input != 0 or output != 0 or cache_read != 0")
+
+
+def files_modified(messages: DataFrame) -> DataFrame:
+    """A7 for file tools: distinct ``file_path`` arguments, sorted."""
+    uses = exploded(messages).where((F.col("type") == "tool_use") & F.col("name").isin(*FILE_TOOLS))
+    path = P.text_at(F.try_parse_json("input_json"), "$.file_path")
+    return uses.select(*KEY, path.alias("f")).where("f is not null").groupBy(*KEY).agg(F.array_sort(F.collect_set("f")).alias("files_modified"))
+
+
+def patched_files(messages: DataFrame) -> DataFrame:
+    """A7 for patches: files in the order in which they are first seen."""
+    uses = exploded(messages).where((F.col("type") == "tool_use") & (F.col("name") == "apply_patch"))
+    patch = P.text_at(F.try_parse_json("input_json"), "$.input")
+    files = uses.select(*KEY, "idx", F.posexplode(P.patch_files(patch)).alias("at", "f")).groupBy(*KEY, "f").agg(F.min(F.struct("idx", "at")).alias("first"))
+    return files.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "f"))).alias("t")).select(*KEY, F.col("t.f").alias("files_modified"))
+
+
+def durations(messages: DataFrame) -> DataFrame:
+    """Last less first message in order, if there are two and it is above 0."""
+    sums = messages.groupBy(*KEY).agg(F.count("*").alias("n"), (F.unix_millis(F.max_by("ts", "idx")) - F.unix_millis(F.min_by("ts", "idx"))).alias("ms"))
+    return sums.select(*KEY, F.when((F.col("n") >= 2) & (F.col("ms") > 0), F.col("ms")).alias("duration_ms"))
+
+
+def session_tokens(messages: DataFrame, p: Preset | None = None) -> DataFrame:
+    """A9."""
+    return messages.select(*KEY, P.message_tokens("blocks", p).alias("t")).groupBy(*KEY).agg(F.sum("t").alias("tokens"))
+
+
+def match_counts(messages: DataFrame, query: str) -> DataFrame:
+    """Messages per session that hold the query in any case; sessions without are absent."""
+    return messages.where(F.contains(F.lower("content"), F.lower(F.lit(query)))).groupBy(*KEY).agg(F.count("*").alias("matches"))
+
+
+def session_stats(messages: DataFrame, usage: DataFrame | None = None, durations_ms: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """One row a session. ``durations_ms`` and ``files`` replace what the messages tell, for sources that say so."""
+    key = list(KEY)
+    edited = files if files is not None else files_modified(messages.where(~F.col("source").isin(*AS_OF))).unionByName(patched_files(messages.where(F.col("source").isin(*AS_OF))))
+    out = role_counts(messages).join(block_type_map(messages), key, "left").join(tool_frequency(messages), key, "left").join(edited, key, "left").join(durations_ms if durations_ms is not None else durations(messages), key, "left")
+    if usage is not None:
+        out = out.join(token_usage(usage), key, "left")
+    else:
+        out = out.withColumn("token_usage", F.lit(None).cast("struct<input:bigint,output:bigint,cache_read:bigint,cache_creation:bigint>"))
+    return out.withColumn("tool_frequency", F.coalesce("tool_frequency", F.array().cast("array<struct<name:string,count:bigint,errors:bigint>>"))).withColumn("files_modified", F.coalesce("files_modified", F.array().cast("array<string>")))
+
+
+def session_info(stats: DataFrame, tokens: DataFrame, budget: int = 4000) -> DataFrame:
+    """Counts, tokens, pages, duration text and role shares."""
+    rows = stats.join(tokens, list(KEY))
+    return rows.select(*KEY, "total_messages", *[f"n_{r}" for r in ROLES], F.col("tokens").alias("total_tokens"), page_count("tokens", "total_messages", budget).alias("pages"), P.duration_text("duration_ms").alias("duration"), *[P.share_percent(f"n_{r}", "total_messages").alias(f"pct_{r}") for r in ROLES])
