@@ -10,7 +10,7 @@ sequence is found by arithmetic. A table beside the files says in which shard ea
 Tasks write a file under a name of their own and rename it, so a task that runs twice leaves one whole file.
 
 Encoding is exact and cheap: the vocabulary's pre-tokeniser never crosses ASCII white space, so the library
-encodes each distinct chunk between white space once and its ids are kept (in a bounded table).
+encodes distinct chunks between white space and their ids are kept in a bounded table (``ChunkEncoder``).
 
 Edge cases: null text counts as empty and gives the end id alone; a null id sorts first; repeated ids keep
 all rows, in order of text; an empty table writes no shard; other columns are not read.
@@ -19,7 +19,9 @@ all rows, in order of text; an empty table writes no shard; other columns are no
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,32 +34,76 @@ from .common import scratch, written
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
-#: Chunks whose ids a task keeps; beyond that it starts anew.
-KEPT_CHUNKS = 200_000
-#: Documents' ids handed back at once by a reader.
+#: Chunks whose ids a worker keeps; beyond that it starts anew with the next batch.
+KEPT_CHUNKS = 1_000_000
 MANIFEST = "shard int, path string, doc_id long, first long, n_tokens long"
 
 
-class ChunkEncoder(dict):
-    """Ids of a text, as little-endian bytes, from the ids of its chunks between ASCII white space."""
+#: Marks of special tokens, which are found before letters are made lower case.
+SPECIAL_MARK = b"<|"
+#: ASCII marks that stand apart from a word they follow.
+TRAILING = b".,;:!?%&$#*"
+
+
+class ChunkEncoder:
+    """Ids of texts, as little-endian bytes, from the ids of their chunks between ASCII white space.
+
+    The vocabulary's normaliser makes letters lower case, and its pre-tokeniser neither crosses white space nor
+    joins a letter with the marks after it. So the chunks that a batch adds to the kept ones are looked up in lower case,
+    without trailing marks, and only the distinct new ones go to the library.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        if len(chunk) <= 40:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
+        self.kept: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def chunks(text: str) -> list[bytes]:
+        raw = text.encode("utf-8")
+        if SPECIAL_MARK in raw:
+            return [c if SPECIAL_MARK in c else c.lower() for c in raw.split()]
+        return raw.lower().split()
+
+    @staticmethod
+    def parts(chunk: bytes) -> tuple[bytes, ...]:
+        """The chunk, or its word and the marks behind it."""
+        word = chunk.rstrip(TRAILING)
+        if len(word) == len(chunk) or not word or SPECIAL_MARK in chunk:
+            return (chunk,)
+        if not (word[-1:].isalpha() or word[-1] >= 0x80 and word.decode("utf-8")[-1].isalpha()):
+            return (chunk,)
+        return word, chunk[len(word) :]
+
+    def learn(self, new: set[bytes]) -> None:
+        split = [(c, p) for c in new if len(p := self.parts(c)) > 1]
+        pieces = list((new.difference(c for c, _ in split) | {x for _, p in split for x in p}).difference(self.kept))
+        code = "H" if self.kind.itemsize == 2 else "I"
+        for a in range(0, len(pieces), 50_000):
+            part = pieces[a : a + 50_000]
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
+            self.kept.update((p, array(code, e.ids).tobytes()) for p, e in zip(part, found))
+        self.kept.update((c, self.kept[word] + self.kept[marks]) for c, (word, marks) in split)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [self.chunks(t) for t in texts]
+        if len(self.kept) > KEPT_CHUNKS:
+            self.kept = {}
+        if new := set(chain.from_iterable(split)).difference(self.kept):
+            self.learn(new)
+        return [b"".join(map(self.kept.__getitem__, chunks)) for chunks in split]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(tokenizer_path: str) -> ChunkEncoder:
+    """One encoder a worker process: its kept chunks serve all its tasks."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS[tokenizer_path] = ChunkEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -77,7 +123,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str
 
         context = TaskContext.get()
         shard = context.partitionId()
-        encode = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         end = np.array([end_id], dtype=encode.kind).tobytes()
         store, root = _store(out_dir)
         store.create_dir(root, recursive=True)
@@ -95,7 +141,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str
             writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=schema))
 
         for batch in batches:
-            ids = [encode(t or "") + end for t in batch.column("text").to_pylist()]
+            ids = [x + end for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             if not ids:
                 continue
             if writer is None:
