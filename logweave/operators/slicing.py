@@ -18,7 +18,9 @@ from ..functions import scalars as P
 from ..functions.presets import Preset, preset
 from ..functions.schemas import KEY
 
-_session = Window.partitionBy(*KEY)
+
+def _session():
+    return Window.partitionBy(*KEY)
 
 
 def by_role(messages: DataFrame, roles: str | list[str] | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def by_role(messages: DataFrame, roles: str | list[str] | None = None) -> DataFr
 
 def with_position(messages: DataFrame) -> DataFrame:
     """``pos``: 1-based place in the (filtered) list of the session."""
-    return messages.withColumn("pos", F.row_number().over(_session.orderBy("idx")))
+    return messages.withColumn("pos", F.row_number().over(_session().orderBy("idx")))
 
 
 def in_range(positioned: DataFrame, totals: DataFrame, first: int | None = None, last: int | None = None, before: int | None = None, after: int | None = None) -> DataFrame:
@@ -75,14 +77,14 @@ def ranked(rows: DataFrame, anchor: str = "head") -> DataFrame:
     so on, and on one side when the other is used up: back d is the (d + min(d - 1, after))-th step, forward d the
     (d + min(d, before))-th.
     """
-    rows = rows.withColumn("pos", F.row_number().over(_session.orderBy("idx"))).withColumn("n", F.count("*").over(_session))
+    rows = rows.withColumn("pos", F.row_number().over(_session().orderBy("idx"))).withColumn("n", F.count("*").over(_session()))
     if anchor == "head":
         return rows.withColumn("rank", F.col("pos") - 1)
     if anchor == "tail":
         return rows.withColumn("rank", F.col("n") - F.col("pos"))
     if anchor != "search":
         raise ValueError(f"unknown anchor {anchor!r}")
-    center = F.coalesce(F.min(F.when(F.col("hit"), F.col("pos"))).over(_session), F.col("n"))
+    center = F.coalesce(F.min(F.when(F.col("hit"), F.col("pos"))).over(_session()), F.col("n"))
     back, forward = F.col("center") - F.col("pos"), F.col("pos") - F.col("center")
     before, after = F.col("center") - 1, F.col("n") - F.col("center")
     rank = F.when(back > 0, back + F.least(back - 1, after)).when(forward > 0, forward + F.least(forward, before)).otherwise(0)
@@ -91,14 +93,14 @@ def ranked(rows: DataFrame, anchor: str = "head") -> DataFrame:
 
 def within_budget(rows: DataFrame, budget: int | Column) -> DataFrame:
     """The first visited message, and further ones while the running cost fits."""
-    running = F.sum("cost").over(_session.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("cost").over(_session().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_run", running).where((F.col("rank") == 0) | (F.col("_run") <= budget)).drop("_run")
 
 
 def trim_to_assistant(rows: DataFrame) -> DataFrame:
     """Cut after the slice's last assistant message, if at least half of the slice remains."""
-    last = F.max(F.when(F.col("role") == "assistant", F.col("pos"))).over(_session)
-    first, n = F.min("pos").over(_session), F.count("*").over(_session)
+    last = F.max(F.when(F.col("role") == "assistant", F.col("pos"))).over(_session())
+    first, n = F.min("pos").over(_session()), F.count("*").over(_session())
     marked = rows.withColumn("_last", last).withColumn("_keep", F.col("_last") - first + 1).withColumn("_n", n)
     return marked.where(F.col("_last").isNull() | (2 * F.col("_keep") < F.col("_n")) | (F.col("pos") <= F.col("_last"))).drop("_last", "_keep", "_n")
 
@@ -158,9 +160,9 @@ def assign_pages(rows: DataFrame, budget: int) -> DataFrame:
 def read_page(messages: DataFrame, page: int, budget: int, p: str | Preset | None = None) -> DataFrame:
     """Rows of the page (held between the first and the last), cut after its last assistant."""
     rows = assign_pages(costed(messages, p), budget)
-    pages = F.max("page").over(_session)
+    pages = F.max("page").over(_session())
     rows = rows.withColumn("pages", pages).where(F.col("page") == F.least(F.greatest(F.lit(page), F.lit(1)), F.col("pages")))
-    return trim_to_assistant(rows.withColumn("pos", F.row_number().over(_session.orderBy("idx"))))
+    return trim_to_assistant(rows.withColumn("pos", F.row_number().over(_session().orderBy("idx"))))
 
 
 def page_meta(listed: DataFrame, chosen: DataFrame, budget: int) -> DataFrame:
