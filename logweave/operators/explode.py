@@ -67,7 +67,7 @@ def _groups(blocks: Column, flushes, role: Column | str, results_first: bool, th
     def part(start: Column, k: Column) -> Column:
         piece = F.slice(blocks, start + 1, F.greatest(ends[k] - start, F.lit(0)))
         prose = F.filter(piece, _prose)
-        tools = F.transform(F.filter(piece, lambda b: b["type"] == "tool_use"), tool_message)
+        tools = F.transform(F.filter(piece, lambda b: b["type"] == "tool_use"), lambda b: tool_message(b))
         results = F.transform(F.filter(piece, lambda b: b["type"] == "tool_result"), result_message)
         text = F.when(F.size(prose) > 0, F.array(_flushed(role, prose, thinking_content))).otherwise(none())
         return F.concat(tools, results, text)

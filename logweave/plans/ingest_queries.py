@@ -1 +1,281 @@
-QUERIES = {}
+"""Ingest queries: raw lines and documents of every source are built from conversations and read back by its ingest job."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import stats as A
+from ..sources import claude, codex, documents, events, registry, writers
+from ..sources.ingest import Ingested
+from ..streaming import running
+from . import views as V
+
+QUERIES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = (f, sql)
+        return f
+    return keep
+
+
+def _conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.table(spark, sf_dir, "conversations")
+    t = F.unix_timestamp(F.lit(V.BASE_TIME)) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    return c.withColumns({"sid": F.col("conv_id").cast("string"), "ms": t * 1000, "at": F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+
+
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def _block(kind: str | Column, **fields: Column) -> Column:
+    """A raw block; absent fields are null and are not written."""
+    all_ = {k: F.lit(None).cast("string") for k in ("text", "thinking", "id", "name", "tool_use_id", "content")} | {"input": F.lit(None).cast("struct<file_path:string,n:bigint>"), "is_error": F.lit(None).cast("boolean")}
+    all_ |= fields
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), *[v.alias(k) for k, v in all_.items()])
+
+
+def _facts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file_path").agg(F.count("*").alias("raw_line_count")).withColumns({"file_bytes": F.lit(0).cast("bigint"), "mtime": F.timestamp_seconds(F.unix_timestamp(F.lit(V.BASE_TIME)))})
+
+
+def claude_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third line is written twice, first shortened, under one uuid; assistants call a tool, users return its result; a bad line at the end."""
+    c = _conv(spark, sf_dir)
+    call = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    said = F.array(_block("thinking", thinking=F.lit("hm")), _block("text", text=F.col("text")), _block("tool_use", id=call, name=F.lit("Edit"), input=F.struct(F.concat(F.lit("/f/"), (F.col("turn") % 3).cast("string")).alias("file_path"), F.col("turn").alias("n"))))
+    told = F.array(_block("text", text=F.col("text")), _block("text", text=F.lit("<system-reminder>x")), _block("tool_result", tool_use_id=F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")), content=F.lit("out"), is_error=F.col("turn") % 4 == 2))
+    usage = F.when(F.col("role") == "assistant", F.struct((F.col("turn") + 10).alias("input_tokens"), F.col("turn").alias("output_tokens")))
+    line = lambda content: _json(type=F.col("role"), uuid=F.concat(F.col("sid"), F.lit("-"), F.col("turn").cast("string")), timestamp=F.col("at"), sessionId=F.col("sid"), cwd=F.concat(F.lit("/p/"), F.col("sid")), message=F.struct(F.lit("m1").alias("model"), content.alias("content"), usage.alias("usage")))
+    blocks = F.when(F.col("role") == "assistant", said).otherwise(told)
+    copies = F.when(F.col("turn") % 3 == 0, F.array(line(F.slice(blocks, 1, 1)), line(blocks))).otherwise(F.array(line(blocks)))
+    rows = c.select(F.concat(F.lit("/x/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), "turn", F.posexplode(copies).alias("k", "value"))
+    good = rows.select("file_path", (F.col("turn") * 2 + F.col("k")).cast("int").alias("line_no"), "value")
+    return good.unionByName(c.select(F.concat(F.lit("/x/"), F.col("sid"), F.lit(".jsonl")).alias("file_path")).distinct().select("file_path", F.lit(10_000).alias("line_no"), F.lit("{bad").alias("value")))
+
+
+CLAUDE = """x AS (SELECT conv_id, turn, 0 AS sub, role, text AS content FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 1, 'tool_use', 'Tool: Edit' FROM conversations WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 0, 'tool_result', 'out' FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, 1, 'user', text FROM conversations WHERE role = 'user')"""
+
+
+@query("i1_x1_x2_claude_messages", f"WITH {CLAUDE} SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub) AS INTEGER) AS idx, role, content FROM x")
+def claude_messages(spark, sf_dir):
+    return claude.ingest_claude(claude_lines(spark, sf_dir)).messages.select("session_id", "idx", "role", "content")
+
+
+@query("i1_claude_sessions", """SELECT CAST(conv_id AS VARCHAR) AS session_id, '/p/' || conv_id AS cwd, 'm1' AS model, TIMESTAMP '2026-01-01 00:00:00' + to_seconds(conv_id * 3600 + min(turn) * 60) AS created_at, TIMESTAMP '2026-01-01 00:00:00' + to_seconds(conv_id * 3600 + max(turn) * 60) AS updated_at,
+  CAST(count(*) + count(*) FILTER (WHERE turn % 3 = 0) + 1 AS BIGINT) AS raw_line_count FROM conversations GROUP BY conv_id""")
+def claude_sessions(spark, sf_dir):
+    lines = claude_lines(spark, sf_dir)
+    return claude.ingest_claude(lines, _facts(lines)).sessions.select("session_id", "cwd", "model", "created_at", "updated_at", "raw_line_count")
+
+
+@query("e4_claude_session_stats", """WITH a AS (SELECT *, turn AS t FROM conversations WHERE role = 'assistant'), r AS (SELECT u.conv_id, count(*) AS errors FROM conversations u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn - 1 WHERE u.role = 'user' AND u.turn % 4 = 2 GROUP BY u.conv_id),
+g AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS s FROM conversations GROUP BY conv_id), f AS (SELECT conv_id, array_to_string(list_sort(list(DISTINCT '/f/' || CAST(turn % 3 AS VARCHAR))), ',') AS files, sum(turn + 10) AS i, sum(turn) AS o FROM a GROUP BY conv_id)
+SELECT CAST(g.conv_id AS VARCHAR) AS session_id, 2 * (u + s) AS total_messages, u AS n_user, s AS n_assistant, s AS n_tool_use, u AS n_tool_result, CASE WHEN s > 0 THEN 'Edit=' || s || '/' || coalesce(errors, 0) ELSE '' END AS tools, coalesce(files, '') AS files, CAST(i AS BIGINT) AS input, CAST(o AS BIGINT) AS output, s AS thinking
+FROM g LEFT JOIN r ON r.conv_id = g.conv_id LEFT JOIN f ON f.conv_id = g.conv_id WHERE u + s > 0""")
+def claude_stats(spark, sf_dir):
+    got = stored(claude.ingest_claude(claude_lines(spark, sf_dir)))
+    s = A.session_stats(got.messages, got.usage)
+    told = F.transform("tool_frequency", lambda t: F.concat(t["name"], F.lit("="), t["count"].cast("string"), F.lit("/"), t["errors"].cast("string")))
+    return s.select("session_id", "total_messages", "n_user", "n_assistant", "n_tool_use", "n_tool_result", F.array_join(told, " ").alias("tools"), F.array_join("files_modified", ",").alias("files"), "token_usage.input", "token_usage.output", F.coalesce(F.col("by_block_type")["thinking"], F.lit(0).cast("bigint")).alias("thinking"))
+
+
+FIRST_USER = "nullif(substr(trim(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user'), '\\s+', ' ', 'g')), 1, 120), '')"
+
+
+@query("i12_index_claude", f"SELECT CAST(conv_id AS VARCHAR) AS id, coalesce(CASE WHEN count(*) > 0 THEN '/p/' || conv_id END, '') AS cwd, {FIRST_USER} AS summary FROM conversations WHERE turn * 2 < 30 GROUP BY conv_id")
+def claude_index(spark, sf_dir):
+    lines = claude_lines(spark, sf_dir)
+    return claude.index_claude(lines, _facts(lines)).select("id", "cwd", "summary")
+
+
+def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _conv(spark, sf_dir)
+    item = lambda payload: _json(type=F.lit("response_item"), timestamp=F.col("at"), payload=payload)
+    kind = F.when(F.col("role") == "user", "input_text").otherwise("output_text")
+    spoken = item(F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(kind.alias("type"), "text")).alias("content")))
+    call_id = F.lit("call_1")
+    call = item(F.struct(F.lit("function_call").alias("type"), F.concat(F.lit("tool"), (F.col("turn") % 3).cast("string")).alias("name"), call_id.alias("call_id"), F.lit('{"a":1}').alias("arguments")))
+    output = item(F.struct(F.lit("function_call_output").alias("type"), call_id.alias("call_id"), F.when(F.col("turn") % 2 == 0, "FAILED x").otherwise("ok").alias("output")))
+    counts = _json(type=F.lit("event_msg"), timestamp=F.col("at"), payload=F.struct(F.lit("token_count").alias("type"), F.struct(F.struct((F.col("turn") * 100 + 100).alias("input_tokens"), (F.col("turn") * 10).alias("cached_input_tokens"), (F.col("turn") * 5 + 5).alias("output_tokens")).alias("total_token_usage")).alias("info")))
+    path = F.concat(F.lit("/c/rollout-2026-01-01T00-00-00-"), F.col("sid"), F.lit(".jsonl")).alias("file_path")
+    rows = c.select(path, "turn", F.posexplode(F.array(spoken, call, output, counts)).alias("k", "value")).select("file_path", (F.col("turn") * 4 + F.col("k") + 1).cast("int").alias("line_no"), "value")
+    head = c.select(path, "sid").distinct().select("file_path", F.lit(0).alias("line_no"), _json(type=F.lit("session_meta"), timestamp=F.lit("2026-01-01T00:00:00Z"), payload=F.struct(F.col("sid").alias("id"), F.lit("/w").alias("cwd"))).alias("value"))
+    return rows.unionByName(head)
+
+
+@query("i2_codex_messages", """WITH x AS (SELECT conv_id, turn, 0 AS sub, role, text AS content FROM conversations UNION ALL SELECT conv_id, turn, 1, 'tool_use', 'Tool: tool' || CAST(turn % 3 AS VARCHAR) FROM conversations UNION ALL SELECT conv_id, turn, 2, 'tool_result', CASE WHEN turn % 2 = 0 THEN 'FAILED x' ELSE 'ok' END FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub) AS INTEGER) AS idx, role, trim(content) AS content FROM x""")
+def codex_messages(spark, sf_dir):
+    return codex.ingest_codex(codex_lines(spark, sf_dir)).messages.select("session_id", "idx", "role", "content")
+
+
+@query("i2_w6_codex_usage_and_errors", """WITH p AS (SELECT *, turn * 100 + 100 - coalesce(lag(turn * 100 + 100) OVER w, 0) AS i, turn * 10 - coalesce(lag(turn * 10) OVER w, 0) AS c, turn * 5 + 5 - coalesce(lag(turn * 5 + 5) OVER w, 0) AS o FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(i - least(c, i)) AS BIGINT) AS input, CAST(sum(o) AS BIGINT) AS output, nullif(CAST(sum(least(c, i)) AS BIGINT), 0) AS cache_read, count(*) FILTER (WHERE turn % 2 = 0) AS errors FROM p GROUP BY conv_id""")
+def codex_usage(spark, sf_dir):
+    got = stored(codex.ingest_codex(codex_lines(spark, sf_dir)))
+    s = A.session_stats(got.messages, got.usage, got.durations)
+    return s.select("session_id", "token_usage.input", "token_usage.output", "token_usage.cache_read", F.aggregate("tool_frequency", F.lit(0).cast("bigint"), lambda n, t: n + t["errors"]).alias("errors"))
+
+
+@query("i12_index_codex", "SELECT CAST(conv_id AS VARCHAR) AS id, '/w' AS cwd, CASE WHEN length(s) <= 120 THEN s ELSE substr(s, 1, 117) || '...' END AS summary FROM (SELECT conv_id, nullif(trim(regexp_replace(arg_min(text, turn) FILTER (WHERE role = 'user' AND turn * 4 + 1 < 50), '\\s+', ' ', 'g')), '') AS s FROM conversations GROUP BY conv_id)")
+def codex_index(spark, sf_dir):
+    lines = codex_lines(spark, sf_dir)
+    return codex.index_codex(lines, _facts(lines)).select("id", "cwd", "summary")
+
+
+def _plain(where: str, role: str = "role", content: str = "text") -> str:
+    return f"SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS idx, {role} AS role, {content} AS content FROM conversations WHERE {where}"
+
+
+SPOKEN = "role IN ('user', 'assistant')"
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id", "idx", "role", "content")
+
+
+def commandcode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _conv(spark, sf_dir)
+    value = _json(role=F.col("role"), timestamp=F.col("at"), content=F.array(_block("text", text=F.col("text"))))
+    return c.select(F.concat(F.lit("/p/a-b/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("turn").cast("int").alias("line_no"), value.alias("value"))
+
+
+@query("i6_commandcode_messages", _plain(SPOKEN))
+def commandcode_messages(spark, sf_dir):
+    return _told(claude.ingest_commandcode(commandcode_lines(spark, sf_dir)).messages)
+
+
+def gemini_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _conv(spark, sf_dir)
+    kind = F.when(F.col("role") == "assistant", "gemini").when(F.col("role") == "system", "info").otherwise("user")
+    m = F.struct(kind.alias("type"), F.col("text").alias("content"))
+    packed = c.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]).alias("messages"), F.min("at").alias("startTime"), F.max("at").alias("lastUpdated"))
+    return packed.select(F.concat(F.lit("/g/tmp/proj/chats/session-"), F.col("sid"), F.lit(".json")).alias("file_path"), F.try_parse_json(_json(sessionId=F.col("sid"), startTime=F.col("startTime"), lastUpdated=F.col("lastUpdated"), messages=F.col("messages"))).alias("v"))
+
+
+@query("i3_gemini_messages", _plain("true", content="CASE WHEN role = 'system' THEN '[info] ' || text ELSE text END"))
+def gemini_messages(spark, sf_dir):
+    return _told(documents.ingest_gemini(gemini_docs(spark, sf_dir)).messages)
+
+
+def copilot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _conv(spark, sf_dir)
+    value = _json(type=F.concat(F.col("role"), F.lit(".message")), timestamp=F.col("at"), data=F.struct(F.col("text").alias("content")))
+    return c.select(F.concat(F.lit("/s/"), F.col("sid"), F.lit("/events.jsonl")).alias("file_path"), F.col("turn").cast("int").alias("line_no"), value.alias("value"))
+
+
+@query("i4_copilot_messages", _plain(SPOKEN))
+def copilot_messages(spark, sf_dir):
+    return _told(events.ingest_copilot(copilot_lines(spark, sf_dir)).messages)
+
+
+@query("i5_cursor_messages", _plain(SPOKEN, content="trim(text)"))
+def cursor_messages(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    wrapped = F.when(F.col("role") == "user", F.concat(F.lit("<user_query>"), F.col("text"), F.lit("</user_query>"))).otherwise(F.col("text"))
+    value = _json(role=F.col("role"), message=F.struct(F.array(_block("text", text=wrapped)).alias("content")))
+    lines = c.select(F.concat(F.lit("/h/proj-x/agent-transcripts/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("turn").cast("int").alias("line_no"), value.alias("value"))
+    return _told(events.ingest_cursor(lines, _facts(lines)).messages)
+
+
+@query("i7_goose_messages", _plain("true"))
+def goose_messages(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    parts = F.to_json(F.array(_block("text", text=F.col("text"))))
+    content = F.when(F.col("turn") % 2 == 0, parts).otherwise(F.col("text"))  # JSON text, or plain text
+    value = _json(role=F.col("role"), created=F.col("ms"), content=content)
+    lines = c.where("turn % 2 = 0 or role != 'system'").select(F.concat(F.lit("/goose/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("turn").cast("int").alias("line_no"), value.alias("value"))
+    return _told(events.ingest_goose(lines).messages)
+
+
+QUERIES["i7_goose_messages"] = (goose_messages, _plain("turn % 2 = 0 OR role <> 'system'"))
+
+
+@query("i7_goose_tables", _plain("true"))
+def goose_tables(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    rows = c.select(F.col("sid").alias("session_id"), "role", F.to_json(F.array(_block("text", text=F.col("text")))).alias("content_json"), F.col("ms").alias("created_timestamp"))
+    text = lambda v: F.lit(v).cast("string")
+    sessions = c.select("sid").distinct().select(F.col("sid").alias("id"), text("n").alias("name"), text(None).alias("description"), text("/w").alias("working_dir"), text("2026-01-01T00:00:00Z").alias("created_at"), text("2026-01-02T00:00:00Z").alias("updated_at"), F.lit(5).alias("input_tokens"), F.lit(6).alias("output_tokens"), text('{"model":"g"}').alias("model_config_json"))
+    return _told(events.ingest_goose_tables(rows, sessions).messages)
+
+
+@query("i8_j4_opencode_messages", _plain("true"))
+def opencode_messages(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    doc = lambda path, value: (path.alias("file_path"), F.try_parse_json(value).alias("v"))
+    mid = F.concat(F.col("sid"), F.lit("-"), F.col("turn").cast("string"))
+    sessions = c.groupBy("sid").agg(F.min("ms").alias("ms")).select(*doc(F.concat(F.lit("/o/p/ses_"), F.col("sid"), F.lit(".json")), _json(id=F.col("sid"), title=F.lit("T"), directory=F.lit("/w"), time=F.struct(F.col("ms").alias("created"), F.col("ms").alias("updated")))))
+    said = c.select(*doc(F.concat(F.lit("/o/msg_"), mid), _json(id=mid, sessionID=F.col("sid"), role=F.col("role"), time=F.struct(F.col("ms").alias("created")))))
+    parts = c.select(*doc(F.concat(F.lit("/o/prt_"), mid), _json(id=F.concat(F.lit("prt_"), mid), messageID=mid, type=F.lit("text"), text=F.col("text"))))
+    return _told(documents.ingest_opencode(sessions, said, parts).messages)
+
+
+@query("i9_kiro_messages", _plain(SPOKEN))
+def kiro_messages(spark, sf_dir):
+    c = _conv(spark, sf_dir)
+    entry = F.struct(F.struct("role", F.col("text").alias("content")).alias("message"))
+    packed = c.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", entry.alias("m")))), lambda x: x["m"]).alias("history"))
+    docs = packed.select(F.concat(F.lit("/k/workspace-sessions/L3dvcms/"), F.col("sid"), F.lit(".json")).alias("file_path"), F.try_parse_json(_json(history=F.col("history"))).alias("v"))
+    return _told(documents.ingest_kiro(docs).messages)
+
+
+@query("i10_x3_zed_messages", f"WITH x AS (SELECT conv_id, turn, 0 AS sub, role, text AS content FROM conversations WHERE {SPOKEN} UNION ALL SELECT conv_id, turn, 1, 'tool_use', 'Tool: grep' FROM conversations WHERE role = 'assistant') SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, sub) AS INTEGER) AS idx, role, content FROM x")
+def zed_messages(spark, sf_dir):
+    c = _conv(spark, sf_dir).where("role != 'system'")
+    none = F.lit(None).cast("struct<name:string,id:string>")
+    body = F.struct(F.array(F.struct(F.col("text").alias("Text"), none.alias("ToolUse"))).alias("content"))
+    called = F.struct(F.array(F.struct(F.col("text").alias("Text"), none.alias("ToolUse")), F.struct(F.lit(None).cast("string").alias("Text"), F.struct(F.lit("grep").alias("name"), F.lit("z").alias("id")).alias("ToolUse"))).alias("content"))
+    m = F.struct(F.when(F.col("role") == "user", body).alias("User"), F.when(F.col("role") == "assistant", called).alias("Agent"))
+    packed = c.groupBy("sid").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", m.alias("m")))), lambda x: x["m"]).alias("messages"))
+    threads = packed.select(F.col("sid").alias("id"), F.lit("s").alias("summary"), F.lit("2026-01-01T00:00:00Z").alias("updated_at"), F.lit("main").alias("worktree_branch"), _json(messages=F.col("messages")).alias("json"))
+    return _told(documents.ingest_zed(threads).messages)
+
+
+@query("i11_u1_all_sources", """SELECT s AS source, count(*) AS messages FROM conversations, (VALUES ('commandcode'), ('gemini'), ('copilot')) v(s) WHERE role IN ('user', 'assistant') OR s = 'gemini' GROUP BY s""")
+def all_sources(spark, sf_dir):
+    got = registry.ingest_all({"commandcode": {"lines": commandcode_lines(spark, sf_dir)}, "gemini": {"docs": gemini_docs(spark, sf_dir)}, "copilot": {"lines": copilot_lines(spark, sf_dir)}})
+    return got.messages.groupBy("source").agg(F.count("*").alias("messages"))
+
+
+@query("st1_stream_totals", """SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS total_messages, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'system') AS n_system, CAST(sum(4 + ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
+def stream_totals(spark, sf_dir):
+    """The messages are written in four appends, streamed file by file, and the micro-batches' deltas are summed."""
+    base = _scratch(spark)
+    m = V.conversation_messages(spark, sf_dir)
+    for k in range(4):
+        m.where(F.col("idx") % 4 == k).coalesce(1).write.mode("append").parquet(f"{base}/messages")
+    job = running.stream_deltas(running.stream_messages(spark, f"{base}/messages", m.schema), f"{base}/deltas", f"{base}/checkpoint")
+    job.awaitTermination()
+    return running.totals_of_deltas(spark.read.parquet(f"{base}/deltas")).select("session_id", "total_messages", "n_user", "n_assistant", "n_system", "tokens")
+
+
+def stored(got: Ingested) -> Ingested:
+    """The ingested tables as Parquet (S6): raw lines are parsed once, and statistics read the normalised columns."""
+    spark = got.messages.sparkSession
+    base = _scratch(spark)
+    kept = {}
+    for name in ("messages", "sessions", "usage", "durations", "files"):
+        table = getattr(got, name)
+        if table is not None:
+            writers.write_table(table, f"{base}/{name}")
+            kept[name] = spark.read.schema(table.schema).parquet(f"{base}/{name}")
+    return Ingested(**kept)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the cluster's, or a temporary one of a local session."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -210,7 +210,7 @@ def files_modified(spark, sf_dir):
     return A.files_modified(V.tool_messages(spark, sf_dir)).select("session_id", F.array_join("files_modified", ",").alias("files"))
 
 
-@query("a8_durations", "SELECT CAST(user_id AS VARCHAR) AS session_id, nullif(epoch_ms(max(ts)) - epoch_ms(min(ts)), 0) AS duration_ms FROM events GROUP BY user_id")
+@query("a8_durations", "SELECT CAST(user_id AS VARCHAR) AS session_id, nullif(epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000, 0) AS duration_ms FROM events GROUP BY user_id")
 def durations(spark, sf_dir):
     return A.durations(V.tool_messages(spark, sf_dir)).drop("source")
 

@@ -24,7 +24,7 @@ FILE_PATTERNS = {
 
 def read_files(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """(file_path, value, file_bytes, mtime), one row a file below ``path``; ``source`` filters by its pattern."""
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     rows = files.select(F.col("_metadata.file_path").alias("file_path"), "value", F.col("_metadata.file_size").alias("file_bytes"), F.col("_metadata.file_modification_time").alias("mtime"))
     return rows.where(F.col("file_path").rlike(FILE_PATTERNS[source])) if source else rows
 
