@@ -57,3 +57,21 @@ def id_crc(col: str | Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """How many parts a shuffle deals its rows to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Groups of at least a HOT_SHAREth of all rows are joined by broadcast: at most HOT_SHARE rows, whatever the data.
+HOT_SHARE = 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` inner-joined with ``groups`` (one row a key, ``size`` its number of rows), both written tables.
+
+    The large groups, few by their share of all rows, are broadcast, so no task gets a large group's rows; the
+    rest joins by key.
+    """
+    floor = max(2, rows.count() // HOT_SHARE + 1)
+    hot, cold = groups.where(F.col(size) >= floor), groups.where(F.col(size) < floor)
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    known = tagged.where(F.col(size).isNotNull())
+    rest = tagged.where(F.col(size).isNull()).select(*rows.columns).join(cold.hint("merge"), key)
+    return known.unionByName(rest.select(*known.columns))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tasks, written
+from .common import join_groups, tasks, written
 from .components import components
 
 NGRAM, PERCENT = 4, 85
@@ -337,9 +337,9 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT)
     judged = written(_with_counts(chunks, token_counts(chunks), _screen(percent), "doc_id long, n int, sign binary, open boolean"), "judged")
     one = judged.groupBy("doc_id").agg(F.min_by(F.struct("n", "sign", "open"), "sign").alias("x")).select("doc_id", "x.*")
     # of equal sets the smallest id goes on; a set that repeats was counted twice, so all its documents are open
-    open_docs = one.where("open")
-    same = open_docs.groupBy("sign").agg(F.min("doc_id").alias("rep"))
-    member = written(open_docs.join(same, "sign").select("doc_id", "rep"), "same")
+    open_docs = written(one.where("open").select("doc_id", "sign"), "open")
+    same = written(open_docs.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "same-sets")
+    member = written(join_groups(open_docs, same, "sign", "rows").select("doc_id", "rep"), "same")
     wanted = member.where("doc_id = rep").select("doc_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +347,8 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array([token_set(t, n).tobytes() for t in _texts(batch)], pa.binary())})
 
     text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    picked = text.join(wanted, "doc_id", "left_semi")
+    # the wanted ids grow with the data: never broadcast
+    picked = text.join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = written(picked.dropDuplicates(["doc_id"]).mapInArrow(encode, "doc_id long, tokens binary"), "tokens")
     links = written(near_links(sets, percent).unionByName(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "near-links")
     named = components(links)
