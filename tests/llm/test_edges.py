@@ -294,7 +294,7 @@ def test_structures_are_confirmed():
 def test_secret_edges(make_docs):
     rows = [(1, None), (2, ""), (3, 'PassWord = "abcdefghijkl"'), (4, 'password = "short"'), (5, "AKIA" + "A" * 14), (6, "AKIA" + "A" * 13), (7, "f" * 16), (8, "f" * 15), (9, "API_KEY:0123456789abcdef0"), (10, LONG), (11, "toKen=abcdefghijkl")]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.find_secrets(make_docs(rows, clash=["kind"]).withColumn("spans", F.lit(1))).collect()}
-    assert got == {1: [], 2: [], 3: ["assign"], 4: [], 5: ["access"], 6: [], 7: ["hex"], 8: [], 9: ["assign", "hex"], 10: [], 11: []}
+    assert got == {1: [], 2: [], 3: ["assign"], 4: [], 5: ["access"], 6: [], 7: ["hex"], 8: [], 9: ["assign", "hex"], 10: [], 11: ["assign"]}
     assert secret_scan.find_secrets(make_docs([])).count() == 0
 
 
@@ -318,11 +318,12 @@ def test_rates_equal_a_dense_solver(spark):
     members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
     rated, reached = mixing.fit_rates(members, target)
     got = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
-    a, share, w = n / n.sum(), (n / n.sum()) @ p, np.ones(80)
+    a, w = n / n.sum(), np.ones(80)
+    weight = np.linalg.pinv((p * a[:, None]).T @ p)
     for _ in range(5000):
-        w = np.maximum(0, w - (p @ (((a * w) @ p - target) / share) + mixing.RIDGE * (w - 1)) / (1 + mixing.RIDGE))
-    cost = lambda v: (((a * v) @ p - target) ** 2 / share).sum() / 2 + mixing.RIDGE / 2 * (a * (v - 1) ** 2).sum()
-    assert cost(got) <= cost(w) + 1e-4 and np.abs(np.array(reached) - target).max() < 0.02
+        w = np.maximum(0, w - (p @ (weight @ ((a * w) @ p - target)) + mixing.RIDGE * (w - 1)) / (1 + mixing.RIDGE))
+    cost = lambda v: ((a * v) @ p - target) @ weight @ ((a * v) @ p - target) / 2 + mixing.RIDGE / 2 * (a * (v - 1) ** 2).sum()
+    assert cost(got) <= cost(w) + 1e-3 and np.abs(np.array(reached) - target).max() < 0.01
 
 
 def test_mixing_edges(make_docs, spark):
