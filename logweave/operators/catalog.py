@@ -47,7 +47,7 @@ def list_sessions(index: DataFrame, messages: DataFrame | None = None, query: st
     if query:
         rows = with_match(newest_first(rows, scan) if scan else rows, messages, query)
     total = rows.agg(F.count("*").alias("total_available"))
-    page = newest_first(rows, limit, offset).crossJoin(F.broadcast(total))  # one row
+    page = newest_first(rows, limit, offset).withColumn("total_available", total.scalar())
     return page.withColumn("has_more", F.lit(offset + limit) < F.col("total_available") if limit is not None else F.lit(False))
 
 
@@ -62,14 +62,13 @@ def search_sessions(index: DataFrame, messages: DataFrame, query: str, top: int
 def resolve_ids(index: DataFrame, requests: DataFrame) -> DataFrame:
     """For each ``requests(request)`` the entry with that id, else the newest whose id starts with it.
 
-    Requests are few and are broadcast only if Spark's own size limit allows; exact ids are an equi-join, and only
-    the rest is compared by prefix, on a hash of the request's first characters.
+    Exact ids are an equi-join. For the rest, each id is cut to every length that is asked for, which makes the prefix match an
+    equi-join too; the lengths are broadcast, one row each and at most as many as the longest request has characters.
     """
     rows = dedup_index(index)
     wanted = requests.select("request").where("request is not null and request != ''").distinct()
     exact = wanted.join(rows, F.col("request") == F.col("id"))
     lengths = wanted.join(exact.select("request"), "request", "left_anti").withColumn("n", F.length("request"))
-    # every id is cut to each length asked for, so the prefix match is an equi-join too
     sizes = lengths.select("n").distinct()
     cut = rows.join(F.broadcast(sizes), F.length("id") >= F.col("n")).withColumn("request", F.substring("id", F.lit(1), F.col("n")))
     newest = Window.partitionBy("request").orderBy(F.desc("updated_at"), "id")
