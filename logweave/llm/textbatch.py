@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Code points handled at once by the numpy scorers; bounds the temporary arrays, not the texts.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 _MIX = np.uint32(2654435761)
 

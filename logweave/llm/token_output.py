@@ -31,11 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, written
+from .textbatch import chunks
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
 #: Chunks whose ids a worker keeps; beyond that it starts anew with the next batch.
 KEPT_CHUNKS = 1_000_000
+#: Characters that are cut into chunks at once.
+BATCH_CHARS = 1_000_000
 MANIFEST = "shard int, path string, doc_id long, first long, n_tokens long"
 
 
@@ -54,9 +57,13 @@ class ChunkEncoder:
     """
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # words of Latin-1 letters alone pass the normaliser and the splitting unchanged: the same model without them
+        self.plain = Tokenizer.from_file(tokenizer_path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.kept: dict[bytes, bytes] = {}
 
@@ -81,19 +88,31 @@ class ChunkEncoder:
         split = [(c, p) for c in new if len(p := self.parts(c)) > 1]
         pieces = list((new.difference(c for c, _ in split) | {x for _, p in split for x in p}).difference(self.kept))
         code = "H" if self.kind.itemsize == 2 else "I"
-        for a in range(0, len(pieces), 50_000):
-            part = pieces[a : a + 50_000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)
-            self.kept.update((p, array(code, e.ids).tobytes()) for p, e in zip(part, found))
+        words: list[tuple[bytes, str]] = []
+        others: list[tuple[bytes, str]] = []
+        for p in pieces:
+            t = p.decode("utf-8")
+            if t.isalpha() and max(t) <= "\xff":
+                words.append((p, t.lower()))
+            else:
+                others.append((p, t))
+        for tokenizer, found in ((self.plain, words), (self.tokenizer, others)):
+            for a in range(0, len(found), 50_000):
+                part = found[a : a + 50_000]
+                encoded = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+                self.kept.update((p, array(code, e.ids).tobytes()) for (p, _), e in zip(part, encoded))
         self.kept.update((c, self.kept[word] + self.kept[marks]) for c, (word, marks) in split)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept = {}
-        if new := set(chain.from_iterable(split)).difference(self.kept):
-            self.learn(new)
-        return [b"".join(map(self.kept.__getitem__, chunks)) for chunks in split]
+        out: list[bytes] = []
+        for a, b in chunks(texts, BATCH_CHARS):
+            split = [self.chunks(t) for t in texts[a:b]]
+            if len(self.kept) > KEPT_CHUNKS:
+                self.kept = {}
+            if new := set(chain.from_iterable(split)).difference(self.kept):
+                self.learn(new)
+            out += [b"".join(map(self.kept.__getitem__, parts)) for parts in split]
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
