@@ -54,7 +54,7 @@ def _flushed(role: Column | str, pending: Column, thinking_content: bool) -> Col
     return message(role, joined, pending)
 
 
-def _groups(blocks: Column, flushes, role: Column | str, results_first: bool, thinking_content: bool) -> Column:
+def _groups(blocks: Column, flushes, role: Column | str, thinking_content: bool) -> Column:
     """Messages of a block array.
 
     Cuts are the places of flushing blocks. Group 0 is what stands before the first cut; group k begins at cut k.
@@ -77,7 +77,7 @@ def _groups(blocks: Column, flushes, role: Column | str, results_first: bool, th
 
 def assistant_messages(blocks: Column, thinking_content: bool = False) -> Column:
     """A tool_use flushes the text before it; a tool_result does not, so it comes before pending text."""
-    return _groups(blocks, lambda b: b["type"] == "tool_use", "assistant", True, thinking_content)
+    return _groups(blocks, lambda b: b["type"] == "tool_use", "assistant", thinking_content)
 
 
 def user_messages(blocks: Column) -> Column:
@@ -91,7 +91,7 @@ def user_messages(blocks: Column) -> Column:
 def flushed_messages(blocks: Column, role: Column) -> Column:
     """tool_use and tool_result both flush; any role but user and assistant becomes system."""
     mapped = F.when(role.isin("user", "assistant"), role).otherwise("system")
-    return _groups(blocks, lambda b: b["type"].isin("tool_use", "tool_result"), mapped, True, False)
+    return _groups(blocks, lambda b: b["type"].isin("tool_use", "tool_result"), mapped, False)
 
 
 def explode_messages(rows: DataFrame, messages: str = "messages") -> DataFrame:
