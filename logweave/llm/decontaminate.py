@@ -14,7 +14,7 @@ documents, and the hits of all blocks are united per document.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Edge cases: null or empty texts and items have no
 words; an item without words has no window; repeated items count by their ids; an empty benchmark
-contaminates nothing; null item ids are ignored; other columns pass through.
+contaminates nothing; null item ids are ignored; rows that share a doc_id share their hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ class Block:
         self.q_item, self.q_pos, self.q_len = (np.array(x, dtype=np.int64) for x in (self.q_item, self.q_pos, self.q_len))
         self.q_words = np.stack(rows) if rows else np.zeros((0, window), np.int64)
 
-    def keys(self, at) -> list[tuple[int, int]]:
+    def keys(self) -> list[tuple[int, int]]:
         """Word ranges of the window that go into one 62-bit key each."""
         return [(a, min(self.window, a + self.per_key)) for a in range(0, self.window, self.per_key)]
 
@@ -87,7 +87,7 @@ def suffix_hits(seq: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     low = np.zeros(len(block.q_item), np.int64)
     high = low.copy()
     rank = None
-    for a, b in block.keys(None):
+    for a, b in block.keys():
         key = np.zeros(len(padded) - block.window, np.int64)
         for k in range(a, b):
             key = (key << block.bits) | padded[k : k + len(key)]
