@@ -9,8 +9,8 @@ the stored keys. ``CuckooFilter.delete`` removes a digest whose last row is retr
 a corpus from which rows are withdrawn (``update_index``).
 
 Rows are summed per digest before they are dealt to buckets, so a group of copies of any size reaches its
-bucket as a few rows. On the way back the groups of at least 1/HOT_SHARE of all rows (at most HOT_SHARE groups)
-are broadcast, the others join by digest.
+bucket as a few rows. On the way back large groups, few by their share of all rows, are broadcast; the others
+join by digest (``join_groups``).
 
 Edge cases: null text counts as empty; all empty and white-space-only texts are one group; a null id counts as
 larger than any id; of rows equal in length and id exactly one stays (the first read); an empty table gives an
@@ -26,10 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, tasks, written
+from .common import SPACE_CLASS, join_groups, tasks, written
 
-#: Groups of at least a HOT_SHAREth of all rows are joined by broadcast: HOT_SHARE rows at most.
-HOT_SHARE = 2000
 #: Rows of one digest that the sum before the deal leaves at most.
 SALTS = 16
 SLOTS, MAX_KICKS = 4, 200
@@ -188,13 +186,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     """Each row of ``docs`` as (doc_id, keep_id, group_size, kept, digest)."""
     rows = written(digests(docs), "digests")
     index = written(build_index(rows), "digest-index")
-    floor = max(2, rows.count() // HOT_SHARE + 1)
-    entry = index.select("digest", "group_size", "keep_id", "keep_row")
-    hot = entry.where(F.col("group_size") >= floor)
-    cold = entry.where(F.col("group_size") < floor).withColumnRenamed("digest", "d")
-    first = rows.select("row_id", "doc_id", "digest").join(F.broadcast(hot), "digest", "left")
-    known = first.where(F.col("group_size").isNotNull())
-    rest = first.where(F.col("group_size").isNull()).select("row_id", "doc_id", "digest").join(cold, F.col("digest") == F.col("d")).drop("d")
-    out = known.unionByName(rest)
+    out = join_groups(rows.select("row_id", "doc_id", "digest"), index.select("digest", "group_size", "keep_id", "keep_row"), "digest", "group_size")
     keep = F.when(F.col("keep_id") == 2**63 - 1, None).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "digest")
