@@ -3,15 +3,14 @@
 1. *Classifier.* From a labelled table (doc_id, domain) a naive Bayes over words is fitted on a bounded sample. It
    gives each document a posterior p[d] of each domain. The log-likelihood of a text of n words is divided by
    sqrt(n), so that long texts keep soft memberships.
-2. *Rates.* Each document i with share a_i of all tokens gets a rate w_i >= 0. Projected gradient descent minimises
-
-       1/2 sum_d (sum_i a_i w_i p_i[d] - t_d)^2 / s_d  +  RIDGE/2 sum_i a_i (w_i - 1)^2,   s_d = sum_i a_i p_i[d]
-
-   so that the expected domain token totals sum_i a_i w_i p_i[d] match the target shares t_d, with rates near 1 where
-   the targets leave a choice. In the metric a_i the data term has norm 1, so the step is 1/(1 + RIDGE):
-   w_i <- max(0, w_i - step * (sum_d p_i[d] r_d / s_d + RIDGE (w_i - 1))) with r the residual of the totals.
-   An iteration is one distributed sum that returns one number a domain; a document's rate is recomputed from the
-   residuals so far, so nothing but the posteriors is kept.
+2. *Rates.* Each document i with share a_i of all tokens gets a rate w_i >= 0. Projected gradient descent fits the
+   least squares of r = sum_i a_i w_i p_i - t, so that the expected domain token totals sum_i a_i w_i p_i match the
+   target shares t, with a small ridge RIDGE/2 sum_i a_i (w_i - 1)^2 that keeps rates near 1 where the targets leave a
+   choice. The squares are weighted by M^-1, M = sum a_i p_i p_i' over the documents whose rate is above 0: in the
+   metric a the Hessian then has norm 1, so the step is 1/(1 + RIDGE):
+   w_i <- max(0, w_i - step * (p_i' M^-1 r + RIDGE (w_i - 1))). An iteration is one distributed sum that returns a
+   number a domain and a number a pair of domains; a document's rate is recomputed from the steps so far, so nothing
+   but the posteriors is kept. A few iterations settle which rates are 0, after which the totals match.
 3. *Copies.* A document appears floor(w_i) times, and once more if a hash of its id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior, and rate as others; null ids or
@@ -23,6 +22,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +32,11 @@ from .common import written
 TRAIN_ROWS_PER_DOMAIN, VOCABULARY = 1500, 20_000
 #: A word must occur so often in the sample to enter the vocabulary; others are one unknown word.
 MIN_COUNT = 3
-RIDGE, MAX_STEPS, TOLERANCE = 0.02, 40, 1e-5
-
-
-def word_array(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+RIDGE, MAX_STEPS, TOLERANCE = 0.002, 20, 1e-6
 
 
 def _words(text: Column) -> Column:
-    """The same, blanks included: cheaper to explode and filter than to filter as an array."""
+    """Lower-case words between white space; blank ends are included and are left out after the explosion."""
     return F.split(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")
 
 
@@ -89,34 +84,49 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def rate_column(pulls: list[list[float]], ridge: float = RIDGE) -> Column:
-    """A document's rate after the steps whose scaled residuals (r_d / s_d) are given, from its posterior ``p``."""
-    if not pulls:
-        return F.lit(1.0)
+    """A document's rate after the steps whose scaled residuals (M^-1 r) are given, from its posterior ``p``.
+
+    A step is linear in the rate before it, which so occurs once: the steps nest to one generated expression.
+    """
     step = 1 / (1 + ridge)
-    history = F.array(*[F.array(*[F.lit(float(x)) for x in pull]) for pull in pulls])
-    slope = lambda pull: sum((pull[k] * F.col("p")[k] for k in range(len(pulls[0]))), F.lit(0.0))
-    return F.aggregate(history, F.lit(1.0), lambda w, pull: F.greatest(F.lit(0.0), w - step * (slope(pull) + ridge * (w - 1))))
+    rate = F.lit(1.0)
+    for pull in pulls:
+        slope = sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(pull)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate * (1 - step * ridge) - slope * step + step * ridge)
+    return rate
 
 
 def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) -> tuple[DataFrame, list[float]]:
     """``members`` with ``rate``, and the reached shares; ``targets`` are shares of the present token total."""
     ids = range(len(targets))
     n = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(n), *[F.sum(n * F.col("p")[k]) for k in ids]).first()
-    total = first[0] or 0.0
+    pairs = [(k, j) for k in ids for j in ids if k <= j]
+
+    def sums(pulls: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the totals by domain, and M."""
+        rows = members.select("n_tokens", "p", rate_column(pulls, ridge).alias("w"))
+        free = F.when(F.col("w") > 0, n).otherwise(0.0)
+        row = rows.agg(F.sum(n), *[F.sum(n * F.col("w") * F.col("p")[k]) for k in ids], *[F.sum(free * F.col("p")[k] * F.col("p")[j]) for k, j in pairs]).first()
+        matrix = np.zeros((len(targets), len(targets)))
+        for (k, j), x in zip(pairs, row[1 + len(targets) :]):
+            matrix[k, j] = matrix[j, k] = x or 0.0
+        return row[0] or 0.0, np.array([x or 0.0 for x in row[1 : 1 + len(targets)]]), matrix
+
+    total, got, matrix = sums([])
     if not total:
         return members.withColumn("rate", F.lit(1.0)), [0.0] * len(targets)
-    share = [x / total for x in first[1:]]
-    reach = sum(t for t, s in zip(targets, share) if s > 0)
-    goal = [t / reach if s > 0 and reach > 0 else 0.0 for t, s in zip(targets, share)]
+    got = got / total
+    goal = np.where(got > 0, targets, 0.0)
+    goal = goal / goal.sum() if goal.sum() > 0 else got
     pulls: list[list[float]] = []
-    got, last = share, None
     for _ in range(MAX_STEPS):
-        pulls.append([(g - t) / s if s > 0 else 0.0 for g, t, s in zip(got, goal, share)])
-        row = members.select("n_tokens", "p", rate_column(pulls, ridge).alias("w")).agg(*[F.sum(n * F.col("w") * F.col("p")[k]) for k in ids]).first()
-        last, got = got, [x / total for x in row]
-        if max(abs(a - b) for a, b in zip(got, last)) < TOLERANCE:
+        pulls.append((np.linalg.pinv(matrix / total) @ (got - goal)).tolist())
+        last = got
+        _, got, matrix = sums(pulls)
+        got = got / total
+        if np.abs(got - last).max() < TOLERANCE:
             break
+    got = got.tolist()
     return members.withColumn("rate", rate_column(pulls, ridge)), got
 
 

@@ -319,11 +319,11 @@ def test_rates_equal_a_dense_solver(spark):
     rated, reached = mixing.fit_rates(members, target)
     got = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
     a, w = n / n.sum(), np.ones(80)
-    weight = np.linalg.pinv((p * a[:, None]).T @ p)
-    for _ in range(5000):
+    for _ in range(200):
+        free = w > 0
+        weight = np.linalg.pinv((p[free] * a[free][:, None]).T @ p[free])
         w = np.maximum(0, w - (p @ (weight @ ((a * w) @ p - target)) + mixing.RIDGE * (w - 1)) / (1 + mixing.RIDGE))
-    cost = lambda v: ((a * v) @ p - target) @ weight @ ((a * v) @ p - target) / 2 + mixing.RIDGE / 2 * (a * (v - 1) ** 2).sum()
-    assert cost(got) <= cost(w) + 1e-3 and np.abs(np.array(reached) - target).max() < 0.01
+    assert np.abs(got - w).max() < 0.01 and (got >= 0).all() and np.abs(np.array(reached) - target).max() < 0.01
 
 
 def test_mixing_edges(make_docs, spark):
