@@ -5,12 +5,11 @@
    sqrt(n), so that long texts keep soft memberships.
 2. *Rates.* Each document i with share a_i of all tokens gets a rate w_i >= 0. Projected gradient descent fits the
    least squares of r = sum_i a_i w_i p_i - t, so that the expected domain token totals sum_i a_i w_i p_i match the
-   target shares t, with a small ridge RIDGE/2 sum_i a_i (w_i - 1)^2 that keeps rates near 1 where the targets leave a
-   choice. The squares are weighted by M^-1, M = sum a_i p_i p_i' over the documents whose rate is above 0: in the
-   metric a the Hessian then has norm 1, so the step is 1/(1 + RIDGE):
-   w_i <- max(0, w_i - step * (p_i' M^-1 r + RIDGE (w_i - 1))). An iteration is one distributed sum that returns a
-   number a domain and a number a pair of domains; a document's rate is recomputed from the steps so far, so nothing
-   but the posteriors is kept. A few iterations settle which rates are 0, after which the totals match.
+   target shares t. The squares are weighted by M^-1, M = sum a_i p_i p_i' over the documents whose rate is above 0, so
+   a step of length 1 is right. The steps are summed from the start and projected at the end (lazy projection):
+   g <- g + M^-1 r, w_i = max(0, 1 - p_i' g). Of all rates that match the totals this finds those that are nearest to
+   1, so documents are not given up without need. An iteration is one distributed sum that returns a number a domain
+   and a number a pair of domains; a document's rate follows from its posterior and g, so nothing else is kept.
 3. *Copies.* A document appears floor(w_i) times, and once more if a hash of its id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior, and rate as others; null ids or
@@ -32,7 +31,7 @@ from .common import written
 TRAIN_ROWS_PER_DOMAIN, VOCABULARY = 1500, 20_000
 #: A word must occur so often in the sample to enter the vocabulary; others are one unknown word.
 MIN_COUNT = 3
-RIDGE, MAX_STEPS, TOLERANCE = 0.002, 20, 1e-6
+MAX_STEPS, TOLERANCE = 20, 1e-6
 
 
 def _words(text: Column) -> Column:
@@ -83,28 +82,20 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return weights.select("doc_id", "n_tokens", F.array(*[F.col(f"e{k}") / whole for k in ids]).alias("p"))
 
 
-def rate_column(pulls: list[list[float]], ridge: float = RIDGE) -> Column:
-    """A document's rate after the steps whose scaled residuals (M^-1 r) are given, from its posterior ``p``.
+def rate_column(pull: list[float]) -> Column:
+    """A document's rate under the summed steps ``pull``, from its posterior ``p``."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(pull)), F.lit(0.0)))
 
-    A step is linear in the rate before it, which so occurs once: the steps nest to one generated expression.
-    """
-    step = 1 / (1 + ridge)
-    rate = F.lit(1.0)
-    for pull in pulls:
-        slope = sum((F.lit(float(x)) * F.col("p")[k] for k, x in enumerate(pull)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * ridge) - slope * step + step * ridge)
-    return rate
 
-
-def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) -> tuple[DataFrame, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, list[float]]:
     """``members`` with ``rate``, and the reached shares; ``targets`` are shares of the present token total."""
     ids = range(len(targets))
     n = F.col("n_tokens").cast("double")
     pairs = [(k, j) for k in ids for j in ids if k <= j]
 
-    def sums(pulls: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+    def sums(pull: list[float]) -> tuple[float, np.ndarray, np.ndarray]:
         """All tokens, the totals by domain, and M."""
-        rows = members.select("n_tokens", "p", rate_column(pulls, ridge).alias("w"))
+        rows = members.select("n_tokens", "p", rate_column(pull).alias("w"))
         free = F.when(F.col("w") > 0, n).otherwise(0.0)
         row = rows.agg(F.sum(n), *[F.sum(n * F.col("w") * F.col("p")[k]) for k in ids], *[F.sum(free * F.col("p")[k] * F.col("p")[j]) for k, j in pairs]).first()
         matrix = np.zeros((len(targets), len(targets)))
@@ -112,22 +103,21 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE) ->
             matrix[k, j] = matrix[j, k] = x or 0.0
         return row[0] or 0.0, np.array([x or 0.0 for x in row[1 : 1 + len(targets)]]), matrix
 
-    total, got, matrix = sums([])
+    pull = np.zeros(len(targets))
+    total, got, matrix = sums(pull.tolist())
     if not total:
         return members.withColumn("rate", F.lit(1.0)), [0.0] * len(targets)
     got = got / total
     goal = np.where(got > 0, targets, 0.0)
     goal = goal / goal.sum() if goal.sum() > 0 else got
-    pulls: list[list[float]] = []
     for _ in range(MAX_STEPS):
-        pulls.append((np.linalg.pinv(matrix / total) @ (got - goal)).tolist())
-        last = got
-        _, got, matrix = sums(pulls)
+        pull = pull + np.linalg.pinv(matrix / total) @ (got - goal)
+        _, got, matrix = sums(pull.tolist())
         got = got / total
-        if np.abs(got - last).max() < TOLERANCE:
+        if np.abs(got - goal).max() < TOLERANCE:
             break
     got = got.tolist()
-    return members.withColumn("rate", rate_column(pulls, ridge)), got
+    return members.withColumn("rate", rate_column(pull.tolist())), got
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
