@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ NGRAM, PERCENT = 4, 85
 BLOCK_DOCS = 1500
 #: Share of a document's tokens, beyond those that may differ, that the screen looks at.
 SCREEN = 0.15
+#: Bytes of text, or of tokens, that a task turns into one chunk.
+CHUNK_BYTES = 8_000_000
 #: Tokens that one counting task holds on average.
 RANGE_TOKENS = 1_500_000
 
@@ -70,6 +73,19 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // 100)
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows of about CHUNK_BYTES; a larger row is a run of its own."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+    a = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > CHUNK_BYTES:
+            yield batch.slice(a, i - a)
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield batch.slice(a)
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
@@ -147,13 +163,13 @@ def screen_chunks(docs: DataFrame, n: int, percent: int, parts: int) -> DataFram
 
         def rows():
             nonlocal k
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, "text")):
                 sets = [token_set(t, n) for t in _texts(batch)]
                 size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 keep = np.minimum(size, size - needed(size, percent) + np.maximum(1, (SCREEN * size).astype(np.int64)))
                 signs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 k += 1
-                yield from _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), [s[:p] for s, p in zip(sets, keep)], signs, size, parts)
+                yield from _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), [s[:p].copy() for s, p in zip(sets, keep)], signs, size, parts)
 
         yield from _emit(rows())
 
@@ -204,7 +220,7 @@ def full_chunks(sets: DataFrame, parts: int) -> DataFrame:
 
         def rows():
             nonlocal k
-            for batch in batches:
+            for batch in (part for whole in batches for part in _parts(whole, "tokens")):
                 k += 1
                 got = [np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()]
                 size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
