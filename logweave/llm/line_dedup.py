@@ -7,8 +7,13 @@ other tokens are variable too. A line whose fixed tokens make up at least SIMILA
 line its own tokens. Lines of a template with at least MIN_DOCS lines over distinct documents are recurring and are dropped
 from all documents; the rest keep their order.
 
-Only lines of leaves with at least MIN_DOCS lines are cut into tokens, so most text is not. Counts are summed before
-they are shuffled; a line that a third of all documents hold is one key with one number.
+Texts are read three times and shuffled once, at the end. The first reading leaves a table of line numbers and
+hashes (a leaf's hash and a line's hash stand for a line), on which lines and leaves are counted. The second
+fetches the texts of lines whose leaf has at least MIN_DOCS lines: a bit filter of bounded size, made from those leaves, is
+sent to the tasks, so nearly all other lines stay where they are; what it lets through wrongly goes in the exact
+join after it. Tokens are counted by hash, and again only those that a bit filter of the fixed ones passes are joined. The third
+reading joins the places of recurring lines to their documents. Counts are summed before they are shuffled: a line that
+a third of all documents hold is one key with one number.
 
 Edge cases: null text stays null and has no lines; blank lines are kept and belong to no template; a line that a
 document repeats counts once for it but every copy is dropped if it recurs; documents that share an id are treated
@@ -27,45 +32,80 @@ FIELD = "<*>"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-def template_line(line: Column) -> Column:
-    """The line with variable fields masked and white space made single; '' for a blank line."""
-    single = F.trim(F.regexp_replace(line, _SPACE, " "))
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, r"[^ ]*[0-9][^ ]*", F.lit(FIELD))).otherwise(single)
+#: Bits of a filter: the bound of what is sent to each task (2 MB).
+FILTER_BITS = 1 << 24
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The distinct masked lines (``line``) whose template recurs."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), template_line))).alias("line")).where("line != ''")
-    words = F.split("line", " ")
-    leafed = lines.withColumn("leaf", F.xxhash64(F.size(words), *[F.coalesce(F.get(words, k), F.lit("")) for k in range(LEADING)]))
-    busy = leafed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    held = leafed.select("leaf", "line").join(busy, "leaf").groupBy("leaf", "line").agg(F.count("*").alias("n"))
-    held = written(held, "leaf-lines")
-    tokens = held.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    fixed = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("k")).where((F.col("k") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(1).alias("fixed"))
-    marked = tokens.join(fixed, ["leaf", "pos", "token"], "left")
-    shape = marked.groupBy("leaf", "line", "n").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("fixed") == 1, F.col("token")).otherwise(FIELD).alias("t")))).alias("t"), F.count("fixed").alias("k"), F.count("*").alias("size"))
-    template = F.when(100 * F.col("k") >= SIMILAR * F.col("size"), F.array_join("t.t", " ")).otherwise(F.col("line"))
-    shape = shape.select("leaf", "line", "n", template.alias("template"))
-    often = shape.groupBy("leaf", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs).select("leaf", "template")
-    return shape.join(often, ["leaf", "template"], "left_semi").select("line")
+def template_lines(text: str) -> Column:
+    """The lines with white space made single, then with variable fields masked; '' for a blank line.
+
+    Two transforms, so that each step's input is computed once.
+    """
+    single = lambda x: F.trim(F.when(x.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(x, _SPACE, " ")).otherwise(x))
+    masked = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^ ]*[0-9][^ ]*", F.lit(FIELD))).otherwise(x)
+    return F.transform(F.transform(F.split(text, "\n"), single), masked)
+
+
+def leaf_of(line: str) -> Column:
+    """Hash of the tree path of a masked line: token count and leading tokens."""
+    n = F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit("")))
+    return F.xxhash64(n, F.substring_index(line, " ", LEADING))
+
+
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, line, leaf, hash) of every line that is not blank."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(template_lines("text")).alias("pos", "line")).where("line != ''")
+    return lines.withColumns({"leaf": leaf_of("line"), "hash": F.xxhash64("line")})
+
+
+def bit_filter(values: DataFrame, column: str, bits: int = FILTER_BITS) -> Column:
+    """A one-row array of ``bits`` bits in which the slots of the values are set, as a scalar."""
+    slot = F.pmod(F.col(column), F.lit(bits))
+    one = F.expr("1L")
+    words = values.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", one, F.pmod(F.col("s"), F.lit(64)).cast("int"))).alias("w"))
+    every = values.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("w", F.lit(0).cast("bigint")).alias("w"))
+    ordered = every.agg(F.array_sort(F.collect_list(F.struct("id", "w"))).alias("a")).select(F.col("a.w").alias("a"))
+    return written(ordered, "bits").scalar()
+
+
+def passes(bits: Column, column: str, n: int = FILTER_BITS) -> Column:
+    slot = F.pmod(F.col(column), F.lit(n))
+    return F.bit_get(F.get(bits, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+
+
+def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(leaf, hash) of the distinct masked lines whose template recurs; ``table`` is ``masked_lines`` without ``line``."""
+    counts = written(table.select("doc_id", "leaf", "hash").distinct().groupBy("leaf", "hash").agg(F.count("*").alias("n")), "line-counts")
+    busy = written(counts.groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf"), "busy-leaves")
+    seen = masked_lines(docs).where(passes(bit_filter(busy, "leaf"), "leaf")).select("leaf", "hash", "line").distinct()
+    held = written(seen.join(counts.join(busy, "leaf"), ["leaf", "hash"]), "leaf-lines")
+    tokens = held.select("leaf", "hash", "n", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != FIELD)
+    tokens = tokens.withColumn("spot", F.xxhash64("leaf", "pos", "token"))
+    fixed = written(tokens.groupBy("spot").agg(F.sum("n").alias("k")).where(F.col("k") >= min_docs).select("spot"), "fixed-tokens")
+    marked = tokens.where(passes(bit_filter(fixed, "spot"), "spot")).join(fixed, "spot")
+    # a template is told by its fixed tokens and their places; the leaf holds the token count
+    shape = marked.groupBy("leaf", "hash").agg(F.count("*").alias("k"), F.sum(F.col("spot").cast("decimal(20,0)")).alias("sum"), F.bit_xor("spot").alias("xor"))
+    lines = held.select("leaf", "hash", "n", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("size")).join(shape, ["leaf", "hash"], "left")
+    general = F.coalesce(100 * F.col("k") >= SIMILAR * F.col("size"), F.lit(False))
+    named = lines.select("leaf", "hash", "n", F.when(general, F.concat_ws(":", "k", "sum", "xor")).otherwise(F.concat(F.lit("="), F.col("hash").cast("string"))).alias("template"))
+    often = named.groupBy("leaf", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs).select("leaf", "template")
+    return named.join(often, ["leaf", "template"], "left_semi").select("leaf", "hash")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` without recurring lines: ``text`` is replaced; ``n_lines`` and ``n_dropped`` follow (columns of these names are replaced)."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    gone = recurring_lines(docs, min_docs)
-    mine = docs.select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), template_line))).alias("line")).where("line != ''")
-    # lines travel as digests; a document's recurring ones are gathered by its id
-    mine = mine.select("_id", F.md5("line").alias("digest")).join(gone.select(F.md5("line").alias("digest")).distinct(), "digest")
-    per_doc = mine.groupBy("_id").agg(F.collect_set("digest").alias("_gone"))
-    joined = docs.select(*keep).join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    table = written(masked_lines(docs.select("doc_id", "text")).drop("line"), "line-table")
+    gone = recurring_lines(docs.select("doc_id", "text"), table, min_docs)
+    # places of the recurring lines, by document; equal texts of one id have equal places
+    places = table.join(gone, ["leaf", "hash"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
+    joined = docs.select(*keep).join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = F.split("text", "\n")
-    left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), F.md5(template_line(x)))))
-    parts = joined.withColumn("_left", left).withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")))
-    parts = parts.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"))
-    n_left = F.when(F.col("text").isNull(), 0).otherwise(F.size("_left"))
-    return parts.withColumn("n_dropped", (F.col("n_lines") - n_left).cast("long")).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_left", "\n"))).select(*keep, "n_lines", "n_dropped")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_gone = F.coalesce(F.size("_gone"), F.lit(0))
+    out = joined.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("_gone").isNull(), 0).otherwise(n_gone).cast("long"), "_text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))})
+    return out.withColumn("text", F.col("_text")).select(*keep, "n_lines", "n_dropped")
 
 
 def oracle(min_docs: int = MIN_DOCS) -> str:
