@@ -1,8 +1,11 @@
 """Licence scan by sentences and ordered rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, runs of anything but a-z and 0-9 become one space)
-and looked up in a list of known licence sentences, which gives its identifier. A document thus becomes a
-sequence of identifiers. The rules are tried in order: a rule whose identifiers stand next to each other in the
+A text is cut into pieces at single line breaks and after sentence ends; pieces are normalised (lower case, runs of
+anything but a-z and 0-9 become one space). Known licence sentences, each with an identifier, are looked up in the
+pieces: a sentence must begin and end with a piece, and may run over any number of neighbouring ones, so hard-wrapped
+texts (also behind comment marks) and sentences with an inner '.' or ';' are found. No sentence runs over a blank
+line; a line of marks alone is blank. Where several sentences begin at one piece, the longest counts. A document
+thus becomes a sequence of identifiers. The rules are tried in order: a rule whose identifiers stand next to each other in the
 sequence reports its licence and consumes them, so longer, more telling rules come before shorter ones.
 
 Edge cases: null and empty texts have no sentence and no licence; the same sentence twice counts twice;
@@ -90,19 +93,41 @@ RULES = [
     ("Proprietary", ["reserved"]),
 ]
 
-# Every known sentence holds one of these words, so a text without any of them needs no cutting.
-TRIGGERS = ["licen", "permission", "copyright", "warrant", "redistribut", "public domain", "rights reserved"]
+# Every known sentence holds one of these words (single ones: a line may end between two), so a text without any of them needs no cutting.
+TRIGGERS = ["licen", "permission", "copyright", "warrant", "redistribut", "domain", "reserved"]
 
-#: A sentence ends at a line break, or after one of these marks if white space follows.
-SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+"
+#: A piece ends at a line break, or after one of these marks if white space follows.
+PIECE_END = r"[.!?;][\x20\x09-\x0D]+"
+#: The known sentences between piece ends ("|"), longest first; each space may be an end, but two ends are a blank line.
+KNOWN = r"(?<=\| )(?:" + "|".join(s.replace(" ", r" (?:\| )?") for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?= \|)"
+
+
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text between bars; two bars stand for a blank line.
+
+    Lower-cased text has no A-Z, so S (a piece ends) and H (a blank line) serve as marks on the way.
+    """
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    steps = [
+        (r"\r\n?", "\n"),
+        (r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+", "H"),
+        (r"\n[^a-z0-9H]*+", "S"),
+        (PIECE_END, "S"),
+        (r"[^a-z0-9HS]+", " "),
+        (r"S[S ]*+", "S"),
+        (r" ?S?H[HS ]*+", " | | "),
+        (r" ?S", " | "),
+    ]
+    for pattern, mark in steps:
+        lower = F.regexp_replace(lower, pattern, mark)
+    return F.concat(F.lit(" | "), F.trim(lower), F.lit(" | "))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.split(F.regexp_replace(lower, SENTENCE_END, "$1\n"), r"[\n\r]+")
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    named = F.filter(F.transform(lines, lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))]), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(pieces(text), F.lit(KNOWN), F.lit(0))
+    named = F.transform(found, lambda s: known[F.replace(s, F.lit("| "), F.lit(""))])
     return F.when(holds_trigger(text), named).otherwise(F.array().cast("array<string>"))
 
 

@@ -24,6 +24,91 @@ def test_license_rules_and_edges(make_docs):
     assert license_scan.scan_licenses(make_docs([])).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Unlicense": "This is free and unencumbered software released into the public\ndomain.",
+    "Proprietary": "All rights\nreserved.",
+}
+
+
+def test_wrapped_licenses_are_found(make_docs):
+    rows, want = [], {}
+    for name, text in WRAPPED.items():
+        lines = text.split("\n")
+        for form in (text, "\r\n".join(lines), " ".join(x.strip() or "\n\n" for x in lines), *("\n".join(m + x for x in ["", *lines, ""]) for m in ("# ", "// ", " * ", ";; ", "    "))):
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+    cut = len(rows)  # no sentence runs over a blank line or begins within a piece
+    rows += [(cut, "All rights\n\nreserved."), (cut + 1, "All rights\n#\nreserved."), (cut + 2, "Not all rights reserved."), (cut + 3, "All rights reserved here.")]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(make_docs(rows)).collect()}
+    assert got == {**{i: [n] for i, n in want.items()}, **{cut + k: [] for k in range(4)}}
+    ids = {r["doc_id"]: r["sentence_ids"] for r in license_scan.scan_licenses(make_docs(rows)).collect()}
+    assert {i for r in ids.values() for i in r} >= {"mit_warranty", "apache2_basis", "apache2_see", "gpl_warranty", "gpl_see", "bsd_names"}
+
+
+def test_every_sentence_is_reached_however_it_is_wrapped(make_docs):
+    rows = [(k, form) for k, s in enumerate(license_scan.SENTENCES) for form in (s, s.upper().replace(" ", "\n# "), s.replace(" ", "; "))]
+    got = {(r["doc_id"], r["text"]): r["sentence_ids"] for r in license_scan.scan_licenses(make_docs(rows)).collect()}
+    assert list(got.values()) == [[list(license_scan.SENTENCES.values())[k]] for k, _ in got]
+
+
 def test_sentences_hold_triggers_and_are_normal():
     for s in license_scan.SENTENCES:
         assert any(t in s for t in license_scan.TRIGGERS) and s == " ".join(s.split()).lower()
