@@ -3,7 +3,9 @@
 Candidates are runs of base64 or hexadecimal characters. One is reported only if its decoded bytes have the
 structure of a credential: a DER key (nested tag-length-value fields whose lengths fit exactly), an OpenSSH
 private key block (its magic word and length-prefixed fields), or a signed token (two base64url JSON objects and a
-signature, with an algorithm in the header). Beside them stand three plain kinds (assignment, access key, hex
+signature, with an algorithm in the header). A base64 key ends where the lengths in its own bytes say, so words that
+follow it do no harm, and the search goes on right after it. Its lines may be parted by white space, line breaks with indentation, or
+escaped line breaks (a literal \\n). Beside them stand three plain kinds (assignment, access key, hex
 run), which need no confirmation.
 
 Spans are in code points, end exclusive, of the whole match. Edge cases: null counts as empty; an empty text
@@ -14,7 +16,6 @@ are scanned alike; other columns pass through.
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 from collections.abc import Iterator
@@ -31,12 +32,18 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A signed token: header and payload start with the base64 of '{"'.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-#: Base64 of DER starts with 'M' (a SEQUENCE tag) and of an OpenSSH key with 'b3BlbnNzaC1rZXkt'; line breaks may
-#: stand between the lines of an armoured key.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:M|b3BlbnNzaC1rZXkt)[A-Za-z0-9+/]{38,}(?:[\r\n]+[A-Za-z0-9+/]+)*={0,2}")
-HEX_BLOB = re.compile(r"(?<![0-9A-Za-z])(?:30|6f70656e7373682d6b65792d)[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
-
+JWT = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nr]))eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Base64 of DER starts with 'M' (a SEQUENCE tag) and of an OpenSSH key with 'b3BlbnNzaC1rZXkt'; an escaped line break
+#: may stand before it.
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr])|(?<=-----))(?:M|b3BlbnNzaC1rZXkt)(?=[A-Za-z0-9+/]{38})")
+#: What may part the lines of an armoured key: a length in the key tells where it ends (GAP), or nothing does (LINE_GAP).
+GAP = re.compile(r"(?:[\x20\t\r\n]|\\[nr])+")
+LINE_GAP = re.compile(r"(?:[\r\n]|\\[nr])(?:[\x20\t\r\n]|\\[nr])*")
+RUN = re.compile(r"[A-Za-z0-9+/]+")
+HEX_BLOB = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=\\[nr]))(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD])[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
+
+#: First bytes of an OpenSSH private key block, and how many keys one may hold.
+SSH_MAGIC, MAX_SSH_KEYS = b"openssh-key-v1\x00", 16
 #: Object identifiers of key algorithms, as DER content bytes: RSA, EC public key, DSA, Ed25519, X25519.
 KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2b6570", "2b656e")}
 
@@ -83,17 +90,32 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+def ssh_size(data: bytes) -> int | None:
+    """How many bytes the fields of an OpenSSH block fill, public keys and private part included; None if they don't fit."""
+    at = len(SSH_MAGIC)
+    for k in range(3 + MAX_SSH_KEYS + 1):
+        if k == 3:  # after cipher, kdf and kdf options: the number of keys
+            n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            return None
+        if k >= 3 and k == 3 + n:
+            return at
+    return None
+
+
 def is_ssh_key(data: bytes) -> bool:
     """The OpenSSH private key block: magic, then cipher, kdf and kdf options as length-prefixed fields."""
-    magic = b"openssh-key-v1\x00"
-    if not data.startswith(magic):
+    if not data.startswith(SSH_MAGIC):
         return False
-    at = len(magic)
+    at = len(SSH_MAGIC)
     for _ in range(3):
         if at + 4 > len(data):
             return False
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= MAX_SSH_KEYS
 
 
 def is_jwt(text: str) -> bool:
@@ -111,20 +133,67 @@ def confirmed(data: bytes) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def collect(text: str, at: int, need: int | None) -> tuple[str, int] | None:
+    """The first ``need`` base64 characters from ``at``, and where they end; None if there are fewer.
+
+    Without ``need``: all that follow over line breaks.
+    """
+    parts, have, gap = [], 0, GAP if need else LINE_GAP
+    while True:
+        run = RUN.match(text, at, at + need - have) if need else RUN.match(text, at)
+        if not run:
+            return None if need else ("".join(parts), end)
+        parts.append(run[0])
+        have, end = have + len(run[0]), run.end()
+        if have == need:
+            return "".join(parts), end
+        between = gap.match(text, end)
+        at = between.end() if between else end
+
+
+def decoded(chars: str) -> bytes:
+    """Bytes of base64 without padding; a last character that holds no whole byte is left out."""
+    if len(chars) % 4 == 1:
+        chars = chars[:-1]
+    return base64.b64decode(chars + "=" * (-len(chars) % 4))
+
+
+def key_at(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key whose base64 begins at ``at``; padding belongs to it."""
+    if text[at] == "b":
+        got, end = collect(text, at, None)
+        data = decoded(got)
+        if not is_ssh_key(data):
+            return None
+        size = ssh_size(data)
+        if size is not None:
+            end = collect(text, at, (4 * size + 2) // 3)[1]
+        kind = "ssh_key"
+    else:
+        head = decoded(text[at : at + 12])
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if head[0] != 0x30 or head[1] == 0x80 or n > 4 or head[2 + n] not in (0x02, 0x30):
+            return None
+        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        need = (4 * size + 2) // 3
+        found = collect(text, at, need) if at + need <= len(text) else None
+        if found is None or not is_der_key(decoded(found[0])[:size]):
+            return None
+        kind, end = "der_key", found[1]
+    return kind, end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind in listing order."""
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     spans += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
+    upto = 0
     for m in BASE64.finditer(text):
-        plain = re.sub(r"[\r\n]+", "", m[0]).rstrip("=")
-        try:
-            kind = confirmed(base64.b64decode(plain + "=" * (-len(plain) % 4)))
-        except (ValueError, binascii.Error):
-            continue
-        if kind:
-            spans.append((kind, *m.span()))
+        if m.start() >= upto and (key := key_at(text, m.start())):
+            upto = key[1]
+            spans.append((key[0], m.start(), upto))
     for m in HEX_BLOB.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
             spans.append((kind, *m.span()))

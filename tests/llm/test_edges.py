@@ -376,6 +376,35 @@ def test_structures_are_confirmed():
     assert kinds(jwt) == ["jwt"] and kinds(f"{url({'typ': 'x'})}.{url({})}.zz") == [] and kinds("M" + "A" * 80) == [] and kinds(b64(pkcs8[:-3] + b"\x00")) == []
 
 
+def test_keys_are_found_in_all_their_forms():
+    b64 = lambda x: base64.b64encode(x).decode()
+    ssh_field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\x00" + ssh_field(b"none") + ssh_field(b"none") + ssh_field(b"") + (1).to_bytes(4, "big") + ssh_field(b"k" * 51) + ssh_field(b"p" * 140)
+    keys = {}
+    for extra in range(3):  # paddings of 0, 1 and 2
+        body = b"".join(der(0x02, bytes([5] * 20)) for _ in range(7)) + der(0x02, bytes([6] * (20 + extra)))
+        keys[b64(der(0x30, der(0x02, b"\x00") + body))] = "der_key"
+        keys[b64(ssh[:-144] + ssh_field(b"p" * (140 + extra)))] = "ssh_key"
+    assert {k.count("=") for k, kind in keys.items() if kind == "der_key"} == {0, 1, 2}
+    for key, kind in keys.items():
+        lines = [key[i : i + 64] for i in range(0, len(key), 64)]
+        forms = [f"PRIVATE_KEY={key}", f"PRIVATE_KEY={key.rstrip('=')}\nNext words follow here", f"{key}\nMore words", "\n".join(lines) + "\nAnd\nso\non", "  key: |\n    " + "\n    ".join(lines) + "\n  other: 1"]
+        forms += [f'"-----BEGIN PRIVATE KEY-----\\n{sep.join(lines)}{sep}-----END PRIVATE KEY-----"' for sep in ("\\n", "\\r\\n", "\n", "\r\n")]
+        forms += ["\n".join(["M" + "A" * 50, *lines]), "\n".join([*lines, "z"])]
+        for form in forms:
+            spans = [x for x in secret_scan.scan(form) if x[0] in ("der_key", "ssh_key")]
+            assert [x[0] for x in spans] == [kind], form
+            start, end = form.index(key[:40]), spans[0][2]
+            # the span is the key, whatever follows; padding is part of it
+            plain = form[start:end].replace("\\n", "").replace("\\r", "")
+            assert spans[0][1] == start and "".join(plain.split()).rstrip("=") == key.rstrip("="), form
+        assert [k for k, *_ in secret_scan.scan(f"{key.rstrip('=')}\n{key}\n")].count(kind) == 2
+        assert not [k for k, *_ in secret_scan.scan(key[: len(key) // 2]) if k == "der_key"]
+    assert "ssh_key" in [k for k, *_ in secret_scan.scan(ssh.hex().upper())]
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x, separators=(",", ":")).encode()).decode().rstrip("=")
+    assert [k for k, *_ in secret_scan.scan(f"line\\n{url({'alg': 'HS256'})}.{url({'sub': '1'})}.c2ln")] == ["jwt"]
+
+
 def test_secret_edges(make_docs):
     rows = [(1, None), (2, ""), (3, 'PassWord = "abcdefghijkl"'), (4, 'password = "short"'), (5, "AKIA" + "A" * 14), (6, "AKIA" + "A" * 13), (7, "f" * 16), (8, "f" * 15), (9, "API_KEY:0123456789abcdef0"), (10, LONG), (11, "toKen=abcdefghijkl")]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.find_secrets(make_docs(rows, clash=["kind"]).withColumn("spans", F.lit(1))).collect()}
