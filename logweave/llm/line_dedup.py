@@ -2,9 +2,8 @@
 
 A line's tokens are its parts between white space; a token with a digit is a variable field, ``<*>``. The tree has a
 fixed depth: token count, then the first LEADING tokens; under them lies a leaf. In a leaf a token is fixed at its
-position if at least MIN_DOCS of the leaf's lines have it there (each distinct line of each document counts once);
-other tokens are variable too. A line whose fixed tokens make up at least SIMILAR percent of it gets the generalised template, any other
-line its own tokens. Lines of a template with at least MIN_DOCS lines over distinct documents are recurring and are dropped
+position if lines of at least MIN_DOCS distinct documents have it there; other tokens are variable too. A line whose fixed tokens make up at least SIMILAR percent of it gets the generalised template, any other
+line its own tokens. Lines of a template that at least MIN_DOCS distinct documents hold are recurring and are dropped
 from all documents; the rest keep their order.
 
 Texts are read three times and shuffled once, at the end. The first reading leaves a table of line numbers and
@@ -13,7 +12,9 @@ fetches the texts of lines whose leaf has at least MIN_DOCS lines: a bit filter
 sent to the tasks, so nearly all other lines stay where they are; what it lets through wrongly goes in the exact
 join after it. Tokens are counted by hash, and again only those that a bit filter of the fixed ones passes are joined. The third
 reading joins the places of recurring lines to their documents. Counts are summed before they are shuffled: a line that
-a third of all documents hold is one key with one number.
+a third of all documents hold is one key with one number. The sum over the lines of a group is a bound of its documents, and
+its most frequent line shows that many; only where these two leave it open are (document, line) pairs joined, and then no
+line has MIN_DOCS documents.
 
 Edge cases: null text stays null and has no lines; blank lines are kept and belong to no template; a line that a
 document repeats counts once for it but every copy is dropped if it recurs; documents that share an id are treated
@@ -73,6 +74,11 @@ def passes(bits: Column, column: str, n: int = FILTER_BITS) -> Column:
     return F.bit_get(F.get(bits, F.floor(slot / 64).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
 
 
+def held_by(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
+    """The keys that at least ``min_docs`` distinct documents hold; null ids are one document."""
+    return rows.select(*keys, "doc_id").distinct().groupBy(*keys).agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select(*keys)
+
+
 def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, hash) of the distinct masked lines whose template recurs; ``table`` is ``masked_lines`` without ``line``."""
     counts = written(table.select("doc_id", "leaf", "hash").distinct().groupBy("leaf", "hash").agg(F.count("*").alias("n")), "line-counts")
@@ -81,14 +87,24 @@ def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS)
     held = written(seen.join(counts.join(busy, "leaf"), ["leaf", "hash"]), "leaf-lines")
     tokens = held.select("leaf", "hash", "n", F.posexplode(F.split("line", " ")).alias("pos", "token")).where(F.col("token") != FIELD)
     tokens = tokens.withColumn("spot", F.xxhash64("leaf", "pos", "token"))
-    fixed = written(tokens.groupBy("spot").agg(F.sum("n").alias("k")).where(F.col("k") >= min_docs).select("spot"), "fixed-tokens")
+    sums = written(tokens.groupBy("spot").agg(F.sum("n").alias("k"), F.max("n").alias("top")).where(F.col("k") >= min_docs), "token-counts")
+    rare = held.where(F.col("n") < min_docs).select("leaf", "hash")
+    pairs = table.where(passes(bit_filter(rare, "hash"), "hash")).select("doc_id", "leaf", "hash").distinct()
+    pairs = written(pairs.join(rare, ["leaf", "hash"]), "line-docs")
+    open_ = bit_filter(sums.where(F.col("top") < min_docs), "spot")
+    spots = tokens.where((F.col("n") < min_docs) & passes(open_, "spot")).select("leaf", "hash", "spot").join(pairs, ["leaf", "hash"])
+    shown = held_by(spots, ["spot"], min_docs)
+    fixed = written(sums.where(F.col("top") >= min_docs).select("spot").union(shown).distinct(), "fixed-tokens")
     marked = tokens.where(passes(bit_filter(fixed, "spot"), "spot")).join(fixed, "spot")
     # a template is told by its fixed tokens and their places; the leaf holds the token count
     shape = marked.groupBy("leaf", "hash").agg(F.count("*").alias("k"), F.sum(F.col("spot").cast("decimal(20,0)")).alias("sum"), F.bit_xor("spot").alias("xor"))
     lines = held.select("leaf", "hash", "n", (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("size")).join(shape, ["leaf", "hash"], "left")
     general = F.coalesce(100 * F.col("k") >= SIMILAR * F.col("size"), F.lit(False))
-    named = lines.select("leaf", "hash", "n", F.when(general, F.concat_ws(":", "k", "sum", "xor")).otherwise(F.concat(F.lit("="), F.col("hash").cast("string"))).alias("template"))
-    often = named.groupBy("leaf", "template").agg(F.sum("n").alias("total")).where(F.col("total") >= min_docs).select("leaf", "template")
+    template = F.when(general, F.concat_ws(":", "k", "sum", "xor")).otherwise(F.concat(F.lit("="), F.col("hash").cast("string")))
+    named = written(lines.select("leaf", "hash", "n", template.alias("template")), "templates")
+    totals = named.groupBy("leaf", "template").agg(F.sum("n").alias("total"), F.max("n").alias("top")).where(F.col("total") >= min_docs)
+    doubtful = named.join(totals.where(F.col("top") < min_docs), ["leaf", "template"], "left_semi").select("leaf", "hash", "template")
+    often = totals.where(F.col("top") >= min_docs).select("leaf", "template").union(held_by(doubtful.join(pairs, ["leaf", "hash"]), ["leaf", "template"], min_docs))
     return named.join(often, ["leaf", "template"], "left_semi").select("leaf", "hash")
 
 

@@ -127,6 +127,24 @@ def test_lines_with_variable_fields_are_dropped(make_docs):
     assert line_dedup.drop_recurring(make_docs([])).count() == 0
 
 
+def test_lines_of_one_document_do_not_recur(make_docs):
+    menu = "\n".join(f"the recipe of the day is {x}" for x in ("soup", "bread", "cake", "salad"))
+    two = ["a list of fine things: red", "a list of fine things: blue"]
+    rows = [(1, menu), (1, menu), (2, "other"), (3, "\n".join(two)), (4, "\n".join([two[0], "a list of fine things: green"])), (5, two[1])]
+    # in four documents, the null id among them, no line of it in more than one
+    rows += [(None if k == 3 else 10 + k, f"we met {w} in the old town") for k, w in enumerate(WORDS[:4])]
+    out = {r["doc_id"]: r for r in line_dedup.drop_recurring(make_docs(rows)).collect()}
+    assert {i: out[i]["n_dropped"] for i in (1, 2, 3, 4, 5)} == dict.fromkeys((1, 2, 3, 4, 5), 0) and out[1]["text"] == menu
+    assert [out[i]["n_dropped"] for i in (10, 11, 12, None)] == [1] * 4
+
+
+def test_one_document_fixes_no_token(make_docs):
+    # "x y same" has its third token fixed by one document only: with distinct documents, 2 of 4 tokens are fixed
+    rows = [(1, "\n".join(f"x y same {w}" for w in WORDS[:6]))] + [(2 + k, f"x y {w} {w}") for k, w in enumerate(WORDS[6:10])]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring(make_docs(rows)).collect()}
+    assert set(out.values()) == {0}
+
+
 # --- 3 tokens
 def test_token_files_round_trip(spark, make_docs, tmp_path):
     import pyarrow as pa
