@@ -31,7 +31,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of any benchmark item go; null ids stay if nothing was found under null."""
     names = docs.columns
-    hit = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).where(F.col("item_id").isNotNull()).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).where(F.col("place").isNotNull()).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti").select(*names)
 
 

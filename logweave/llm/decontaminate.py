@@ -14,7 +14,7 @@ documents, and the hits of all blocks are united per document.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Edge cases: null or empty texts and items have no
 words; an item without words has no window; repeated items count by their ids; an empty benchmark
-contaminates nothing; null item ids are ignored; rows that share a doc_id share their hits; other columns are not read.
+contaminates nothing; items with a null id are searched and add no name to the list; rows that share a doc_id share their hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def search_texts(texts: list[str | None], block: Block) -> tuple[np.ndarray, pd.
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
     """The items in blocks of bounded size, read one after another to the driver."""
     held, size = [], 0
-    for row in benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         n = len(row["text"] or "")
         if held and size + n > block_chars:
             yield Block(held, window)
@@ -186,7 +186,7 @@ MATCHES = "doc_id long, n_words long, item_id string, place long, item_place lon
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row (doc_id, n_words, item_id, place, item_place, length) a longest match, and one with a null item a document.
+    """One row (doc_id, n_words, item_id, place, item_place, length) a longest match, and one with a null place a document.
 
     The result is a written table. Every block of the benchmark passes over all documents.
     """
@@ -202,7 +202,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                     yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_words": pa.array(counts, pa.int64()), "item_id": pa.nulls(len(ids), pa.string()), **{c: pa.nulls(len(ids), pa.int64()) for c in ("place", "item_place", "length")}})
                 if len(hits):
                     at = pa.array(hits["doc"].to_numpy())
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids.take(at), "n_words": pa.array(counts[hits["doc"]], pa.int64()), "item_id": pa.array([str(held.value.ids[i]) for i in hits["item"]], pa.string()), **{c: pa.array(hits[c].to_numpy(), pa.int64()) for c in ("place", "item_place", "length")}})
+                    yield pa.RecordBatch.from_pydict({"doc_id": ids.take(at), "n_words": pa.array(counts[hits["doc"]], pa.int64()), "item_id": pa.array([None if (x := held.value.ids[i]) is None else str(x) for i in hits["item"]], pa.string()), **{c: pa.array(hits[c].to_numpy(), pa.int64()) for c in ("place", "item_place", "length")}})
 
         part = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, MATCHES), "matches")
         out = part if out is None else out.unionByName(part)
@@ -211,13 +211,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def contamination(matches: DataFrame) -> DataFrame:
     """Per document (doc_id, n_words, n_hit, items): words inside any match, and the sorted ids of its items."""
-    hit = matches.where(F.col("item_id").isNotNull())
+    hit = matches.where(F.col("place").isNotNull())
     stop = F.col("place") + F.col("length")
     before = Window.partitionBy("doc_id").orderBy("place", F.col("length").desc(), "item_id").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), stop - F.greatest(F.col("place"), F.coalesce(F.max(stop).over(before), F.lit(0))))
     spans = hit.groupBy("doc_id", "place", "length").agg(F.first("item_id").alias("item_id"))
     n_hit = spans.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"))
-    items = hit.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = n_hit.join(items, "doc_id")
-    every = matches.where(F.col("item_id").isNull()).select("doc_id", "n_words")
-    return every.join(found, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    items = hit.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found = n_hit.join(items, F.col("doc_id").eqNullSafe(F.col("_of"))).drop("doc_id")
+    every = matches.where(F.col("place").isNull()).select("doc_id", "n_words")
+    return every.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

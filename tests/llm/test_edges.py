@@ -338,6 +338,14 @@ def test_decontamination_finds_the_longest_match(make_docs, spark):
     assert decontaminate.contamination(decontaminate.find_matches(make_docs([]), none)).count() == 0
 
 
+def test_null_ids_are_decontaminated(make_docs, spark):
+    item, named = " ".join(f"t{k}" for k in range(12)), " ".join(f"u{k}" for k in range(10))
+    bench = spark.createDataFrame([(None, item), (7, named)], "item_id long, text string")
+    docs = make_docs([(1, f"a {item} b"), (None, f"x {named}"), (3, "clean"), (4, f"{item} {named}")])
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.contamination(decontaminate.find_matches(docs, bench)).collect()}
+    assert got == {1: (12, []), None: (10, ["7"]), 3: (0, []), 4: (22, ["7"])}
+
+
 # --- 7 exact dedup
 def test_dedup_edges(make_docs):
     rows = [(3, "a b"), (1, "ab"), (2, "a  b"), (4, None), (5, ""), (6, " \n\t"), (7, LONG), (None, "ab"), (8, "solo"), (8, "solo"), (9, "a b")]
