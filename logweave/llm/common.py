@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,24 +13,34 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a local
-    session, as in tests) is a temporary folder made and set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset in a session of one
+    process (as in tests) does a temporary folder stand in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_dir()
     return base.rstrip("/")
 
 
+#: Scratch paths of this process that are not discarded yet.
+_LIVE: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _LIVE.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +53,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _LIVE.discard(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that everything which needs them has been written from."""
+    for df in frames:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the scratch that is left of earlier work, unless ``docs`` itself is read from it.
+
+    A stage calls this on what its predecessor returned, which has been written and read again by then.
+    """
+    base = shared_dir(docs.sparkSession)
+    used = {f for f in docs.inputFiles() if base.removeprefix("file:").lstrip("/") in f}
+    for path in list(_LIVE):
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in f for f in used):
+            _delete(docs.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
