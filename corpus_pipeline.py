@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-Every stage works on all that the one before kept and, but for the last, returns the columns of documents.
+Every stage works on all that the one before kept and, but for the last, returns the columns of documents. What a stage
+left in the shared folder is deleted when the next one begins, as its result is written by then.
+
+Edge cases, in every stage: an empty table gives an empty table; further columns pass through, also with the names of
+results; null and empty texts, repeated rows and null ids as each stage says.
 """
 
 from __future__ import annotations
@@ -9,12 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import decontaminate, language_id, mixing, ngram_join, token_output
-from logweave.llm.common import table, written
+from logweave.llm.common import release, table, written
 from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents that have a known language stay; ``und`` and undecided ones go."""
+    """Language ID: documents that have a known language stay; ``und`` and undecided ones go.
+
+    Null and empty texts and texts without letters are ``und`` and go; repeated rows are judged alike; a null id is
+    judged by its text; of languages that tie the first in sorted order counts.
+    """
     names = docs.columns
     model = language_id.fit(docs)
     found = language_id.identify(docs, model, "_lang_found", "_lang_score")
@@ -22,27 +30,44 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (five words, 0.8): of each component the smallest id stays; null ids stay."""
+    """N-gram Jaccard join (five words, 0.8): of each component the smallest id stays.
+
+    Null ids stay, as no link can name them; texts without words link with nothing and stay; rows of one id stay or go
+    together.
+    """
+    release(docs)
     names = docs.columns
     drop = ngram_join.jaccard_components(docs, n=5, percent=80).where("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_dropped"], "left_anti").select(*names)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents with a window of any benchmark item go; null ids stay if nothing was found under null."""
+    """Benchmark decontamination: documents with a window of any benchmark item go.
+
+    Rows of one id stay or go together, and so do the rows with a null id; texts without words stay.
+    """
+    release(docs)
     names = docs.columns
     hit = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).where(F.col("place").isNotNull()).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti").select(*names)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to the target token shares: each document appears as often as its rate says."""
+    """Mixing to the target token shares: each document appears as often as its rate says.
+
+    Rows of one id, null included, have one rate; texts without words are rated by the prior.
+    """
+    release(docs)
     rated = mixing.mix(docs.select("doc_id", "text"), domain_labels(spark, sf_dir), TARGETS)
     return mixing.apply_copies(docs, rated)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-ID output: the files are written, and each document is returned as they give it back."""
+    """Token-ID output: the files are written, and each document is returned as they give it back.
+
+    Null and empty texts give the end id alone; null ids come first; repeated rows are all written, in order of text.
+    """
+    release(docs)
     return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID))
 
 
