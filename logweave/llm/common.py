@@ -70,16 +70,17 @@ def discard(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df.scratch_path)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete the scratch that is left of earlier work, unless ``docs`` itself is read from it.
+def live() -> set[str]:
+    """The scratch paths of this process that are not discarded yet."""
+    return set(_LIVE)
 
-    A stage calls this on what its predecessor returned, which has been written and read again by then.
-    """
-    base = shared_dir(docs.sparkSession)
-    used = {f for f in docs.inputFiles() if base.removeprefix("file:").lstrip("/") in f}
-    for path in list(_LIVE):
+
+def release(paths: set[str], docs: DataFrame) -> None:
+    """Delete the scratch ``paths``, but for a table that ``docs`` itself is read from."""
+    files = docs.inputFiles()
+    for path in paths & _LIVE:
         name = path.rsplit("/", 1)[1]
-        if not any(f"/{name}/" in f for f in used):
+        if not any(f"/{name}/" in f for f in files):
             _delete(docs.sparkSession, path)
 
 
