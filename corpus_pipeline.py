@@ -9,14 +9,36 @@ results; null and empty texts, repeated rows and null ids as each stage says.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import decontaminate, language_id, mixing, ngram_join, token_output
-from logweave.llm.common import release, table, written
+from logweave.llm.common import live, release, table, written
 from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 
 
+#: Scratch of the stage before.
+_LEFT: set[str] = set()
+
+
+def stage(work):
+    """A stage that first deletes what the one before left, whose result has been written and read again as ``docs``."""
+
+    @wraps(work)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_LEFT, docs)
+        before = live()
+        out = work(spark, docs, sf_dir)
+        _LEFT.clear()
+        _LEFT.update(live() - before)
+        return out
+
+    return tidy
+
+
+@stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that have a known language stay; ``und`` and undecided ones go.
 
@@ -29,45 +51,45 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("_lang_found") != language_id.UNKNOWN) & (F.col("_lang_score") >= 0.5)).select(*names)
 
 
+@stage
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join (five words, 0.8): of each component the smallest id stays.
 
     Null ids stay, as no link can name them; texts without words link with nothing and stay; rows of one id stay or go
     together.
     """
-    release(docs)
     names = docs.columns
     drop = ngram_join.jaccard_components(docs, n=5, percent=80).where("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_dropped"], "left_anti").select(*names)
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a window of any benchmark item go.
 
     Rows of one id stay or go together, and so do the rows with a null id; texts without words stay.
     """
-    release(docs)
     names = docs.columns
     hit = decontaminate.find_matches(docs, table(spark, sf_dir, "benchmark")).where(F.col("place").isNotNull()).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti").select(*names)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to the target token shares: each document appears as often as its rate says.
 
     Rows of one id, null included, have one rate; texts without words are rated by the prior.
     """
-    release(docs)
     rated = mixing.mix(docs.select("doc_id", "text"), domain_labels(spark, sf_dir), TARGETS)
     return mixing.apply_copies(docs, rated)
 
 
+@stage
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output: the files are written, and each document is returned as they give it back.
 
     Null and empty texts give the end id alone; null ids come first; repeated rows are all written, in order of text.
     """
-    release(docs)
     return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID))
 
 
@@ -85,8 +107,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
     return docs
