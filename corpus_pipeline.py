@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm import decontaminate, language_id, mixing, ngram_join, token_output
-from logweave.llm.common import live, release, table, written
+from logweave.llm.common import discard, live, release, table, written
 from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 
 
@@ -84,12 +84,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.apply_copies(docs, rated)
 
 
-@stage
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output: the files are written, and each document is returned as they give it back.
 
     Null and empty texts give the end id alone; null ids come first; repeated rows are all written, in order of text.
     """
+    release(_LEFT, docs)
+    _LEFT.clear()
     return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID))
 
 
@@ -111,4 +112,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = work(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            if k:
+                discard(given)
+            given = docs
     return docs
