@@ -102,13 +102,13 @@ def tasks(spark: SparkSession) -> int:
 HOT_SHARE = 2000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """``rows`` inner-joined with ``groups`` (one row a key, ``size`` its number of rows), both written tables.
 
-    The large groups, few by their share of all rows, are broadcast, so no task gets a large group's rows; the
-    rest joins by key.
+    The large groups, few by their share of all rows (``total``, counted if not given), are broadcast, so no task gets a
+    large group's rows; the rest joins by key.
     """
-    floor = max(2, rows.count() // HOT_SHARE + 1)
+    floor = max(2, (rows.count() if total is None else total) // HOT_SHARE + 1)
     hot, cold = groups.where(F.col(size) >= floor), groups.where(F.col(size) < floor)
     tagged = rows.join(F.broadcast(hot), key, "left")
     known = tagged.where(F.col(size).isNotNull())

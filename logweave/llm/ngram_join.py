@@ -9,18 +9,24 @@ component that other links already connect.
    batch a token is counted once before it is dealt, so a passage that a third of all documents hold is one entry a
    batch. A document with too few shared tokens links with none and is done.
 2. *Representatives.* Of equal sets one document goes on.
-3. *Blocks.* Of the documents left, tokens are counted in full. A document's rarest tokens, as many as may differ and one
-   more, are its keys: linked documents share one. Documents connected by shared keys form a block.
-4. *Token-group matrix.* In a block, similar documents form groups around a leader. A group stores the union of
-   its tokens. The overlap of a query document with a union bounds its overlap with every member, so only
-   groups that reach the needed overlap are opened and compared exactly; members that are already
-   connected with the query are passed over, and only the links that connect are returned. A block of more than
-   BLOCK_DOCS documents is dealt as pairs of parts.
-5. *Components* of those links give each document its class.
+3. *Keys.* Of the documents left, tokens are counted in full. A document's rarest tokens, as many as may differ and one
+   more, are its keys: linked documents share one. The documents of a key are its posting.
+4. *Groups.* Every document is compared with the first document of each of its postings (its hubs). The links found this way
+   gather similar documents into groups, however large they are, with one comparison a document and hub.
+5. *What is left.* A posting is open if it holds documents of two groups. A document that shares too few of its rarest
+   tokens (the screen's bound again) in open postings links with no other group and is done. Of postings with the
+   same documents one goes on.
+6. *Token-group matrix.* In an open posting each group's token union is stored. The overlap of a query document with a union
+   bounds its overlap with every member, so only groups that reach the needed overlap are opened and compared
+   exactly; groups that a link has joined meanwhile are passed over, and only links that connect are returned. A posting
+   of more than BLOCK_TOKENS tokens is dealt to blocks: its largest group is split, and only documents of other groups
+   go to all blocks.
+7. *Components* of all links give each document its class.
 
 Hashes of 64 bits stand for tokens. Edge cases: null or empty texts and texts without words have no tokens and link with
 nothing; fewer than n words are one token; a null id can't be linked or named and stays alone; rows that repeat
-an id count as one document (its first set); other columns are not read.
+an id count as one document, whose set is that of one of its rows (the one whose set has the least digest); ties need no
+rule, as only components count; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,25 +34,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, tasks, written
+from .common import discard, join_groups, tasks, written
 from .components import components
 
 NGRAM, PERCENT = 4, 85
-#: Documents of one part of a large block.
-BLOCK_DOCS = 1500
+#: Tokens, with repeats, of one block of a large posting, and of the blocks that one task solves together.
+BLOCK_TOKENS, TASK_TOKENS = 400_000, 1_500_000
+#: Documents that are compared with one copy of their hub.
+HUB_ROWS = 500
 #: Share of a document's tokens, beyond those that may differ, that the screen looks at.
 SCREEN = 0.15
 #: Bytes of text, or of tokens, that a task turns into one chunk.
 CHUNK_BYTES = 8_000_000
-#: Tokens that one counting task holds on average.
-RANGE_TOKENS = 1_500_000
+#: Tokens that one counting task holds on average, and bytes of text with about as many screened tokens.
+RANGE_TOKENS, RANGE_TEXT = 1_500_000, 24_000_000
+#: Rounds in which documents without enough open tokens are taken out (more rounds take out more; none is needed).
+SIFTS = 1
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
@@ -75,7 +84,9 @@ def needed(size: np.ndarray, percent: int) -> np.ndarray:
 
 def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows of about CHUNK_BYTES; a larger row is a run of its own."""
-    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+    values = batch.column(column)
+    sizes = pc.binary_length(values) if pa.types.is_string(values.type) else pc.multiply(pc.list_value_length(values), 8)
+    sizes = [n or 0 for n in sizes.to_pylist()]
     a = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > CHUNK_BYTES:
@@ -90,26 +101,26 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.large_binary()).to_pylist()
 
 
-CHUNKS = "kind int, chunk string, part int, doc_ids array<long>, sizes array<int>, signs array<binary>, counts binary, tokens binary"
+CHUNKS = "kind int, chunk string, part int, doc_ids array<long>, marks array<long>, sizes array<int>, signs array<binary>, counts binary, tokens binary"
 
 
-def _pack(kind: int, chunk: str, part: int, *, doc_ids=(), sizes=(), signs=(), counts=b"", tokens=b"") -> dict:
-    return {"kind": kind, "chunk": chunk, "part": part, "doc_ids": doc_ids, "sizes": sizes, "signs": signs, "counts": counts, "tokens": tokens}
+def _pack(kind: int, chunk: str, part: int, *, doc_ids=(), marks=(), sizes=(), signs=(), counts=b"", tokens=b"") -> dict:
+    return {"kind": kind, "chunk": chunk, "part": part, "doc_ids": doc_ids, "marks": marks, "sizes": sizes, "signs": signs, "counts": counts, "tokens": tokens}
 
 
-def _chunk_rows(chunk: str, doc_ids: list, sets: list[np.ndarray], signs: list[bytes], sizes: np.ndarray, parts: int) -> Iterator[dict]:
+def _chunk_rows(chunk: str, doc_ids: list, marks: list, sets: list[np.ndarray], signs: list[bytes], sizes: np.ndarray, parts: int) -> Iterator[dict]:
     """One head row (documents, token count of each, place of each token among the chunk's distinct tokens) and the distinct tokens by range."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     distinct, place, n = np.unique(flat, return_inverse=True, return_counts=True)
     lengths = np.fromiter(map(len, sets), dtype="<u4", count=len(sets))
-    yield _pack(0, chunk, -1, doc_ids=doc_ids, sizes=sizes.tolist(), signs=signs, counts=lengths.tobytes(), tokens=place.astype("<u4").tobytes())
+    yield _pack(0, chunk, -1, doc_ids=doc_ids, marks=marks, sizes=sizes.tolist(), signs=signs, counts=lengths.tobytes(), tokens=place.astype("<u4").tobytes())
     edge = np.searchsorted((distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
     for r in np.flatnonzero(np.diff(edge)):
         a, b = edge[r], edge[r + 1]
         yield _pack(1, chunk, int(r), counts=np.minimum(n[a:b], 65535).astype("<u2").tobytes(), tokens=distinct[a:b].astype("<u8").tobytes())
 
 
-_CHUNK_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("signs", pa.list_(pa.binary())), ("counts", pa.binary()), ("tokens", pa.binary())])
+_CHUNK_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.string()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("signs", pa.list_(pa.binary())), ("counts", pa.binary()), ("tokens", pa.binary())])
 
 
 def _emit(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +158,8 @@ def _with_counts(chunks: DataFrame, counts: DataFrame, per_chunk, schema: str) -
         got = np.frombuffer(b"".join(r["counts"] for r in rest), "<u2")
         return per_chunk(head, got)
 
-    heads = chunks.where("kind = 0").select("chunk", "part", "doc_ids", "sizes", "signs", "counts", "tokens")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("sizes", "array<int>"), ("signs", "array<binary>"))]
+    heads = chunks.where("kind = 0").select("chunk", "part", "doc_ids", "marks", "sizes", "signs", "counts", "tokens")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<long>"), ("marks", "array<long>"), ("sizes", "array<int>"), ("signs", "array<binary>"))]
     back = counts.select("chunk", "part", *none, "counts", F.lit(None).cast("binary").alias("tokens"))
     return heads.unionByName(back).groupBy("chunk").applyInArrow(meet, schema)
 
@@ -169,11 +180,17 @@ def screen_chunks(docs: DataFrame, n: int, percent: int, parts: int) -> DataFram
                 keep = np.minimum(size, size - needed(size, percent) + np.maximum(1, (SCREEN * size).astype(np.int64)))
                 signs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 k += 1
-                yield from _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), [s[:p].copy() for s, p in zip(sets, keep)], signs, size, parts)
+                yield from _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), [s[:p].copy() for s, p in zip(sets, keep)], signs, size, parts)
 
         yield from _emit(rows())
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(split, CHUNKS)
+    return marked_texts(docs).mapInArrow(split, CHUNKS)
+
+
+def marked_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) of the rows with an id; the mark tells rows of one id apart by their text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def _screen(percent: int):
@@ -186,11 +203,16 @@ def _screen(percent: int):
         own = lengths - np.minimum(lengths, size - needed(size, percent))  # k of this document's k-prefix
         # k differs between two linked documents: they share the smaller; sizes differ by PERCENT at most
         least = np.maximum(1, own * percent // 100 - 1)
-        return pa.table({"doc_id": pa.array(head["doc_ids"], pa.int64()), "n": pa.array(size, pa.int32()), "sign": pa.array(head["signs"], pa.binary()), "open": pa.array((size > 0) & (n >= least))})
+        return pa.table({"doc_id": pa.array(head["doc_ids"], pa.int64()), "mark": pa.array(head["marks"], pa.int64()), "n": pa.array(size, pa.int32()), "sign": pa.array(head["signs"], pa.binary()), "open": pa.array((size > 0) & (n >= least))})
 
     return judge
 
 
+def _own(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens of its prefix a document looks at beyond those that may differ."""
+    return np.maximum(1, np.minimum(needed(size, percent), (SCREEN * size).astype(np.int64)))
+
+
 def _keys(percent: int):
     def choose(head: dict, counts: np.ndarray) -> pa.Table:
         size = np.array(head["sizes"], dtype=np.int64)
@@ -200,16 +222,25 @@ def _keys(percent: int):
         # rank of each token within its document: rarest first, then by place (the order of hashes)
         order = np.lexsort((place, df, owner))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        allowed = size - needed(size, percent) + 1
-        key = (rank < allowed[owner]) & (df[order] > 1)
-        at = order[key]
+        differ, own = size - needed(size, percent), _own(size, percent)
+        owner = owner[order]
+        key = (rank < (differ + own)[owner]) & (df[order] > 1)
+        at, owner, rank = order[key], owner[key], rank[key]
         tokens = np.frombuffer(head["counts"], "<u8")  # the head of this kind carries the distinct tokens
         ids = np.array(head["doc_ids"], dtype=np.int64)
-        return pa.table({"token": pa.array(tokens[place[at]].view(np.int64)), "doc_id": pa.array(ids[owner[at]])})
+        # linked documents share as many tokens of their prefixes as the one with fewer of them looks at
+        least = np.maximum(1, own * percent // 100 - 1)
+        return pa.table({"token": pa.array(tokens[place[at]].view(np.int64)), "doc_id": pa.array(ids[owner]), "size": pa.array(size[owner], pa.int32()), "key": pa.array(rank <= differ[owner]), "least": pa.array(least[owner], pa.int32())})
 
     return choose
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list<int64> column as token arrays."""
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=True).view(np.uint64)
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def full_chunks(sets: DataFrame, parts: int) -> DataFrame:
     """Chunks over whole sets (doc_id, tokens); here the head row also carries the distinct tokens."""
 
@@ -222,9 +253,9 @@ def full_chunks(sets: DataFrame, parts: int) -> DataFrame:
             nonlocal k
             for batch in (part for whole in batches for part in _parts(whole, "tokens")):
                 k += 1
-                got = [np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()]
+                got = _sets(batch.column("tokens"))
                 size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-                for row in _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), got, [], size, parts):
+                for row in _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), [], got, [], size, parts):
                     if row["kind"] == 0:
                         row["counts"] = np.unique(np.concatenate(got)).tobytes()
                     yield row
@@ -234,16 +265,25 @@ def full_chunks(sets: DataFrame, parts: int) -> DataFrame:
     return sets.mapInArrow(split, CHUNKS)
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect the documents of a block, found through a token-group matrix."""
-    m = len(ids)
-    order = sorted(range(m), key=lambda i: (-len(sets[i]), ids[i]))
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    size = np.fromiter(map(len, sets), dtype=np.int64, count=m)
+def block_links(ids: list[int], groups: list[int], home: list[bool], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect documents of different groups of a block, found through a token-group matrix.
+
+    Queries are the documents at home in the block; a document that stands in several blocks is at home in one.
+    """
+    order = sorted(range(len(ids)), key=lambda i: groups[i])
+    ids, home, sets = [ids[i] for i in order], [home[i] for i in order], [sets[i] for i in order]
+    _, group = np.unique(np.array(groups, dtype=np.int64), return_inverse=True)
+    group = np.sort(group)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(ids))
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    n_tokens = int(flat.max()) + 1
     begin = np.cumsum(size) - size
-    parent = list(range(m))
+    mark = np.zeros(int(flat.max()) + 1, dtype=np.int32)
+    # the matrix: each group's token union, one after another
+    first = np.searchsorted(group, np.arange(group[-1] + 2))
+    unions = [np.unique(flat[begin[a] : begin[b - 1] + size[b - 1]]) if b - a > 1 else flat[begin[a] : begin[a] + size[a]] for a, b in zip(first[:-1], first[1:])]
+    u_len = np.fromiter(map(len, unions), dtype=np.int64, count=len(unions))
+    u_flat, u_begin = np.concatenate(unions), np.cumsum(u_len) - u_len
+    parent = list(range(len(unions)))
     links: list[tuple[int, int]] = []
 
     def root(x: int) -> int:
@@ -252,122 +292,151 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
             x = parent[x]
         return x
 
-    def unite(x: int, y: int) -> None:
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            links.append((int(ids[x]), int(ids[y])))
-
-    def linked(overlap, n):
-        return 100 * overlap >= percent * (n - overlap)
-
-    mark = np.zeros(n_tokens, dtype=np.int32)
-
-    def overlaps(members: np.ndarray, q: int) -> np.ndarray:
-        """Exact overlap of q with each of the members."""
-        mark[flat[begin[q] : begin[q] + size[q]]] = 1
-        n = size[members]
-        ends = np.cumsum(n)
-        spots = np.arange(ends[-1]) + np.repeat(begin[members] - (ends - n), n)
-        got = np.add.reduceat(mark[flat[spots]], ends - n)
-        mark[flat[begin[q] : begin[q] + size[q]]] = 0
-        return got
-
-    # groups: documents around a leader that share half of their tokens with it; links with the leader are exact already
-    left = np.arange(m)
-    groups: list[np.ndarray] = []
-    while len(left):
-        leader, others = left[0], left[1:]
-        members = [leader]
-        if len(others):
-            got = overlaps(others, leader)
-            for q in others[linked(got, size[others] + size[leader])]:
-                unite(leader, q)
-            near = 2 * got >= size[others]
-            members += others[near].tolist()
-            left = others[~near]
-        else:
-            left = others
-        groups.append(np.array(members))
-    # the matrix: each group's token union, one after another
-    unions = [np.unique(np.concatenate([flat[begin[d] : begin[d] + size[d]] for d in g])) for g in groups]
-    u_len = np.fromiter(map(len, unions), dtype=np.int64, count=len(unions))
-    u_flat, u_begin = np.concatenate(unions), np.cumsum(u_len) - u_len
     need = needed(size, percent)
-    for q in range(m):
-        mark[flat[begin[q] : begin[q] + size[q]]] = 1
+    for q in np.flatnonzero(home):
+        mine = flat[begin[q] : begin[q] + size[q]]
+        mark[mine] = 1
         bound = np.add.reduceat(mark[u_flat], u_begin)
-        mark[flat[begin[q] : begin[q] + size[q]]] = 0
         for g in np.flatnonzero(bound >= need[q]):
-            own = root(q)
-            members = groups[g]
-            # sizes that can't reach the similarity, earlier queries and connected members are passed over
-            fit = members[(members > q) & (size[members] >= need[q])]
-            fit = fit[np.fromiter((root(x) != own for x in fit), dtype=bool, count=len(fit))] if len(fit) else fit
-            if len(fit):
-                got = overlaps(fit, q)
-                for x in fit[linked(got, size[fit] + size[q])]:
-                    unite(q, x)
+            if root(g) == root(group[q]):
+                continue
+            members = np.arange(first[g], first[g + 1])
+            members = members[(size[members] >= need[q]) & (need[members] <= size[q])]
+            if not len(members):
+                continue
+            if first[g + 1] - first[g] == 1:  # the bound of a single document is its overlap
+                got = bound[g : g + 1]
+            else:
+                n = size[members]
+                ends = np.cumsum(n)
+                got = np.add.reduceat(mark[flat[np.arange(ends[-1]) + np.repeat(begin[members] - (ends - n), n)]], ends - n)
+            near = members[100 * got >= percent * (size[members] + size[q] - got)]
+            if len(near):
+                parent[max(root(g), root(group[q]))] = min(root(g), root(group[q]))
+                links.append((int(ids[q]), int(ids[near[0]])))
+        mark[mine] = 0
     return links
 
 
 def _solve_blocks(percent: int):
     def solve(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas()
+        table = table.sort_by([("token", "ascending"), ("block", "ascending"), ("group", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        token, block = table.column("token").to_numpy(), table.column("block").to_numpy()
+        cut = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1]), True]) if len(token) else np.zeros(1, np.int64)
+        ids, groups, home = (table.column(c).to_pylist() for c in ("doc_id", "group", "home"))
+        sets = _sets(table.column("tokens").chunk(0)) if len(token) else []
         out = []
-        for _, part in frame.groupby("block"):
-            out += block_links(part["doc_id"].to_numpy(), [np.frombuffer(x, "<u8") for x in part["tokens"]], percent)
+        for a, b in zip(cut[:-1], cut[1:]):
+            out += block_links(ids[a:b], groups[a:b], home[a:b], sets[a:b], percent)
+        out = sorted(set(out))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return solve
 
 
+def hub_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of documents with the first documents of their postings.
+
+    A hub of many documents is copied, once for HUB_ROWS of them, so no task compares all that share a hub.
+    """
+    first = written(keys.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")), "hubs")
+    pairs = join_groups(keys.select("token", F.col("doc_id").alias("a")), first, "token", "n").where("a != b").select("a", "b").distinct()
+    pairs = written(pairs, "hub-pairs")
+    many = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
+    copies = F.ceil(F.col("n") / HUB_ROWS).cast("int")
+    ask = join_groups(pairs, many, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"))
+    member = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    hub = many.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")).hint("merge"), "b").select("b", "y", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    met = ask.join(member.hint("merge"), "a").join(hub.hint("merge"), ["b", "copy"])
+    both = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("n"))
+    links = written(both.where(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b"), "hub-links")
+    discard(first, pairs, many)
+    return links
+
+
+def open_keys(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys(token, group, ...)`` whose token stands in two groups, with the number of rows ``n`` of their token."""
+    spread = keys.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("open")).where("open").select("token", "n")
+    spread = written(spread, "open-tokens")
+    return join_groups(keys, spread, "token", "n")
+
+
+def sifted(keys: DataFrame) -> DataFrame:
+    """Without the documents that share too few tokens with other groups, and without tokens that are not open."""
+    for _ in range(SIFTS):
+        open_ = written(open_keys(keys).drop("n"), "open-keys")
+        enough = open_.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_id")
+        keys = written(open_.join(enough.hint("merge"), "doc_id", "left_semi"), "sifted-keys")
+        discard(open_)
+    return keys
+
+
+def posting_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the groups of open postings; ``keys(token, doc_id, size, group)``."""
+    spark = keys.sparkSession
+    of = F.xxhash64("doc_id")
+    told = keys.groupBy("token").agg(F.count("*").alias("n"), F.sum("size").alias("load"), F.bit_xor(of).alias("xor"), F.sum(of.cast("decimal(20,0)")).alias("sum"), (F.min("group") != F.max("group")).alias("open")).where("open")
+    # postings with the same documents: one goes on
+    one = told.groupBy("n", "xor", "sum").agg(F.min("token").alias("token"), F.first("load").alias("load"))
+    one = written(one.select("token", "n", F.ceil(F.col("load") / BLOCK_TOKENS).cast("int").alias("blocks")), "postings")
+    rows = written(join_groups(keys.select("token", "doc_id", "size", "group"), one, "token", "n"), "posting-rows")
+    large = rows.where("blocks > 1").groupBy("token", "group").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("group", "m").alias("main"))
+    large = written(large.join(one.select("token", "n"), "token"), "large-postings")
+    home = F.pmod(of, F.col("blocks")).cast("int")
+    whole = rows.where("blocks = 1").select("token", "doc_id", "size", "group", F.lit(0).alias("block"), F.lit(True).alias("home"))
+    split = join_groups(rows.where("blocks > 1").drop("n"), large, "token", "n").select("token", "doc_id", "size", "group", home.alias("mine"), F.explode(F.when(F.col("group") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
+    dealt = written(whole.unionByName(split.select("token", "doc_id", "size", "group", "block", (F.col("block") == F.col("mine")).alias("home"))), "blocks")
+    total = dealt.agg(F.sum("size")).first()[0] or 0
+    task = F.pmod(F.xxhash64("token", "block"), F.lit(max(tasks(spark), int(total // TASK_TOKENS) + 1))).alias("task")
+    load = dealt.join(sets.hint("merge"), "doc_id").select("token", "block", "group", "doc_id", "home", "tokens", task)
+    links = written(load.groupBy("task").applyInArrow(_solve_blocks(percent), "a long, b long"), "posting-links")
+    discard(one, rows, large, dealt)
+    return links
+
+
 def near_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect the components of ``sets(doc_id, tokens)`` (distinct, not empty)."""
-    spark = sets.sparkSession
-    total = sets.agg(F.sum(F.length("tokens") / 8)).first()[0] or 0
-    parts = max(1, min(tasks(spark) * 64, int(total // RANGE_TOKENS) + 1))
-    chunks = written(full_chunks(sets.select("doc_id", "tokens"), parts), "sets")
-    keys = _with_counts(chunks, token_counts(chunks), _keys(percent), "token long, doc_id long")
-    keys = written(keys, "keys")
-    hub = keys.groupBy("token").agg(F.min("doc_id").alias("hub"))
-    joint = keys.join(hub, "token").where("doc_id != hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    blocks = components(joint).withColumnRenamed("component", "block")
-    blocks = written(blocks, "blocks")
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("docs"))
-    dealt = blocks.join(sizes, "block").select(F.col("id").alias("doc_id"), "block", F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("k"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
-    # a large block is solved as all pairs of its parts
-    pairs = F.when(F.col("k") == 1, F.array(F.lit("0"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("-", F.least(j, F.col("mine")), F.greatest(j, F.col("mine")))))
-    dealt = dealt.select("doc_id", F.col("block").alias("whole"), F.explode(pairs).alias("pair")).select("doc_id", F.concat_ws(":", "whole", "pair").alias("block"))
-    load = dealt.join(sets.select("doc_id", "tokens"), "doc_id")
-    task = F.pmod(F.xxhash64("block"), F.lit(max(1, 4 * tasks(spark)))).alias("task")
-    return load.select("block", "doc_id", "tokens", task).groupBy("task").applyInArrow(_solve_blocks(percent), "a long, b long")
+    """Links (a, b) that connect the components of ``sets(doc_id, tokens array<long>)`` (distinct, not empty)."""
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    chunks = written(full_chunks(sets.select("doc_id", "tokens"), int(total // RANGE_TOKENS) + 1), "sets")
+    found = written(_with_counts(chunks, token_counts(chunks), _keys(percent), "token long, doc_id long, size int, key boolean, least int"), "keys")
+    discard(chunks)
+    by_hub = hub_links(found.where("key").select("token", "doc_id"), sets, percent)
+    groups = components(by_hub).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    grouped = written(found.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")), "grouped-keys")
+    discard(found)
+    left = sifted(grouped)
+    by_posting = posting_links(left.where("key"), sets, percent)
+    discard(grouped)
+    return by_hub.unionByName(by_posting)
 
 
 def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    parts = tasks(spark)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(tasks(docs.sparkSession), int(text_bytes // RANGE_TEXT) + 1)
     chunks = written(screen_chunks(docs, n, percent, parts), "screen")
-    judged = written(_with_counts(chunks, token_counts(chunks), _screen(percent), "doc_id long, n int, sign binary, open boolean"), "judged")
-    one = judged.groupBy("doc_id").agg(F.min_by(F.struct("n", "sign", "open"), "sign").alias("x")).select("doc_id", "x.*")
+    judged = written(_with_counts(chunks, token_counts(chunks), _screen(percent), "doc_id long, mark long, n int, sign binary, open boolean"), "judged")
+    discard(chunks)
+    one = judged.groupBy("doc_id").agg(F.min_by(F.struct("mark", "n", "sign", "open"), F.struct("sign", "mark")).alias("x")).select("doc_id", "x.*")
     # of equal sets the smallest id goes on; a set that repeats was counted twice, so all its documents are open
-    open_docs = written(one.where("open").select("doc_id", "sign"), "open")
+    open_docs = written(one.where("open").select("doc_id", "mark", "sign"), "open")
     same = written(open_docs.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "same-sets")
-    member = written(join_groups(open_docs, same, "sign", "rows").select("doc_id", "rep"), "same")
-    wanted = member.where("doc_id = rep").select("doc_id")
+    member = written(join_groups(open_docs, same, "sign", "rows").select("doc_id", "mark", "rep"), "same")
+    discard(open_docs, same)
+    wanted = member.where("doc_id = rep").select("doc_id", "mark")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array([token_set(t, n).tobytes() for t in _texts(batch)], pa.binary())})
+        for whole in batches:
+            for batch in _parts(whole, "text"):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array([token_set(t, n).view(np.int64) for t in _texts(batch)], pa.list_(pa.int64()))})
 
-    text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the wanted ids grow with the data: never broadcast
-    picked = text.join(wanted.hint("merge"), "doc_id", "left_semi")
-    sets = written(picked.dropDuplicates(["doc_id"]).mapInArrow(encode, "doc_id long, tokens binary"), "tokens")
+    picked = marked_texts(docs).join(wanted.hint("merge"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    sets = written(picked.select("doc_id", "text").mapInArrow(encode, "doc_id long, tokens array<long>"), "tokens")
     links = written(near_links(sets, percent).unionByName(member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "near-links")
-    named = components(links)
+    discard(sets, member)
+    named = components(links).withColumnRenamed("id", "doc_id")
+    discard(links)
     size = one.select("doc_id", F.col("n").cast("long").alias("n_shingles"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return ids.join(size, "doc_id", "left").join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return ids.join(size, "doc_id", "left").join(named, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

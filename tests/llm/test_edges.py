@@ -213,9 +213,11 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("n, percent, part", [(4, 85, 1500), (5, 80, 7)])
-def test_join_equals_brute_force(make_docs, monkeypatch, n, percent, part):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", part)  # small parts: large blocks are dealt as pairs
+@pytest.mark.parametrize("n, percent, small", [(4, 85, False), (5, 80, True)])
+def test_join_equals_brute_force(make_docs, monkeypatch, n, percent, small):
+    if small:  # large postings are dealt to blocks, and hubs are copied
+        monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+        monkeypatch.setattr(ngram_join, "HUB_ROWS", 2)
     rng = random.Random(n)
     vocab = [f"w{i}" for i in range(400)]
     shared = [rng.choice(vocab) for _ in range(60)]
@@ -236,39 +238,50 @@ def test_join_equals_brute_force(make_docs, monkeypatch, n, percent, part):
 
 def test_join_edges(make_docs):
     assert ngram_join.jaccard_components(make_docs([])).count() == 0
+    mixed = ngram_join.jaccard_components(make_docs([(1, "a b c d e f g h"), (1, "s t u v w x y z"), (2, "a b c d e f g h"), (3, "s t u v w x y z")])).collect()
+    sizes = {(r["doc_id"], r["component_id"]) for r in mixed}  # one of the two texts stands for id 1
+    assert sizes in ({(1, 1), (2, 1), (3, 3)}, {(1, 1), (2, 2), (3, 1)})
     got = ngram_join.jaccard_components(make_docs([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (1, 1), (1, 1), (2, 1)]
 
 
-def test_block_links_keep_components():
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_block_links_keep_components(blocks):
+    """Documents in groups that earlier links made; the largest group is split over the blocks, others go to all."""
     rng = np.random.default_rng(3)
     base = np.sort(rng.choice(1 << 40, 200, replace=False).astype(np.uint64))
     sets = []
-    for k in range(60):
+    for _ in range(60):
         drop = rng.choice(200, rng.integers(0, 40), replace=False)
         sets.append(np.unique(np.concatenate([np.delete(base, drop), rng.choice(1 << 40, len(drop) // 2).astype(np.uint64)])))
-    comp = list(range(60))
 
-    def find(x):
-        while comp[x] != x:
-            x = comp[x]
-        return x
-
-    for a in range(60):
-        for b in range(a):
-            k = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
-                comp[max(find(a), find(b))] = min(find(a), find(b))
-    got = list(range(60))
-
-    def groot(x):
-        while got[x] != x:
-            x = got[x]
-        return x
-
-    for a, b in ngram_join.block_links(np.arange(60), sets):
-        got[max(groot(a), groot(b))] = min(groot(a), groot(b))
-    assert [find(i) for i in range(60)] == [groot(i) for i in range(60)]
+    def linked(a, b):
+        k = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k)
+
+    def roots(links):
+        comp = list(range(60))
+
+        def find(x):
+            while comp[x] != x:
+                x = comp[x]
+            return x
+
+        for a, b in links:
+            comp[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(60)]
+
+    want = roots([(a, b) for a in range(60) for b in range(a) if linked(a, b)])
+    known = [(a, 1) for a in range(3, 60, 2) if linked(a, 1)]
+    group = roots(known)
+    main = max(set(group), key=group.count)
+    assert 1 < len(set(group)) < 60 and len(set(want)) < len(set(group))
+    found = []
+    for k in range(blocks):
+        here = [i for i in range(60) if group[i] != main or i % blocks == k]
+        found += ngram_join.block_links(here, [group[i] for i in here], [i % blocks == k for i in here], [sets[i] for i in here])
+    assert all(linked(a, b) for a, b in found)
+    assert roots(known + found) == want
 
 
 def test_components_of_a_long_chain(spark):
