@@ -18,7 +18,7 @@ def connect(sf_dir: str):
 
 
 def text(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return "null"
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
