@@ -6,7 +6,8 @@ pieces: a sentence must begin and end with a piece, and may run over any number
 texts (also behind comment marks) and sentences with an inner '.' or ';' are found. No sentence runs over a blank
 line; a line of marks alone is blank. Where several sentences begin at one piece, the longest counts. A document
 thus becomes a sequence of identifiers. The rules are tried in order: a rule whose identifiers stand next to each other in the
-sequence reports its licence and consumes them, so longer, more telling rules come before shorter ones.
+sequence reports its licence and consumes them, so longer, more telling rules come before shorter ones. "All rights
+reserved" reports a proprietary text only where no licence is found.
 
 Edge cases: null and empty texts have no sentence and no licence; the same sentence twice counts twice;
 several licences in one text are all reported, each once, in sorted order; repeated rows are scanned alike; other columns pass
@@ -15,6 +16,8 @@ through, and columns with the names of the results are replaced. No row is shuff
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +26,11 @@ SENTENCES = {
     "released under the mit license": "mit_line",
     "licensed under the mit license": "mit_line",
     "this project is licensed under the mit license": "mit_line",
-    "spdx license identifier mit": "mit_spdx",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit_notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_warranty",
     "licensed under the apache license version 2 0": "apache2_line",
     "licensed under the apache license version 2 0 the license": "apache2_line",
-    "spdx license identifier apache 2 0": "apache2_spdx",
     "you may not use this file except in compliance with the license": "apache2_use",
     "you may obtain a copy of the license at": "apache2_copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2_basis",
@@ -38,9 +39,6 @@ SENTENCES = {
     "licensed under the gnu general public license version 3": "gpl3_line",
     "this work is licensed under the gnu general public license version 2": "gpl2_line",
     "licensed under the gnu general public license version 2": "gpl2_line",
-    "spdx license identifier gpl 3 0 only": "gpl3_spdx",
-    "spdx license identifier gpl 3 0 or later": "gpl3_later_spdx",
-    "spdx license identifier gpl 2 0 only": "gpl2_spdx",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3_later_grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2_later_grant",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl_warranty",
@@ -49,8 +47,6 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd_source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd_binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_names",
-    "spdx license identifier bsd 3 clause": "bsd3_spdx",
-    "spdx license identifier bsd 2 clause": "bsd2_spdx",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2_line",
     "licensed under cc by nc 4 0": "ccbync4_line",
@@ -59,9 +55,27 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4_line",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4_line",
     "this is free and unencumbered software released into the public domain": "unlicense_line",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit0_grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21_later_grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_later_grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3_later_grant",
+    "licensed under the gnu lesser general public license version 3": "lgpl3_line",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3_later_grant",
+    "licensed under the gnu affero general public license version 3": "agpl3_line",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2_line",
+    "this software is provided as is without any express or implied warranty": "zlib_warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0_line",
+    "licensed under cc0 1 0": "cc0_line",
+    "distributed under the boost software license version 1 0": "boost_line",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost_grant",
     "all rights reserved": "reserved",
 }
 
+# Licence identifiers that may stand behind "SPDX-License-Identifier:".
+SPDX = ["MIT", "MIT-0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", s.lower()): f"spdx_{s.lower()}" for s in SPDX}
+
 # Ordered rules, the licence and its run of identifiers.
 RULES = [
     ("MIT", ["mit_grant", "mit_notice", "mit_warranty"]),
@@ -73,25 +87,32 @@ RULES = [
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl3_later_grant"]),
     ("GPL-2.0-or-later", ["gpl2_later_grant"]),
-    ("GPL-3.0-or-later", ["gpl3_later_spdx"]),
     ("GPL-3.0-only", ["gpl3_line"]),
-    ("GPL-3.0-only", ["gpl3_spdx"]),
     ("GPL-2.0-only", ["gpl2_line"]),
-    ("GPL-2.0-only", ["gpl2_spdx"]),
     ("Apache-2.0", ["apache2_line"]),
-    ("Apache-2.0", ["apache2_spdx"]),
     ("MIT", ["mit_line"]),
-    ("MIT", ["mit_spdx"]),
-    ("BSD-3-Clause", ["bsd3_spdx"]),
-    ("BSD-2-Clause", ["bsd2_spdx"]),
     ("ISC", ["isc_grant"]),
     ("MPL-2.0", ["mpl2_line"]),
     ("CC-BY-NC-4.0", ["ccbync4_line"]),
     ("CC-BY-SA-4.0", ["ccbysa4_line"]),
     ("CC-BY-4.0", ["ccby4_line"]),
     ("Unlicense", ["unlicense_line"]),
-    ("Proprietary", ["reserved"]),
+    ("MIT-0", ["mit0_grant"]),
+    ("LGPL-2.1-or-later", ["lgpl21_later_grant"]),
+    ("LGPL-3.0-or-later", ["lgpl3_later_grant"]),
+    ("LGPL-3.0-only", ["lgpl3_line"]),
+    ("AGPL-3.0-or-later", ["agpl3_later_grant"]),
+    ("AGPL-3.0-only", ["agpl3_line"]),
+    ("EPL-2.0", ["epl2_line"]),
+    ("Zlib", ["zlib_warranty", "zlib_grant"]),
+    ("Zlib", ["zlib_grant"]),
+    ("CC0-1.0", ["cc0_line"]),
+    ("BSL-1.0", ["boost_line"]),
+    ("BSL-1.0", ["boost_grant"]),
 ]
+RULES += [(s, [f"spdx_{s.lower()}"]) for s in SPDX]
+#: Reported where no rule before it matches: the line also stands in the headers of open licences.
+LAST = ("Proprietary", "reserved")
 
 # Every known sentence holds one of these words (single ones: a line may end between two), so a text without any of them needs no cutting.
 TRIGGERS = ["licen", "permission", "copyright", "warrant", "redistribut", "domain", "reserved"]
@@ -150,23 +171,41 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         pattern = F.lit(f" {'  '.join(run)} ")
         found.append(F.when(F.contains(left, pattern), name))
         left = F.replace(left, pattern, F.lit(" | "))
-    hits = F.array_sort(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    return with_ids.withColumn("licenses", F.when(F.size("sentence_ids") > 0, hits).otherwise(F.array().cast("array<string>")))
+    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    last = F.when(F.array_contains("sentence_ids", LAST[1]), F.array(F.lit(LAST[0]))).otherwise(none)
+    told = with_ids.withColumn("licenses", F.when(F.size("sentence_ids") > 0, F.array_sort(F.array_distinct(hits))).otherwise(none))
+    return told.withColumn("licenses", F.when(F.size("licenses") > 0, F.col("licenses")).otherwise(last))
 
 
 def oracle() -> str:
-    """The same in SQL for an outside engine: identifiers and rules as nested expressions."""
+    """The same in SQL for an outside engine.
+
+    Pieces are numbered within their document and paragraph; a known sentence that begins at a piece is compared with the
+    pieces from there on. Of the sentences that begin at one piece the longest counts, and the next is looked for behind it.
+    """
     quoted = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps = ["s0 AS (SELECT doc_id, n, ids, ' ' || coalesce(ids, '') || ' ' AS seq, [] :: VARCHAR[] AS got FROM joined)"]
     for k, (name, run) in enumerate(RULES):
         pattern = f" {'  '.join(run)} "
         steps.append(f"s{k + 1} AS (SELECT doc_id, n, ids, replace(seq, '{pattern}', ' | ') AS seq, CASE WHEN contains(seq, '{pattern}') THEN list_append(got, '{name}') ELSE got END AS got FROM s{k})")
     return rf"""
-WITH known(s, i) AS (VALUES {quoted}),
-lines AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '([.!?;])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[\n\r]+') AS l FROM documents)),
-named AS (SELECT doc_id, p, i FROM lines JOIN known ON trim(regexp_replace(l, '[^a-z0-9]+', ' ', 'g')) = s),
-per AS (SELECT doc_id, count(*) AS n, string_agg(i, '  ' ORDER BY p) AS ids FROM named GROUP BY doc_id),
+WITH RECURSIVE known(s, i) AS (VALUES {quoted}),
+low AS (SELECT doc_id, replace(replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+told AS (SELECT doc_id, t FROM low WHERE regexp_matches(t, '{"|".join(TRIGGERS)}')),
+line AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM told)),
+para AS (SELECT doc_id, k, l, count(*) FILTER (WHERE NOT regexp_matches(l, '[a-z0-9]')) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM line),
+cut AS (SELECT doc_id, para, k, unnest(c) AS c, generate_subscripts(c, 1) AS j FROM (SELECT doc_id, para, k, regexp_split_to_array(l, '{PIECE_END}') AS c FROM para)),
+piece AS (SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS p, c FROM (SELECT doc_id, para, k, j, trim(regexp_replace(c, '[^a-z0-9]+', ' ', 'g')) AS c FROM cut) WHERE c <> ''),
+ahead AS (SELECT doc_id, p, c, list(c) OVER w AS l FROM piece WINDOW w AS (PARTITION BY doc_id, para ORDER BY p ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING)),
+near AS (SELECT doc_id, p, l, s, i FROM ahead JOIN known ON starts_with(s, c) AND (length(s) = length(c) OR s[length(c) + 1] = ' ')),
+whole AS (SELECT doc_id, p, k, i FROM near, unnest(range(1, len(l) + 1)) AS t(k) WHERE array_to_string(l[1:k], ' ') = s),
+best AS (SELECT doc_id, p, max(k) AS k, arg_max(i, k) AS i FROM whole GROUP BY doc_id, p),
+taken AS (SELECT doc_id, p, k, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM best) WHERE r = 1
+  UNION ALL SELECT doc_id, p, k, i FROM (SELECT b.*, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.p) AS r FROM taken t JOIN best b ON b.doc_id = t.doc_id AND b.p >= t.p + t.k) WHERE r = 1),
+per AS (SELECT doc_id, count(*) AS n, string_agg(i, '  ' ORDER BY p) AS ids FROM taken GROUP BY doc_id),
 joined AS (SELECT d.doc_id, coalesce(per.n, 0) AS n, per.ids FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id),
 {', '.join(steps)}
-SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, replace(coalesce(ids, ''), '  ', ',') AS sentence_ids, array_to_string(list_sort(list_distinct(got)), ',') AS licenses FROM s{len(RULES)}
+SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, replace(coalesce(ids, ''), '  ', ',') AS sentence_ids,
+       CASE WHEN len(got) > 0 THEN array_to_string(list_sort(list_distinct(got)), ',') WHEN contains(' ' || coalesce(ids, '') || ' ', ' {LAST[1]} ') THEN '{LAST[0]}' ELSE '' END AS licenses FROM s{len(RULES)}
 """
