@@ -7,10 +7,12 @@ matching places, and neighbouring places on one diagonal join to the longest ver
 locations in document and item.
 
 The array orders suffixes by their first WINDOW words, all that such a decision needs: a longer match is a chain
-of windows that follow each other. Suffixes whose first word is in no item can match nothing and are left out.
+of windows that follow each other. Suffixes whose first word is in no item can match nothing and are left out. Items
+share many windows; each distinct one is searched once, and the items that hold it are attached to what was found.
 
 The benchmark is sent to the tasks in blocks of bounded size (``BLOCK_CHARS``); each block passes over all
-documents, and the hits of all blocks are united per document.
+documents, and the hits of all blocks are united per document. An item larger than a block is cut into pieces that
+overlap by a window less one word, so no window is lost; a match over such a cut is told as two.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Edge cases: null or empty texts and items have no
 words; an item without words has no window; repeated items count by their ids; an empty benchmark
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 10
-#: Characters of benchmark text that one broadcast block holds at most (one larger item is a block of its own).
+#: Bytes of benchmark words that one broadcast block holds at most.
 BLOCK_CHARS = 16_000_000
 #: Words of one suffix array; bounds a task's memory. A longer document is a shard of its own.
 SHARD_WORDS = 2_000_000
@@ -46,29 +48,33 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Benchmark items in numbers, ready to be searched."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.ids, seqs, self.vocab = [], [], {}
-        for item, text in items:
-            w = words(text)
-            if w:
-                self.ids.append(item)
-                seqs.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], dtype=np.int64))
-        self.window = window
+    """Pieces of benchmark items, as (item id, place of its first word, words), in numbers, ready to be searched.
+
+    ``q_words`` and ``q_len`` are the distinct windows; window d stands at the places ``at[d] : at[d + 1]`` of ``w_item``
+    (the piece) and ``w_pos`` (its place in the item).
+    """
+
+    def __init__(self, pieces: list[tuple[object, int, list[bytes]]], window: int = WINDOW):
+        self.window, self.vocab = window, {}
+        self.ids = [item for item, _, _ in pieces]
+        number = self.vocab.setdefault
+        size = np.fromiter((len(w) for _, _, w in pieces), dtype=np.int64, count=len(pieces))
+        flat = np.fromiter((number(x, len(self.vocab) + 1) for _, _, w in pieces for x in w), dtype=np.int64, count=int(size.sum()))
         self.bits = max(1, (len(self.vocab) + 1).bit_length())
         self.per_key = min(window, 62 // self.bits)
-        # every test suffix, cut to the window; short items are one whole query
-        self.q_item, self.q_pos, self.q_len, rows = [], [], [], []
-        for k, s in enumerate(seqs):
-            n = min(window, len(s))
-            for p in range(len(s) - n + 1):
-                self.q_item.append(k)
-                self.q_pos.append(p)
-                self.q_len.append(n)
-                rows.append(np.pad(s[p : p + n], (0, window - n)))
-        self.q_item, self.q_pos, self.q_len = (np.array(x, dtype=np.int64) for x in (self.q_item, self.q_pos, self.q_len))
-        self.q_words = np.stack(rows) if rows else np.zeros((0, window), np.int64)
+        # every test suffix, cut to the window; a shorter item is one whole query, filled up with 0
+        begin, n = np.cumsum(size) - size, np.maximum(size - window, 0) + 1
+        item = np.repeat(np.arange(len(pieces)), n)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        length = np.minimum(size, window)[item]
+        padded = np.concatenate([flat, np.zeros(window, np.int64)])
+        rows = padded[(begin[item] + place)[:, None] + np.arange(window)]
+        rows[np.arange(window) >= length[:, None]] = 0
+        self.q_words, owner = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
+        self.q_len = (self.q_words > 0).sum(axis=1)
+        order = np.argsort(owner.ravel(), kind="stable")
+        self.at = np.searchsorted(owner.ravel()[order], np.arange(len(self.q_words) + 1))
+        self.w_item, self.w_pos = item[order], (place + np.array([p for _, p, _ in pieces], dtype=np.int64)[item])[order]
 
     def keys(self) -> list[tuple[int, int]]:
         """Word ranges of the window that go into one 62-bit key each."""
@@ -76,15 +82,15 @@ class Block:
 
 
 def suffix_hits(seq: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(query, place) of every occurrence of a query of the block in the number sequence."""
+    """(window, place) of every occurrence of a distinct window of the block in the number sequence."""
     none = np.zeros(0, np.int64)
-    if not len(block.q_item) or not len(seq):
+    if not len(block.q_len) or not len(seq):
         return none, none
     padded = np.concatenate([seq, np.zeros(block.window, np.int64)])
     place = np.flatnonzero(seq)  # suffixes that begin with a benchmark word
     if not len(place):
         return none, none
-    low = np.zeros(len(block.q_item), np.int64)
+    low = np.zeros(len(block.q_len), np.int64)
     high = low.copy()
     rank = None
     for a, b in block.keys():
@@ -92,7 +98,7 @@ def suffix_hits(seq: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
         for k in range(a, b):
             key = (key << block.bits) | padded[k : k + len(key)]
         key = key[place]
-        q_low = np.zeros(len(block.q_item), np.int64)
+        q_low = np.zeros(len(block.q_len), np.int64)
         q_high = q_low.copy()
         for k in range(a, b):
             open_end = block.q_len <= k
@@ -123,7 +129,10 @@ def suffix_hits(seq: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def longest(query: np.ndarray, place: np.ndarray, doc: np.ndarray, block: Block) -> pd.DataFrame:
     """Chains of windows on one diagonal: (doc, item, doc place, item place, length) of the verbatim matches."""
-    item, pos, size = block.q_item[query], block.q_pos[query], block.q_len[query]
+    n = block.at[query + 1] - block.at[query]
+    spot = np.arange(n.sum()) + np.repeat(block.at[query] - (np.cumsum(n) - n), n)  # the items that hold each window
+    query, place, doc = (np.repeat(x, n) for x in (query, place, doc))
+    item, pos, size = block.w_item[spot], block.w_pos[spot], block.q_len[query]
     order = np.lexsort((place, place - pos, item))
     item, pos, size, place, doc = item[order], pos[order], size[order], place[order], doc[order]
     if not len(item):
@@ -170,15 +179,23 @@ def search_texts(texts: list[str | None], block: Block) -> tuple[np.ndarray, pd.
 
 
 def blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
-    """The items in blocks of bounded size, read one after another to the driver."""
+    """The items in blocks of bounded size, read one after another to the driver; items without words have no window."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(row["text"] or "")
-        if held and size + n > block_chars:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row["item_id"], row["text"]))
-        size += n
+        rest, first = words(row["text"]), 0
+        while rest:
+            upto = len(rest)
+            if sum(map(len, rest)) + upto > block_chars:
+                upto = max(2 * window, int(np.searchsorted(np.cumsum([len(x) + 1 for x in rest]), block_chars)))
+            piece, more = rest[:upto], upto < len(rest)
+            n = sum(map(len, piece)) + len(piece)
+            if held and size + n > block_chars:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((row["item_id"], first, piece))
+            size += n
+            step = upto - window + 1 if more else upto
+            rest, first = rest[step:], first + step
     yield Block(held, window)
 
 
