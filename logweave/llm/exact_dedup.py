@@ -1,19 +1,20 @@
 """Exact dedup over a cuckoo-filter index of digests.
 
 Texts are equal when identical without the characters ``[\\x20\\x09-\\x0D]``; a digest (sha256) stands for the
-normalised text. The index is split into buckets by digest, one task each. A bucket holds its entries (the
-digest, number of rows, row that stays) and a cuckoo filter over the live digests: a digest the filter does
-not know is new and inserted without a look at the entries; a hit is verified against the bucket's stored
-digest and length, and merged only if they are equal; a filter that overflows is rebuilt at twice the size from
-the stored keys. ``CuckooFilter.delete`` removes a digest whose last row is retracted, so an index can follow
-a corpus from which rows are withdrawn (``update_index``).
+normalised text. The index is split into buckets by digest, one task each. A bucket holds a cuckoo filter over the live
+digests and its content: the digests with their number of rows and the row that stays, in sorted runs. What arrives is
+asked of the filter in batches: digests it does not know are new and are appended without a look at the content; hits are
+verified against the content, digest by digest, and merged only if they are equal (a false hit is new too). A filter that
+overflows is rebuilt at twice the size from the stored digests, with other bytes of them as keys. A digest whose last row is retracted
+is deleted from both, so an index can follow a corpus from which rows are withdrawn (``update_index``).
 
 Rows are summed per digest before they are dealt to buckets, so a group of copies of any size reaches its
 bucket as a few rows. On the way back large groups, few by their share of all rows, are broadcast; the others
 join by digest (``join_groups``).
 
 Edge cases: null text counts as empty; all empty and white-space-only texts are one group; a null id counts as
-larger than any id; of rows equal in length and id exactly one stays (the first read); an empty table gives an
+larger than any id; of rows equal in length and id exactly one stays (the first that the scan numbers, so all the
+same columns are returned whichever it is); an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -22,7 +23,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,16 @@ from .common import SPACE_CLASS, join_groups, tasks, written
 
 #: Rows of one digest that the sum before the deal leaves at most.
 SALTS = 16
-SLOTS, MAX_KICKS = 4, 200
+#: Rows that one bucket of the index is made from, on average.
+BUCKET_ROWS = 400_000
+SLOTS, MAX_KICKS, MAX_REBUILDS = 4, 200, 8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+DIGEST = np.dtype("S32")
+CONTENT = np.dtype([("norm_len", "i4"), ("rows", "i8"), ("n_chars", "i4"), ("neg_id", "i8"), ("neg_row", "i8")])
 
 
 class CuckooFilter:
-    """Fingerprints of 16 bits in buckets of four; supports insertion, deletion and lookup of 64-bit keys."""
+    """Fingerprints of 16 bits in buckets of four; inserts, finds and deletes 64-bit keys, an array of them at once."""
 
     def __init__(self, capacity: int = 1024):
         self.n_buckets = 1 << max(4, (int(capacity / SLOTS / 0.9) - 1).bit_length())
@@ -42,93 +49,164 @@ class CuckooFilter:
         self.size = 0
         self._turn = 0
 
-    @staticmethod
-    def _mix(x: int) -> int:
-        return ((x * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 20
-
-    def _places(self, key: int) -> tuple[int, int, int]:
-        print_ = (key >> 48) or 1
-        one = key & (self.n_buckets - 1)
-        return print_, one, (one ^ self._mix(print_)) & (self.n_buckets - 1)
-
-    def __contains__(self, key: int) -> bool:
-        print_, one, two = self._places(key)
-        return bool((self.table[one] == print_).any() or (self.table[two] == print_).any())
-
-    def insert(self, key: int) -> bool:
-        """False if the filter is too full; it is then left as it was."""
-        print_, one, two = self._places(key)
-        for at in (one, two):
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = print_
-                self.size += 1
-                return True
-        path, at, moving = [], two, print_
-        for _ in range(MAX_KICKS):
+    def _other(self, bucket: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        return bucket ^ ((prints.astype(np.uint64) * _MIX >> np.uint64(20)) & np.uint64(self.n_buckets - 1)).astype(np.int64)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prints = (keys >> np.uint64(48)).astype(np.uint16)
+        prints[prints == 0] = 1
+        return prints, (keys & np.uint64(self.n_buckets - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys may be held (never false for one that is)."""
+        prints, one = self._places(keys)
+        return (self.table[one] == prints[:, None]).any(axis=1) | (self.table[self._other(one, prints)] == prints[:, None]).any(axis=1)
+
+    def _put(self, prints: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets; which of them found one."""
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(bucket[order], bucket[order])
+        free = np.argsort(self.table[bucket] != 0, axis=1, kind="stable")  # free slots first
+        fits = rank < (self.table[bucket] == 0).sum(axis=1)
+        self.table[bucket[fits], free[fits, rank[fits]]] = prints[fits]
+        return fits
+
+    def insert(self, keys: np.ndarray) -> bool:
+        """False if the filter is too full; it is then to be rebuilt."""
+        prints, bucket = self._places(keys)
+        self.size += len(keys)
+        for kick in range(MAX_KICKS):
+            for _ in range(2):
+                left = ~self._put(prints, bucket)
+                prints, bucket = prints[left], self._other(bucket[left], prints[left])
+                if not len(prints):
+                    return True
+            # one fingerprint a bucket takes the slot of another, which moves on to its other bucket
+            at, first = np.unique(bucket, return_index=True)
             self._turn = (self._turn + 1) % SLOTS
-            path.append((at, self._turn, self.table[at, self._turn]))
-            moving, self.table[at, self._turn] = int(self.table[at, self._turn]), moving
-            at = (at ^ self._mix(moving)) & (self.n_buckets - 1)
-            free = np.flatnonzero(self.table[at] == 0)
-            if len(free):
-                self.table[at, free[0]] = moving
-                self.size += 1
-                return True
-        for at, slot, old in reversed(path):
-            self.table[at, slot] = old
+            moved = self.table[at, self._turn].copy()
+            self.table[at, self._turn] = prints[first]
+            prints[first] = moved
+            bucket[first] = self._other(at, moved)
         return False
 
-    def delete(self, key: int) -> bool:
-        print_, one, two = self._places(key)
-        for at in (one, two):
-            held = np.flatnonzero(self.table[at] == print_)
-            if len(held):
-                self.table[at, held[0]] = 0
-                self.size -= 1
-                return True
-        return False
+    def delete(self, keys: np.ndarray) -> None:
+        """Take out keys that are held, one slot each."""
+        prints, one = self._places(keys)
+        for print_, *places in zip(prints, one, self._other(one, prints)):
+            at = next(b for b in places if (self.table[b] == print_).any())
+            self.table[at, np.flatnonzero(self.table[at] == print_)[0]] = 0
+        self.size -= len(keys)
 
 
 class DigestBucket:
-    """One bucket of the index: live digests in a cuckoo filter, entries by digest."""
+    """One bucket of the index: a cuckoo filter over the live digests, and their content in sorted runs.
+
+    A run holds its digests in order, and their content as a record array; runs double in size, so a hit is looked for in a
+    few of them.
+    """
 
     def __init__(self, capacity: int = 1024):
-        self.filter, self.entries = CuckooFilter(capacity), {}
+        self.filter, self.level = CuckooFilter(capacity), 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
 
-    @staticmethod
-    def key(digest: bytes) -> int:
-        return int.from_bytes(digest[:8], "little")
+    def keys(self, digests: np.ndarray) -> np.ndarray:
+        """Eight bytes of each digest; which ones changes with each rebuild."""
+        return digests.view(np.uint8).reshape(-1, 32).view(np.uint64)[:, self.level % 4].copy()
 
-    def _insert(self, digest: bytes) -> None:
+    def _insert(self, digests: np.ndarray) -> None:
+        if self.filter.insert(self.keys(digests)):
+            return
         capacity = self.filter.n_buckets * SLOTS
-        while not self.filter.insert(self.key(digest)):
-            capacity *= 2
+        every = np.concatenate([*(d for d, _ in self.runs), digests])
+        for _ in range(MAX_REBUILDS):
+            capacity, self.level = 2 * max(capacity, len(every)), self.level + 1
             self.filter = CuckooFilter(capacity)
-            if not all(self.filter.insert(self.key(d)) for d in self.entries):
-                continue
-
-    def add(self, digest: bytes, length: int, rows: int, best: tuple) -> None:
-        if self.key(digest) in self.filter:
-            held = self.entries.get(digest)  # the verification: a false hit finds nothing here
-            if held is not None and held[0] == length:
-                held[1] += rows
-                held[2] = max(held[2], best)
+            if self.filter.insert(self.keys(every)):
                 return
-        self._insert(digest)
-        self.entries[digest] = [length, rows, best]
-
-    def remove(self, digest: bytes, rows: int = 1) -> bool:
-        """Retract rows of a digest; True if it was the last and the digest is no longer live."""
-        held = self.entries.get(digest) if self.key(digest) in self.filter else None
-        if held is None:
-            return False
-        held[1] -= rows
-        if held[1] <= 0:
-            del self.entries[digest]
-            self.filter.delete(self.key(digest))
-            return True
-        return False
+        raise RuntimeError("a cuckoo filter can't take its keys at any size")
+
+    def _seek(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, place in it) of each digest; run -1: the content has no such digest."""
+        run, place = np.full(len(digests), -1), np.zeros(len(digests), dtype=np.int64)
+        for k, (held, _) in enumerate(self.runs):
+            at = np.minimum(np.searchsorted(held, digests), len(held) - 1)
+            same = held[at] == digests
+            run[same], place[same] = k, at[same]
+        return run, place
+
+    def add(self, digests: np.ndarray, content: np.ndarray) -> None:
+        """Add distinct digests with their content rows; rows of live ones are counted on, and the better row stays."""
+        hit = self.filter.find(self.keys(digests))
+        new = ~hit
+        if hit.any():  # the verification: a false hit is not in the content
+            at = np.flatnonzero(hit)
+            run, place = self._seek(digests[at])
+            new[at[run < 0]] = True
+            for k in np.unique(run[run >= 0]):
+                mine = run == k
+                held = self.runs[k][1]
+                held[place[mine]] = merged(held[place[mine]], content[at[mine]])
+        if new.any():
+            self._insert(digests[new])
+            order = np.argsort(digests[new])
+            self.runs.append((digests[new][order], content[new][order]))
+            while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+                (d1, c1), (d2, c2) = self.runs.pop(), self.runs.pop()
+                d, c = np.concatenate([d2, d1]), np.concatenate([c2, c1])
+                order = np.argsort(d, kind="stable")
+                self.runs.append((d[order], c[order]))
+
+    def remove(self, digests: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Retract rows of distinct digests; which digests are thereby no longer live. Digests that are not live are ignored."""
+        hit = np.flatnonzero(self.filter.find(self.keys(digests)))
+        run, place = self._seek(digests[hit])
+        gone = np.zeros(len(digests), dtype=bool)
+        for k in np.unique(run[run >= 0]):
+            mine = run == k
+            held, content = self.runs[k]
+            content["rows"][place[mine]] -= rows[hit[mine]]
+            dead = content["rows"][place[mine]] <= 0
+            gone[hit[mine][dead]] = True
+            keep = np.ones(len(held), dtype=bool)
+            keep[place[mine][dead]] = False
+            self.runs[k] = (held[keep], content[keep])
+        self.filter.delete(self.keys(digests[gone]))
+        self.runs = [r for r in self.runs if len(r[0])]
+        return gone
+
+    def content(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.runs:
+            return np.zeros(0, DIGEST), np.zeros(0, CONTENT)
+        return np.concatenate([d for d, _ in self.runs]), np.concatenate([c for _, c in self.runs])
+
+
+def merged(held: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Content of both: the rows together, and of the two rows that stayed the one with more characters, then the smaller id, then the one read first."""
+    better = np.zeros(len(held), dtype=bool)
+    level = np.ones(len(held), dtype=bool)
+    for c in ("n_chars", "neg_id", "neg_row"):
+        better |= level & (new[c] > held[c])
+        level &= new[c] == held[c]
+    out = np.where(better, new, held)
+    out["rows"] = held["rows"] + new["rows"]
+    return out
+
+
+def distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct digests of a batch, and their content."""
+    digests = np.frombuffer(b"".join(batch.column("digest").to_pylist()), dtype=DIGEST)
+    content = np.zeros(len(digests), dtype=CONTENT)
+    for c in CONTENT.names:
+        content[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    order = np.lexsort((content["neg_row"], content["neg_id"], content["n_chars"], digests))  # the best row of a digest is last
+    digests, content = digests[order], content[order]
+    first = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1]]) if len(digests) else np.zeros(0, np.int64)
+    out = content[np.r_[first[1:], len(digests)] - 1] if len(first) else content
+    if len(first):
+        out["rows"] = np.add.reduceat(content["rows"], first)
+    return digests[first], out
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -141,24 +219,33 @@ def digests(docs: DataFrame) -> DataFrame:
 INDEX_SCHEMA = "digest binary, norm_len int, group_size long, keep_chars int, keep_id long, keep_row long"
 
 
+def told(bucket: DigestBucket) -> Iterator[pa.RecordBatch]:
+    held, content = bucket.content()
+    for a in range(0, len(held), 50_000):
+        d, c = held[a : a + 50_000], content[a : a + 50_000]
+        column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(d), [None, pa.py_buffer(d.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_pydict({"digest": column, "norm_len": c["norm_len"].copy(), "group_size": c["rows"].copy(), "keep_chars": c["n_chars"].copy(), "keep_id": -c["neg_id"], "keep_row": -c["neg_row"]})
+
+
+def buckets(rows: DataFrame, total: int) -> int:
+    return max(tasks(rows.sparkSession), total // BUCKET_ROWS + 1)
+
+
 def build_index(rows: DataFrame) -> DataFrame:
     """One entry a live digest from ``digests(...)`` rows, through the cuckoo buckets."""
     last = F.lit(2**63 - 1)
     best = F.max(F.struct("n_chars", (-F.coalesce("doc_id", last)).alias("neg_id"), (-F.col("row_id")).alias("neg_row")))
-    partial = rows.groupBy("digest", F.pmod(F.col("row_id"), F.lit(SALTS)).alias("salt")).agg(F.first("norm_len").alias("norm_len"), F.count("*").alias("n"), best.alias("best"))
+    partial = rows.groupBy("digest", F.pmod(F.col("row_id"), F.lit(SALTS)).alias("salt")).agg(F.first("norm_len").alias("norm_len"), F.count("*").alias("rows"), best.alias("best"))
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = DigestBucket()
         for b in batches:
-            for row in zip(b["digest"], b["norm_len"], b["n"], b["n_chars"], b["neg_id"], b["neg_row"]):
-                bucket.add(bytes(row[0]), row[1], row[2], row[3:])
-        items = list(bucket.entries.items())
-        for a in range(0, len(items), 20_000):
-            part = items[a : a + 20_000]
-            yield pd.DataFrame({"digest": [d for d, _ in part], "norm_len": [e[0] for _, e in part], "group_size": [e[1] for _, e in part], "keep_chars": [e[2][0] for _, e in part], "keep_id": [-e[2][1] for _, e in part], "keep_row": [-e[2][2] for _, e in part]})
+            if b.num_rows:
+                bucket.add(*distinct(b))
+        yield from told(bucket)
 
-    flat = partial.select("digest", "norm_len", "n", "best.*")
-    return flat.repartition(tasks(rows.sparkSession), "digest").mapInPandas(fill, INDEX_SCHEMA)
+    flat = partial.select("digest", "norm_len", "rows", "best.*")
+    return flat.repartition(buckets(rows, rows.count()), "digest").mapInArrow(fill, INDEX_SCHEMA)
 
 
 def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -167,19 +254,22 @@ def update_index(index: DataFrame, added: DataFrame, removed: DataFrame) -> Data
     Only (digest, norm_len, group_size) follow: which row stays is not known after a removal without the
     rows themselves. A removed digest that the index does not hold is ignored.
     """
-    parts = index.select("digest", "norm_len", F.col("group_size").alias("n"), F.lit(0).alias("step"))
-    for frame, sign, step in ((added, 1, 1), (removed, -1, 2)):
-        parts = parts.unionByName(frame.groupBy("digest").agg(F.first("norm_len").alias("norm_len"), (sign * F.count("*")).alias("n")).withColumn("step", F.lit(step)))
+    parts = index.select("digest", "norm_len", F.col("group_size").alias("rows"), F.lit(0).alias("step"))
+    for step, frame in enumerate((added, removed), 1):
+        parts = parts.unionByName(frame.groupBy("digest").agg(F.first("norm_len").alias("norm_len"), F.count("*").alias("rows")).withColumn("step", F.lit(step)))
+    parts = parts.withColumns({c: F.lit(0).cast(k) for c, k in (("n_chars", "int"), ("neg_id", "long"), ("neg_row", "long"))})
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = DigestBucket()
         for b in batches:
-            for digest, length, n in zip(b["digest"], b["norm_len"], b["n"]):
-                bucket.add(bytes(digest), length, n, ()) if n > 0 else bucket.remove(bytes(digest), -n)
-        yield pd.DataFrame([(d, e[0], e[1]) for d, e in bucket.entries.items()], columns=["digest", "norm_len", "group_size"])
+            for step in sorted(set(b.column("step").to_pylist())):
+                got = distinct(b.filter(pc.equal(b.column("step"), step)))
+                bucket.remove(got[0], got[1]["rows"]) if step == 2 else bucket.add(*got)
+        for b in told(bucket):
+            yield b.select(["digest", "norm_len", "group_size"])
 
     dealt = parts.repartition(tasks(index.sparkSession), "digest").sortWithinPartitions("step")
-    return dealt.mapInPandas(apply, "digest binary, norm_len int, group_size long")
+    return dealt.mapInArrow(apply, "digest binary, norm_len int, group_size long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
