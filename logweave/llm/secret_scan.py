@@ -68,7 +68,7 @@ def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8, SEC 1 or a subject public key, by their nested lengths."""
+    """A PKCS#1, PKCS#8 or SEC 1 private key, by its nested lengths; a public key is no secret."""
     outer = der_fields(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -84,9 +84,6 @@ def is_der_key(data: bytes) -> bool:
         if tags[:3] == [0x02, 0x30, 0x04]:
             named = der_fields(inner[1][1])
             return bool(named) and named[0][0] == 0x06 and named[0][1] in KEY_OIDS  # PKCS#8
-    if tags == [0x30, 0x03]:
-        named = der_fields(inner[0][1])
-        return bool(named) and named[0][0] == 0x06 and named[0][1] in KEY_OIDS
     return False
 
 
@@ -124,7 +121,7 @@ def is_jwt(text: str) -> bool:
         return False
     try:
         head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in parts[:2])
-    except ValueError:
+    except (ValueError, RecursionError):  # no base64, no JSON, or JSON too deep to be a token's
         return False
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
