@@ -5,7 +5,7 @@ bounded sample of labelled rows, broadcast, and applied to Arrow batches in nump
 vector of n-gram counts, scored by gathering matrix rows and summing them per text.
 
 Edge cases: a null text or one without letters is ``und`` with score 0; a null id is never learnt from;
-null labels are not learnt; an empty training table gives ``und`` everywhere; ties go to the first
+null labels are not learnt, and every other label is, up to MAX_LANGS (beyond that the fit raises); an empty training table gives ``und`` everywhere; ties go to the first
 language in sorted order; repeated rows are scored alike; other columns pass through untouched.
 """
 
@@ -24,8 +24,8 @@ from .textbatch import chunks, gram_slots, letters
 
 #: Rows of each language that training reads at most, in expectation (chosen by a hash of the id).
 TRAIN_ROWS_PER_LANG = 3000
-#: The most languages one model holds; bounds the broadcast matrix to 2^BITS * MAX_LANGS floats.
-MAX_LANGS = 400
+#: The most languages one model holds; bounds the broadcast matrix to 2^BITS * MAX_LANGS floats. More are refused.
+MAX_LANGS = 1000
 BITS = 15
 SIZES = (2, 3)
 UNKNOWN = "und"
@@ -88,7 +88,9 @@ def fit(labelled: DataFrame, rows_per_lang: int = TRAIN_ROWS_PER_LANG) -> Langua
     """
     spark = labelled.sparkSession
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: their matrix would not fit; raise language_id.MAX_LANGS or BITS to suit")
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], np.zeros((0, 0), np.float32), np.zeros(0))
