@@ -6,10 +6,15 @@
 2. *Rates.* Each document i with share a_i of all tokens gets a rate w_i >= 0. Projected gradient descent fits the
    least squares of r = sum_i a_i w_i p_i - t, so that the expected domain token totals sum_i a_i w_i p_i match the
    target shares t. The squares are weighted by M^-1, M = sum a_i p_i p_i' over the documents whose rate is above 0, so
-   a step of length 1 is right. The steps are summed from the start and projected at the end (lazy projection):
-   g <- g + M^-1 r, w_i = max(0, 1 - p_i' g). Of all rates that match the totals this finds those that are nearest to
-   1, so documents are not given up without need. An iteration is one distributed sum that returns a number a domain
-   and a number a pair of domains; a document's rate follows from its posterior and g, so nothing else is kept.
+   a step of length 1 is right; it is halved while r does not shrink. The steps are summed from the start and projected at
+   the end (lazy projection): g <- g + M^-1 r, w_i = max(0, 1 - p_i' g). Projecting each step by itself would end at any
+   rates that match the totals, and would need the rates of all documents as state; this finds those that are nearest to
+   1, so documents are not given up without need, and an iteration is one distributed sum that returns a number a domain
+   and a number a pair of domains, as a document's rate follows from its posterior and g. The reached shares are
+   returned; where no rates match the targets (``TOLERANCE``) the best that were found are, with a warning.
+   A document whose posterior holds more of an unwanted domain than the target allows gets a low rate or none. Short
+   texts that tell nothing have the prior as posterior, so they go where a domain's prior is well above its target: on few
+   labels more rows are lost than on many, though the token total stays.
 3. *Copies.* A document appears floor(w_i) times, and once more if a hash of its id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior, and rate as others; null ids or
@@ -19,6 +24,7 @@ count as one document; an empty table gives an empty result; equal hashes need n
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 import numpy as np
@@ -31,7 +37,7 @@ from .common import written
 TRAIN_ROWS_PER_DOMAIN, VOCABULARY = 1500, 20_000
 #: A word must occur so often in the sample to enter the vocabulary; others are one unknown word.
 MIN_COUNT = 3
-MAX_STEPS, TOLERANCE = 20, 1e-6
+MAX_STEPS, TOLERANCE = 60, 1e-6
 
 
 def _words(text: Column) -> Column:
@@ -110,14 +116,21 @@ def fit_rates(members: DataFrame, targets: list[float]) -> tuple[DataFrame, list
     got = got / total
     goal = np.where(got > 0, targets, 0.0)
     goal = goal / goal.sum() if goal.sum() > 0 else got
+    best, step, length = (np.abs(got - goal).max(), pull, got), np.linalg.pinv(matrix / total) @ (got - goal), 1.0
     for _ in range(MAX_STEPS):
-        pull = pull + np.linalg.pinv(matrix / total) @ (got - goal)
-        _, got, matrix = sums(pull.tolist())
-        got = got / total
-        if np.abs(got - goal).max() < TOLERANCE:
+        if best[0] < TOLERANCE:
             break
-    got = got.tolist()
-    return members.withColumn("rate", rate_column(pull.tolist())), got
+        tried = best[1] + length * step
+        _, got, matrix = sums(tried.tolist())
+        got = got / total
+        off = np.abs(got - goal).max()
+        if off < best[0]:
+            best, step, length = (off, tried, got), np.linalg.pinv(matrix / total) @ (got - goal), min(1.0, 2 * length)
+        else:
+            length /= 2
+    if best[0] >= TOLERANCE:
+        warnings.warn(f"target shares {goal.tolist()} are not met: reached {best[2].tolist()}", stacklevel=2)
+    return members.withColumn("rate", rate_column(best[1].tolist())), best[2].tolist()
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -127,11 +140,11 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """(doc_id, n_tokens, p, rate, copies) of each id, for target shares by domain."""
+    """(doc_id, n_tokens, p, rate, copies, reached) of each id, for target shares by domain; ``reached`` is what all rates give together."""
     domains = sorted(targets)
     members = written(posteriors(docs, fit(docs, labels, domains)), "members")
-    rated, _ = fit_rates(members, [targets[d] for d in domains])
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rated, reached = fit_rates(members, [targets[d] for d in domains])
+    return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id")), "reached": F.array(*[F.lit(float(x)) for x in reached])})
 
 
 def apply_copies(docs: DataFrame, rated: DataFrame) -> DataFrame:

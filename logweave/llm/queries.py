@@ -41,7 +41,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), domain_labels(spark, sf_dir), TARGETS)
     names = sorted(TARGETS)
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(names)], "rate", "copies")
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(names)], "rate", "copies", *[F.col("reached")[k].alias(f"reached_{d}") for k, d in enumerate(names)])
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

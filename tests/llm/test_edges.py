@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def test_license_rules_and_edges(make_docs):
     rows = [(1, None), (2, ""), (3, "x. Released under the MIT License. y"), (4, "ALL RIGHTS RESERVED.\nThis work is licensed under the GNU General Public License, version 3."), (5, mit), (6, "the license was lost"), (7, LONG), (3, "x. Released under the MIT License. y")]
     got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_scan.scan_licenses(make_docs(rows, clash=["note"]).withColumn("licenses", F.lit("mine"))).collect()}
     assert got[1] == got[2] == got[6] == got[7] == ([], [])
-    assert got[3] == (["mit_line"], ["MIT"]) and got[4] == (["reserved", "gpl3_line"], ["GPL-3.0-only", "Proprietary"]) and got[5] == (["mit_grant", "mit_notice"], ["MIT"])
+    assert got[3] == (["mit_line"], ["MIT"]) and got[4] == (["reserved", "gpl3_line"], ["GPL-3.0-only"]) and got[5] == (["mit_grant", "mit_notice"], ["MIT"])
     assert license_scan.scan_licenses(make_docs([])).count() == 0
 
 
@@ -84,6 +85,27 @@ copyright notice and this permission notice appear in all copies.""",
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public\ndomain.",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:""",
+    "BSD-2-Clause": """Copyright (c) 2020, A. Author
+All rights reserved.
+
+SPDX-License-Identifier: BSD-2-Clause""",
     "Proprietary": "All rights\nreserved.",
 }
 
@@ -103,6 +125,20 @@ def test_wrapped_licenses_are_found(make_docs):
     assert {i for r in ids.values() for i in r} >= {"mit_warranty", "apache2_basis", "apache2_see", "gpl_warranty", "gpl_see", "bsd_names"}
 
 
+def test_wrapped_licenses_in_sql(make_docs, tmp_path):
+    from tests.oracle import same
+
+    rows = []
+    for text in WRAPPED.values():
+        lines = text.split("\n")
+        for form in (text, "\r\n".join(lines), *("\n".join(m + x for x in ["", *lines, ""]) for m in ("# ", " * ")), text + "\n\nAll rights reserved.", f"a. {text} b"):
+            rows.append((len(rows), form))
+    rows += [(len(rows), "All rights\n\nreserved."), (len(rows) + 1, None), (len(rows) + 2, "License. All rights reserved. All rights reserved.")]
+    make_docs(rows).write.parquet(f"{tmp_path}/d")
+    pd.read_parquet(f"{tmp_path}/d").to_parquet(f"{tmp_path}/documents.parquet")
+    same(make_docs([]).sparkSession, queries.op1_license_scan, license_scan.oracle(), str(tmp_path))
+
+
 def test_every_sentence_is_reached_however_it_is_wrapped(make_docs):
     rows = [(k, form) for k, s in enumerate(license_scan.SENTENCES) for form in (s, s.upper().replace(" ", "\n# "), s.replace(" ", "; "))]
     got = {(r["doc_id"], r["text"]): r["sentence_ids"] for r in license_scan.scan_licenses(make_docs(rows)).collect()}
@@ -145,6 +181,15 @@ def test_one_document_fixes_no_token(make_docs):
     assert set(out.values()) == {0}
 
 
+def test_long_lines_recur_from_two_texts_on(make_docs):
+    long = " ".join(f"{w}{w}" for w in WORDS * 6)
+    short = " ".join(long.split()[:50])
+    assert len(long.split()) > 50
+    rows = [(1, f"one\n{long}\nend one"), (2, f"two\n{long}"), (3, f"three\n{short}"), (4, f"four\n{short}"), (5, f"copy\n{long} more"), (6, f"copy\n{long} more")]
+    out = {r["doc_id"]: r for r in line_dedup.drop_recurring(make_docs(rows)).collect()}
+    assert {i: r["n_dropped"] for i, r in out.items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0} and out[1]["text"] == "one\nend one"
+
+
 # --- 3 tokens
 def test_token_files_round_trip(spark, make_docs, tmp_path):
     import pyarrow as pa
@@ -351,6 +396,26 @@ def test_decontamination_finds_the_longest_match(make_docs, spark):
     assert decontaminate.contamination(decontaminate.find_matches(make_docs([]), none)).count() == 0
 
 
+def test_large_items_are_cut_and_shared_windows_named(make_docs, spark, monkeypatch):
+    rng = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(12))
+    items = [(k, f"{common} " + " ".join(f"x{rng.randrange(300)}" for _ in range(60 + 40 * k))) for k in range(4)]
+    texts = [(1, f"a {common} b"), (2, items[3][1]), (3, " ".join(items[2][1].split()[20:45])), (4, f"{common} {common}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(decontaminate.find_matches(make_docs(texts), bench)).collect()}
+    assert whole == brute_hits(texts, items, 10) and whole[1][2] == ["0", "1", "2", "3"]
+    small = [list(decontaminate.blocks(bench, 10, 150))]
+    assert len(small[0]) > 4 and all(len(b.w_item) for b in small[0])
+    got: dict = {}
+    for b in small[0]:  # every window is in some block, at its place in the item
+        _, hits = decontaminate.search_texts([t for _, t in texts], b)
+        for d, i, p, q, n in zip(hits["doc"], hits["item"], hits["place"], hits["item_place"], hits["length"]):
+            words_ = items[b.ids[i]][1].split()
+            assert words_[q : q + n] == texts[d][1].split()[p : p + n]
+            got.setdefault(texts[d][0], set()).update(range(p, p + n))
+    assert {i: len(x) for i, x in got.items()} == {i: r[1] for i, r in whole.items()}
+
+
 def test_null_ids_are_decontaminated(make_docs, spark):
     item, named = " ".join(f"t{k}" for k in range(12)), " ".join(f"u{k}" for k in range(10))
     bench = spark.createDataFrame([(None, item), (7, named)], "item_id long, text string")
@@ -371,18 +436,40 @@ def test_dedup_edges(make_docs):
     assert exact_dedup.dedup(make_docs([])).count() == 0
 
 
+def _content(n):
+    out = np.zeros(n, dtype=exact_dedup.CONTENT)
+    out["rows"] = 1
+    return out
+
+
 def test_cuckoo_filter_inserts_deletes_and_grows():
     f = exact_dedup.CuckooFilter(64)
     rng = random.Random(1)
-    keys = [rng.getrandbits(64) for _ in range(40)]
-    assert all(f.insert(k) for k in keys) and all(k in f for k in keys)
-    assert all(f.delete(k) for k in keys) and f.size == 0 and not f.table.any()
+    keys = np.array([rng.getrandbits(64) for _ in range(40)], dtype=np.uint64)
+    assert f.insert(keys) and f.find(keys).all()
+    f.delete(keys)
+    assert f.size == 0 and not f.table.any()
     b = exact_dedup.DigestBucket(16)
-    digests = [rng.randbytes(32) for _ in range(3000)]
-    for d in digests:
-        b.add(d, 1, 1, (1, 1, 1))
-    assert len(b.entries) == 3000 and b.filter.size == 3000 and all(b.key(d) in b.filter for d in digests)
-    assert b.remove(digests[0]) and not b.remove(digests[0]) and len(b.entries) == 2999
+    digests = np.array([rng.randbytes(32) for _ in range(30_000)], dtype=exact_dedup.DIGEST)
+    for a in range(0, len(digests), 700):  # each batch twice: the second is a hit throughout
+        for _ in range(2):
+            b.add(digests[a : a + 700], _content(len(digests[a : a + 700])))
+    held, content = b.content()
+    assert sorted(held) == sorted(digests) and (content["rows"] == 2).all() and b.filter.find(b.keys(digests)).all()
+    assert b.filter.size == len(digests) and (b.filter.table > 0).sum() == len(digests)
+    other = np.array([rng.randbytes(32) for _ in range(5000)], dtype=exact_dedup.DIGEST)
+    assert b.filter.find(b.keys(other)).mean() < 0.01  # new digests are seldom looked for
+    first = digests[:50]
+    assert not b.remove(first, np.ones(50, np.int64)).any() and b.remove(first, np.ones(50, np.int64)).all() and not b.remove(first, np.ones(50, np.int64)).any()
+    assert len(b.content()[0]) == len(digests) - 50 == (b.filter.table > 0).sum() and b.filter.find(b.keys(digests[50:])).all()
+
+
+def test_cuckoo_filter_survives_equal_keys():
+    same = np.array([b"x" * 8 + random.Random(k).randbytes(24) for k in range(40)], dtype=exact_dedup.DIGEST)
+    b = exact_dedup.DigestBucket(64)
+    for d in same:
+        b.add(np.array([d]), _content(1))
+    assert sorted(b.content()[0]) == sorted(same) and b.level > 0 and b.filter.n_buckets < 1 << 12
 
 
 def test_index_follows_insertions_and_deletions(make_docs):
@@ -412,6 +499,10 @@ def test_structures_are_confirmed():
     assert kinds(f"😀 {b64(pkcs8)} end") == ["der_key"] and secret_scan.scan(f"😀 {b64(pkcs8)} end")[0][1] == 2
     wrapped = "\n".join(b64(pkcs1)[i : i + 64] for i in range(0, len(b64(pkcs1)), 64))
     assert "der_key" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped}\n-----END") and "ssh_key" in kinds(b64(ssh)) and "der_key" in kinds(pkcs8.hex().upper())
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    assert kinds(f"{url({'alg': 'HS256'})}.{deep}.c2ln") == [] and kinds(f"{deep}.{deep}.c2ln") == []
+    public = der(0x30, der(0x30, der(0x06, bytes.fromhex("2a864886f70d010101")) + der(0x05, b"")) + der(0x03, bytes(60)))
+    assert kinds(b64(public)) == [] and "der_key" not in kinds(public.hex().upper())
     assert kinds(jwt) == ["jwt"] and kinds(f"{url({'typ': 'x'})}.{url({})}.zz") == [] and kinds("M" + "A" * 80) == [] and kinds(b64(pkcs8[:-3] + b"\x00")) == []
 
 
@@ -477,6 +568,49 @@ def test_rates_equal_a_dense_solver(spark):
     assert np.abs(got - np.maximum(0, 1 - p @ g)).max() < 0.01 and np.abs(np.array(reached) - target).max() < 0.001
 
 
+def test_rates_solve_the_least_squares(spark):
+    """Plain projected gradient on the rates themselves reaches the same totals; the fitted rates are the nearest to 1."""
+    rng = np.random.default_rng(9)
+    n, p = rng.integers(1, 50, 60).astype(float), rng.dirichlet([0.3, 0.6, 0.4], 60)
+    target, a = np.array([0.15, 0.25, 0.6]), n / n.sum()
+    members = spark.createDataFrame([(i, int(x), [float(v) for v in q]) for i, (x, q) in enumerate(zip(n, p))], "doc_id long, n_tokens long, p array<double>")
+    rated, reached = mixing.fit_rates(members, target.tolist())
+    got = np.array([r["rate"] for r in rated.orderBy("doc_id").collect()])
+    w = np.ones(60)
+    for _ in range(200_000):
+        w = np.maximum(0, w - 20 * (a[:, None] * p) @ ((a * w) @ p - target))
+    assert np.abs((a * w) @ p - target).max() < 1e-4 and np.abs(reached - target).max() < 1e-4 and (got >= 0).all()
+    assert np.abs((a * got) @ p - reached).max() < 1e-9
+    assert (a * (got - 1) ** 2).sum() <= (a * (w - 1) ** 2).sum() + 1e-6
+    alone = spark.createDataFrame([(1, 10, [0.9, 0.1]), (2, 10, [0.8, 0.2])], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="not met"):  # no rates give so much of the second domain
+        _, far = mixing.fit_rates(alone, [0.1, 0.9])
+    assert abs(far[0] - 0.1) > 0.01
+
+
+def test_posteriors_equal_brute_force(make_docs, spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(WORDS[:8] if i % 2 else WORDS[4:]) for _ in range(rng.randint(0, 30)))) for i in range(40)] + [(99, None)]
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(30)], "doc_id long, domain string")
+    docs = make_docs(texts).select("doc_id", "text")
+    model = mixing.fit(docs, labels, ["a", "b"])
+    seen = [{}, {}]
+    for i, t in texts[:30]:
+        for x in t.split():
+            seen[i % 2][x] = seen[i % 2].get(x, 0) + 1
+    vocabulary = {x for x in {*seen[0], *seen[1]} if seen[0].get(x, 0) + seen[1].get(x, 0) >= mixing.MIN_COUNT}
+    for r in mixing.posteriors(docs, model).collect():
+        words_ = (dict(texts)[r["doc_id"]] or "").split()
+        x = []
+        for c in seen:
+            total, size = sum(c.values()), len(vocabulary) + 1
+            inside = sum(c.get(v, 0) for v in vocabulary)
+            logs = [np.log(((c.get(v, 0) if v in vocabulary else total - inside) + 0.5) / (total + 0.5 * size)) for v in words_]
+            x.append(sum(logs) / np.sqrt(max(1, len(words_))) + np.log(16 / 32))
+        want = np.exp(np.array(x) - max(x))
+        assert np.allclose(r["p"], want / want.sum(), atol=1e-9) and r["n_tokens"] == len(words_)
+
+
 def test_mixing_edges(make_docs, spark):
     rows = [(i, "good plain words here " * 3) for i in range(10)] + [(20 + i, "junk %%% noise ### " * 3) for i in range(10)] + [(40, None), (41, ""), (None, "good words"), (42, LONG)]
     labels = spark.createDataFrame([(i, "a") for i in range(5)] + [(20 + i, "b") for i in range(5)] + [(None, "a"), (1, None)], "doc_id long, domain string")
