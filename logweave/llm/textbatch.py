@@ -24,9 +24,32 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield a, len(texts)
 
 
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+# Marks and digits that stand for letters in disguised words.
+DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_PLAIN = np.arange(128, dtype=np.uint32)
+for _mark, _letter in DISGUISE.items():
+    _PLAIN[ord(_mark)] = ord(_letter)
+
+
+def undisguised(code: np.ndarray) -> np.ndarray:
+    """Marks and digits as the letters they may stand for, where a letter is within two places on either side or both."""
+    low = code < 128
+    letter = (code >= 0x61) & (~low | (code <= 0x7A))
+    near = letter.copy()
+    for k in (1, 2):
+        near[k:] |= letter[:-k]
+        near[:-k] |= letter[k:]
+    at = np.flatnonzero(low & near & ~letter)
+    out = code.copy()
+    out[at] = _PLAIN[code[at]]
+    return out
+
+
+def letters(texts: list[str], disguised: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased code points of the texts, one space before, between and after them; start of each text.
 
+    With ``disguised``, marks and digits inside or beside words count as the letters they look like.
+
     Everything that is not a letter (ASCII punctuation, digits, control characters) becomes a space, so
     n-grams see words only. The text i is at ``[starts[i], starts[i + 1] - 1)``.
     """
@@ -35,6 +58,8 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = [len(t) if t.isascii() else len(t.lower()) for t in texts]
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(np.asarray(lengths, dtype=np.int64) + 1, out=starts[1:])
+    if disguised:
+        code = undisguised(code)
     other = (code < 0x61) | ((code > 0x7A) & (code < 0xAA)) | ((code >= 0x2000) & (code < 0x2070))
     return np.where(other, np.uint32(0x20), code), starts + 1
 

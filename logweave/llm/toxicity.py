@@ -3,8 +3,9 @@
 A passage (``WINDOW`` characters) is the bag of the character n-grams of its words, word edges included, so
 a misspelling that was never seen shares most of its vectors with the known word. A text scores as its most
 toxic passage, because a few words in a long text must not be averaged away. Training alternates: choose the
-passages that stand for each labelled text (the strongest of a toxic text; the strongest and two fixed
-ones of a clean text), then fit embeddings and softmax on them. A logistic fit on the training texts maps the
+passages that stand for each labelled text (the strongest of a toxic text; the strongest and random
+ones of a clean text), then fit embeddings and softmax on them. The first choice is by the log odds of each n-gram to stand in
+a toxic text. A logistic fit on the training texts maps the
 strongest passage to a probability.
 
 Since averaging and the softmax's input are linear, the fitted model is folded to one weight a slot for
@@ -30,20 +31,21 @@ from .textbatch import chunks, gram_slots, letters
 
 #: Labelled rows that training reads at most of either class, in expectation (chosen by a hash of the id).
 TRAIN_ROWS_PER_CLASS = 1200
-#: Characters that training holds at once; further sampled rows are left out of the fit.
-TRAIN_CHARS = 12_000_000
+#: Characters that training holds at once, and those of one row; rows that go beyond are left out of the fit, unless their
+#: class would have none.
+TRAIN_CHARS, ROW_CHARS = 12_000_000, 400_000
 BITS = 18
 SIZES = (3, 4, 5)
 WINDOW = 32
 #: Training texts that an n-gram must occur in to get a vector; rarer ones stay neutral.
 MIN_TEXTS = 4
 DIM = 8
-ROUNDS, STEPS, RATE = 4, 50, 0.05
+ROUNDS, STEPS, RATE = 3, 30, 0.05
 
 
 def prepare(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Start of each text, slots of each n-gram size by position (-1: none), code length."""
-    code, starts = letters(texts)
+    code, starts = letters(texts, disguised=True)
     slots = []
     for n in SIZES:
         slot, ok = gram_slots(code, n, BITS)
@@ -115,21 +117,18 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     table = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2))
     bias = np.zeros(2)
-    weight = np.zeros(1 << BITS, dtype=np.float32)
-    common = texts_by_slot(texts) >= MIN_TEXTS
     pos, neg = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
-    for turn in range(ROUNDS):
+    in_pos, in_neg = (texts_by_slot([texts[i] for i in at]) for at in (pos, neg))
+    common = in_pos + in_neg >= MIN_TEXTS
+    weight = np.where(common, np.log((in_pos + 0.5) / (len(pos) + 1)) - np.log((in_neg + 0.5) / (len(neg) + 1)), 0).astype(np.float32)
+    for _ in range(ROUNDS):
         passages, label = [], []
         _, where = strongest(texts, weight)
         for i in pos:
-            if turn == 0:  # the whole text as consecutive passages of one bag
-                passages.append(texts[i])
-            else:
-                passages.append(texts[i][max(0, where[i] - 1) : where[i] + WINDOW])
+            passages.append(texts[i][max(0, where[i] - 1) : where[i] + WINDOW])
             label.append(1)
         for i in neg:
-            spots = [where[i]] if turn else []
-            spots += list(rng.integers(0, max(1, len(texts[i]) - WINDOW), 8))
+            spots = [where[i], *rng.integers(0, max(1, len(texts[i]) - WINDOW), 8)]
             passages += [texts[i][max(0, s - 1) : s + WINDOW] for s in spots]
             label += [0] * len(spots)
         row, slot, share = bags(passages)
@@ -215,19 +214,28 @@ def fit(labelled: DataFrame) -> ToxicityModel:
     """
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [x for x in batches if len(x)]
-        if not held:
+        held: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
+        spare: dict[int, tuple[int, str]] = {}  # the shortest row of a class that was left out
+        size = {0: 0, 1: 0}
+        for batch in batches:
+            for doc_id, text, toxic in batch.itertuples(index=False):
+                text = text or ""
+                if len(text) <= ROW_CHARS and size[toxic] + len(text) <= TRAIN_CHARS // 2:
+                    held[toxic].append((doc_id, text))
+                    size[toxic] += len(text)
+                elif toxic not in spare or len(text) < len(spare[toxic][1]):
+                    spare[toxic] = (doc_id, text)
+        rows = [(i, t, c) for c in (0, 1) for i, t in held[c] or [x for x in (spare.get(c),) if x]]
+        if not rows:
             return
-        got = pd.concat(held).sort_values("doc_id")
-        got["text"] = got["text"].fillna("")
+        got = pd.DataFrame(rows, columns=["doc_id", "text", "toxic"]).sort_values(["doc_id", "text"])
         got = got.iloc[np.random.default_rng(1).permutation(len(got))]
-        got = got[got["text"].str.len().cumsum() <= max(TRAIN_CHARS, len(got["text"].iloc[0]))]
         y = got["toxic"].to_numpy()
         if len(set(y)) == 2:
             weight, slope, offset = train(got["text"].tolist(), y)
             yield pd.DataFrame({"weight": [weight.tobytes()], "slope": [slope], "offset": [offset]})
 
-    got = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInPandas(learn, "weight binary, slope double, offset double").collect()
+    got = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id")).mapInPandas(learn, "weight binary, slope double, offset double").collect()
     return ToxicityModel(np.frombuffer(got[0]["weight"], dtype=np.float32), got[0]["slope"], got[0]["offset"]) if got else ToxicityModel(None)
 
 
