@@ -13,14 +13,13 @@ component that other links already connect.
    more, are its keys: linked documents share one. The documents of a key are its posting.
 4. *Groups.* Every document is compared with the first document of each of its postings (its hubs). The links found this way
    gather similar documents into groups, however large they are, with one comparison a document and hub.
-5. *What is left.* A posting is open if it holds documents of two groups. A document that shares too few of its rarest
-   tokens (the screen's bound again) in open postings links with no other group and is done. Of postings with the
-   same documents one goes on.
+5. *What is left.* A token is open if documents of two groups hold it. A document with too few open ones among its rarest
+   tokens (the screen's bound again), or then among all its tokens (the overlap that a link needs), links with no other group
+   and is done. Of postings with the same documents one goes on.
 6. *Token-group matrix.* In an open posting each group's token union is stored. The overlap of a query document with a union
    bounds its overlap with every member, so only groups that reach the needed overlap are opened and compared
    exactly; groups that a link has joined meanwhile are passed over, and only links that connect are returned. A posting
-   of more than BLOCK_TOKENS tokens is dealt to blocks: its largest group is split, and only documents of other groups
-   go to all blocks.
+   of more than BLOCK_TOKENS tokens is dealt to blocks by sizes and groups (``dealt_blocks``).
 7. *Components* of all links give each document its class.
 
 Hashes of 64 bits stand for tokens. Edge cases: null or empty texts and texts without words have no tokens and link with
@@ -32,6 +31,7 @@ rule, as only components count; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ from .common import discard, join_groups, tasks, written
 from .components import components
 
 NGRAM, PERCENT = 4, 85
-#: Tokens, with repeats, of one block of a large posting, and of the blocks that one task solves together.
-BLOCK_TOKENS, TASK_TOKENS = 400_000, 1_500_000
+#: Tokens, with repeats, and documents of one part of a large posting, and tokens of the blocks that one task solves together.
+BLOCK_TOKENS, BLOCK_DOCS, TASK_TOKENS = 300_000, 600, 1_500_000
 #: Documents that are compared with one copy of their hub.
 HUB_ROWS = 500
 #: Share of a document's tokens, beyond those that may differ, that the screen looks at.
@@ -54,8 +54,6 @@ SCREEN = 0.15
 CHUNK_BYTES = 8_000_000
 #: Tokens that one counting task holds on average, and bytes of text with about as many screened tokens.
 RANGE_TOKENS, RANGE_TEXT = 1_500_000, 24_000_000
-#: Rounds in which documents without enough open tokens are taken out (more rounds take out more; none is needed).
-SIFTS = 1
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
@@ -283,6 +281,7 @@ def block_links(ids: list[int], groups: list[int], home: list[bool], sets: list[
     unions = [np.unique(flat[begin[a] : begin[b - 1] + size[b - 1]]) if b - a > 1 else flat[begin[a] : begin[a] + size[a]] for a, b in zip(first[:-1], first[1:])]
     u_len = np.fromiter(map(len, unions), dtype=np.int64, count=len(unions))
     u_flat, u_begin = np.concatenate(unions), np.cumsum(u_len) - u_len
+    alone = np.diff(first) == 1
     parent = list(range(len(unions)))
     links: list[tuple[int, int]] = []
 
@@ -297,14 +296,17 @@ def block_links(ids: list[int], groups: list[int], home: list[bool], sets: list[
         mine = flat[begin[q] : begin[q] + size[q]]
         mark[mine] = 1
         bound = np.add.reduceat(mark[u_flat], u_begin)
-        for g in np.flatnonzero(bound >= need[q]):
+        open_ = np.flatnonzero(bound >= need[q])
+        # the bound of a single document is its overlap
+        open_ = open_[~alone[open_] | (100 * bound[open_] >= percent * (size[first[open_]] + size[q] - bound[open_]))]
+        for g in open_:
             if root(g) == root(group[q]):
                 continue
             members = np.arange(first[g], first[g + 1])
             members = members[(size[members] >= need[q]) & (need[members] <= size[q])]
             if not len(members):
                 continue
-            if first[g + 1] - first[g] == 1:  # the bound of a single document is its overlap
+            if alone[g]:
                 got = bound[g : g + 1]
             else:
                 n = size[members]
@@ -362,13 +364,57 @@ def open_keys(keys: DataFrame) -> DataFrame:
 
 
 def sifted(keys: DataFrame) -> DataFrame:
-    """Without the documents that share too few tokens with other groups, and without tokens that are not open."""
-    for _ in range(SIFTS):
-        open_ = written(open_keys(keys).drop("n"), "open-keys")
-        enough = open_.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_id")
-        keys = written(open_.join(enough.hint("merge"), "doc_id", "left_semi"), "sifted-keys")
-        discard(open_)
-    return keys
+    """``keys(token, doc_id, group, least, ...)`` without the documents that share fewer than ``least`` of their tokens with other groups."""
+    open_ = written(open_keys(keys).drop("n"), "open-keys")
+    enough = open_.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_id")
+    kept = written(open_.join(enough.hint("merge"), "doc_id", "left_semi"), "sifted-keys")
+    discard(open_)
+    return kept
+
+
+def shared_enough(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``keys`` of the documents that can link with another group.
+
+    First by the tokens of their prefixes, then, for those that are left, by all tokens: a link needs an overlap of
+    ``needed``, so that many of a document's tokens must stand in documents of other groups.
+    """
+    prefix = sifted(keys)
+    docs = prefix.groupBy("doc_id").agg(F.first("group").alias("group"))
+    least = F.ceil(F.size("tokens") * F.lit(percent) / 100).cast("int")
+    whole = written(docs.join(sets.hint("merge"), "doc_id").select("doc_id", "group", least.alias("least"), F.explode("tokens").alias("token")), "left-tokens")
+    left = sifted(whole).select("doc_id").distinct()
+    kept = written(prefix.join(left.hint("merge"), "doc_id", "left_semi"), "left-keys")
+    discard(prefix, whole)
+    return kept
+
+
+def dealt_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of large postings, ``rows(token, doc_id, size, group)``, dealt to blocks: (token, doc_id, size, group, block, home).
+
+    Sizes of linked documents differ by the similarity at most, so a posting falls into windows of sizes; a document
+    stands in its own, where it is at home, and as a guest in the next one. In a window the parts of the largest group meet the parts of
+    the others, and those meet each other; documents of the largest group need not meet.
+    """
+    step = log(100 / percent) * 1.000001
+    own = F.floor(F.log(F.col("size").cast("double")) / step)
+    places = F.explode(F.array(*[F.struct((own + k).alias("window"), F.lit(k == 0).alias("home")) for k in (0, 1)])).alias("x")
+    windows = rows.select("token", "doc_id", "size", "group", places).select("token", "doc_id", "size", "group", "x.*").withColumn("sub", F.xxhash64("token", "window"))
+    windows = written(windows, "windows")
+    # a document counts as so many tokens at least that a part has BLOCK_DOCS documents at most
+    weight = F.greatest("size", F.lit(-(-BLOCK_TOKENS // BLOCK_DOCS)))
+    loads = windows.groupBy("sub", "group").agg(F.count("*").alias("n"), F.sum(weight).alias("load"))
+    subs = loads.groupBy("sub").agg(F.sum("n").alias("n"), F.max_by("group", "load").alias("main"), F.max("load").alias("most"), F.sum("load").alias("load"))
+    count = lambda load: F.ceil(load / BLOCK_TOKENS).cast("int")
+    subs = written(subs.where("load > most").select("sub", "n", "main", count(F.col("most")).alias("km"), count(F.col("load") - F.col("most")).alias("ko")), "sub-postings")
+    met = join_groups(windows, subs, "sub", "n")
+    of = F.xxhash64("doc_id")
+    mine = F.when(F.col("group") == F.col("main"), F.pmod(of, F.col("km"))).otherwise(F.pmod(of, F.col("ko"))).cast("string")
+    name = lambda kind, x, y: F.concat(F.col("window").cast("string"), F.lit(kind), x, F.lit("-"), y)
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda j: f(j.cast("string")))
+    by_main = every("ko", lambda j: name("m", mine, j))
+    by_rest = F.concat(every("km", lambda i: name("m", i, mine)), every("ko", lambda j: name("o", F.least(j, mine), F.greatest(j, mine))))
+    blocks = F.explode(F.when(F.col("group") == F.col("main"), by_main).otherwise(by_rest)).alias("block")
+    return met.select("token", "doc_id", "size", "group", blocks, "home")
 
 
 def posting_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -378,19 +424,17 @@ def posting_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     told = keys.groupBy("token").agg(F.count("*").alias("n"), F.sum("size").alias("load"), F.bit_xor(of).alias("xor"), F.sum(of.cast("decimal(20,0)")).alias("sum"), (F.min("group") != F.max("group")).alias("open")).where("open")
     # postings with the same documents: one goes on
     one = told.groupBy("n", "xor", "sum").agg(F.min("token").alias("token"), F.first("load").alias("load"))
-    one = written(one.select("token", "n", F.ceil(F.col("load") / BLOCK_TOKENS).cast("int").alias("blocks")), "postings")
+    one = written(one.select("token", "n", ((F.col("load") > BLOCK_TOKENS) | (F.col("n") > BLOCK_DOCS)).alias("large")), "postings")
     rows = written(join_groups(keys.select("token", "doc_id", "size", "group"), one, "token", "n"), "posting-rows")
-    large = rows.where("blocks > 1").groupBy("token", "group").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("group", "m").alias("main"))
-    large = written(large.join(one.select("token", "n"), "token"), "large-postings")
-    home = F.pmod(of, F.col("blocks")).cast("int")
-    whole = rows.where("blocks = 1").select("token", "doc_id", "size", "group", F.lit(0).alias("block"), F.lit(True).alias("home"))
-    split = join_groups(rows.where("blocks > 1").drop("n"), large, "token", "n").select("token", "doc_id", "size", "group", home.alias("mine"), F.explode(F.when(F.col("group") == F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
-    dealt = written(whole.unionByName(split.select("token", "doc_id", "size", "group", "block", (F.col("block") == F.col("mine")).alias("home"))), "blocks")
+    dealt = rows.where("not large").select("token", "doc_id", "size", "group", F.lit("").alias("block"), F.lit(True).alias("home"))
+    if one.where("large").count():
+        dealt = dealt.unionByName(dealt_blocks(rows.where("large"), percent))
+    dealt = written(dealt, "blocks")
     total = dealt.agg(F.sum("size")).first()[0] or 0
     task = F.pmod(F.xxhash64("token", "block"), F.lit(max(tasks(spark), int(total // TASK_TOKENS) + 1))).alias("task")
     load = dealt.join(sets.hint("merge"), "doc_id").select("token", "block", "group", "doc_id", "home", "tokens", task)
     links = written(load.groupBy("task").applyInArrow(_solve_blocks(percent), "a long, b long"), "posting-links")
-    discard(one, rows, large, dealt)
+    discard(one, rows, dealt)
     return links
 
 
@@ -404,7 +448,7 @@ def near_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = components(by_hub).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
     grouped = written(found.join(groups, "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id")), "grouped-keys")
     discard(found)
-    left = sifted(grouped)
+    left = shared_enough(grouped, sets, percent)
     by_posting = posting_links(left.where("key"), sets, percent)
     discard(grouped)
     return by_hub.unionByName(by_posting)

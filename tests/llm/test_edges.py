@@ -262,6 +262,7 @@ def brute_components(rows, n, percent):
 def test_join_equals_brute_force(make_docs, monkeypatch, n, percent, small):
     if small:  # large postings are dealt to blocks, and hubs are copied
         monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 300)
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 4)
         monkeypatch.setattr(ngram_join, "HUB_ROWS", 2)
     rng = random.Random(n)
     vocab = [f"w{i}" for i in range(400)]
