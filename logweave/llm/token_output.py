@@ -39,7 +39,7 @@ from .textbatch import chunks
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
 #: Bytes of chunks and ids that a worker keeps, in two generations, with ENTRY_BYTES for each entry.
-KEPT_BYTES, ENTRY_BYTES = 110_000_000, 110
+KEPT_BYTES, ENTRY_BYTES = 170_000_000, 110
 #: Longer chunks are seldom seen again and are never kept.
 KEPT_CHUNK = 64
 #: Characters that are cut into chunks at once, and those given to the library at once.
@@ -129,8 +129,9 @@ class ChunkEncoder:
         if self.old:
             got = {c: self.old[c] for c in new if c in self.old}
         split = [(c, p) for c in new.difference(got) if len(p := self.parts(c)) > 1]
-        pieces = (new.difference(got, (c for c, _ in split)) | {x for _, p in split for x in p}).difference(got)
-        known = {p: ids for p in pieces if (ids := self.kept.get(p) or self.old.get(p))}
+        inner = {x for _, p in split for x in p}.difference(new)
+        known = {p: ids for p in inner if (ids := self.kept.get(p) or self.old.get(p))}
+        pieces = new.difference(got, (c for c, _ in split)) | inner
         words: list[tuple[bytes, str]] = []
         others: list[tuple[bytes, str]] = []
         for p in pieces.difference(known):
