@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .presets import Preset
 
 #: White space as the sources trim it: ASCII and Unicode.
-WS = r"\s\u000B   -     　﻿"
+WS_CHARS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+WS = r"\s\u000B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Prefixes of injected and bootstrap texts.
 INJECTED = ("<environment_context>", "<system-reminder>", "<permissions", "<context_window", "<user_instructions>")
@@ -31,11 +32,11 @@ def truthy(c: str | Column) -> Column:
 
 
 def trim(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def ltrim(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^[{WS}]+", "")
+    return F.ltrim(col(c), F.lit(WS_CHARS))
 
 
 def is_blank(c: str | Column) -> Column:
@@ -44,7 +45,12 @@ def is_blank(c: str | Column) -> Column:
 
 
 def collapse(c: str | Column) -> Column:
-    return trim(F.regexp_replace(col(c), f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(col(c), f"[{WS}]+", " "))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def u16len(c: str | Column) -> Column:
@@ -85,8 +91,7 @@ def truncate(c: str | Column, most: int | None) -> Column:
 
 def truncate_single_line(c: str | Column, most: int) -> Column:
     """On one line, cut with an ellipsis."""
-    one = collapse(c)
-    return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("…"))).otherwise(one)
+    return let(collapse(c), lambda one: F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("…"))).otherwise(one))
 
 
 def summarize(c: str | Column, most: int = 200) -> Column:

@@ -61,18 +61,16 @@ def _groups(blocks: Column, flushes, role: Column | str, thinking_content: bool)
     """
     n = F.size(blocks)
     cuts = F.filter(F.transform(blocks, lambda b, i: F.when(flushes(b), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(0)), cuts)
-    ends = F.concat(cuts, F.array(n))
 
-    def part(start: Column, k: Column) -> Column:
-        piece = F.slice(blocks, start + 1, F.greatest(ends[k] - start, F.lit(0)))
-        prose = F.filter(piece, _prose)
+    def part(piece: Column) -> Column:
         tools = F.transform(F.filter(piece, lambda b: b["type"] == "tool_use"), lambda b: tool_message(b))
         results = F.transform(F.filter(piece, lambda b: b["type"] == "tool_result"), result_message)
-        text = F.when(F.size(prose) > 0, F.array(_flushed(role, prose, thinking_content))).otherwise(none())
+        text = P.let(F.filter(piece, _prose), lambda prose: F.when(F.size(prose) > 0, F.array(_flushed(role, prose, thinking_content))).otherwise(none()))
         return F.concat(tools, results, text)
 
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.flatten(F.transform(starts, part))).otherwise(none())
+    spans = P.let(cuts, lambda at: F.arrays_zip(F.concat(F.array(F.lit(0)), at).alias("a"), F.concat(at, F.array(n)).alias("b")))
+    pieces = F.transform(spans, lambda s: F.slice(blocks, s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0))))
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.flatten(F.transform(pieces, part))).otherwise(none())
 
 
 def assistant_messages(blocks: Column, thinking_content: bool = False) -> Column:
@@ -106,17 +104,21 @@ def parse_blocks(v: Column, keep_injected: bool = True) -> Column:
 
     With ``keep_injected`` false, injected texts are left out too (user content).
     """
-    text = lambda b, path: F.coalesce(P.text_at(b, path), F.lit(""))
-    def one(b: Column) -> Column:
-        kind = P.text_at(b, "$.type")
-        thought = F.coalesce(P.truthy(P.text_at(b, "$.thinking")), P.text_at(b, "$.text"), F.lit(""))
-        args = F.try_variant_get(b, "$.input", "variant")
-        result = P.tool_result_text(F.try_variant_get(b, "$.content", "variant"))
-        good_text = ~P.is_blank(text(b, "$.text")) & (F.lit(True) if keep_injected else ~P.is_system_injected(text(b, "$.text")))
+    at = lambda b, path: F.try_variant_get(b, path, "variant")
+
+    def raw(b: Column) -> Column:
+        texts = [P.text_at(b, f"$.{k}").alias(k) for k in ("type", "text", "thinking", "id", "name", "tool_use_id")]
+        return F.struct(*texts, at(b, "$.input").alias("input"), at(b, "$.content").alias("content"), F.try_variant_get(b, "$.is_error", "boolean").alias("is_error"))
+
+    def one(r: Column) -> Column:
+        text = lambda k: F.coalesce(r[k], F.lit(""))
+        kind, thought = r["type"], F.coalesce(P.truthy(r["thinking"]), r["text"], F.lit(""))
+        good_text = ~P.is_blank(r["text"]) & (F.lit(True) if keep_injected else ~P.is_system_injected(text("text")))
         return (
-            F.when((kind == "text") & good_text, block("text", text=text(b, "$.text")))
+            F.when((kind == "text") & good_text, block("text", text=text("text")))
             .when((kind == "thinking") & ~P.is_blank(thought), block("thinking", text=thought))
-            .when(kind == "tool_use", block("tool_use", id=text(b, "$.id"), name=text(b, "$.name"), input_json=F.coalesce(F.to_json(args), F.lit("{}"))))
-            .when(kind == "tool_result", block("tool_result", tool_use_id=text(b, "$.tool_use_id"), content=F.coalesce(result, F.lit("")), is_error=F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))))
+            .when(kind == "tool_use", block("tool_use", id=text("id"), name=text("name"), input_json=F.coalesce(F.to_json(r["input"]), F.lit("{}"))))
+            .when(kind == "tool_result", block("tool_result", tool_use_id=text("tool_use_id"), content=F.coalesce(P.tool_result_text(r["content"]), F.lit("")), is_error=F.coalesce(r["is_error"], F.lit(False))))
         )
-    return F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), one), lambda b: b.isNotNull()).cast(f"array<{BLOCK}>")
+
+    return F.filter(F.transform(F.transform(F.try_variant_get(v, "$", "array<variant>"), raw), one), lambda b: b.isNotNull()).cast(f"array<{BLOCK}>")

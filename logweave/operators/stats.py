@@ -14,8 +14,12 @@ from .slicing import page_count
 FILE_TOOLS = ("Edit", "Write", "Create", "NotebookEdit")
 # Sources whose tools never count errors.
 NO_ERRORS = ("gemini", "copilot", "opencode", "kiro")
+# Sources whose tools tell the files they modify; the others report none.
+TELL_FILES = ("claude", "commandcode")
 #: Sources that attribute an error to the latest earlier call (J2); the others to the last name of an id.
 AS_OF = ("codex",)
+#: Sources whose call ids restart in every message (line): an error belongs to the last tool called earlier in its message.
+BY_MESSAGE = ("goose",)
 
 
 def role_counts(messages: DataFrame) -> DataFrame:
@@ -47,21 +51,36 @@ def attributed_errors(messages: DataFrame) -> DataFrame:
     return uses.join(errors, [*KEY, "id"]).groupBy(*KEY, "name").agg(F.sum("errors").alias("errors"))
 
 
-def attributed_errors_as_of(messages: DataFrame) -> DataFrame:
-    """Error results by the latest earlier call with their id; no join, one window."""
-    blocks = exploded(messages).where(F.col("type").isin("tool_use", "tool_result"))
-    call = F.coalesce("id", "tool_use_id")
-    last = F.last(F.when(F.col("type") == "tool_use", F.col("name")), ignorenulls=True).over(Window.partitionBy(*KEY, "call").orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1))
-    named = blocks.withColumn("call", call).withColumn("tool", last)
+def _as_of(blocks: DataFrame, *key: str) -> DataFrame:
+    """(key, name, errors): error results by the latest call before them under the same key; no join, one window."""
+    last = F.last(F.when(F.col("type") == "tool_use", F.col("name")), ignorenulls=True).over(Window.partitionBy(*KEY, *key).orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1))
+    named = blocks.withColumn("tool", last)
     return named.where((F.col("type") == "tool_result") & F.col("is_error") & F.col("tool").isNotNull()).groupBy(*KEY, F.col("tool").alias("name")).agg(F.count("*").alias("errors"))
 
 
+def _calls(messages: DataFrame) -> DataFrame:
+    """Tool blocks without their contents, with the line they stand in."""
+    blocks = messages.select(*KEY, "idx", "raw_line_index", F.posexplode(F.filter("blocks", lambda b: b["type"].isin("tool_use", "tool_result"))).alias("bpos", "b"))
+    return blocks.select(*KEY, "idx", "raw_line_index", "bpos", "b.type", "b.name", "b.is_error", F.coalesce("b.id", "b.tool_use_id").alias("call"))
+
+
+def attributed_errors_as_of(messages: DataFrame) -> DataFrame:
+    """Error results by the latest earlier call with their id."""
+    return _as_of(_calls(messages), "call")
+
+
+def attributed_errors_by_message(messages: DataFrame) -> DataFrame:
+    """J2 for ids that restart in every message: by the last tool called earlier in the same line."""
+    return _as_of(_calls(messages), "raw_line_index")
+
+
 def tool_counts(messages: DataFrame) -> DataFrame:
     """A3, one row a (session, tool): count, errors, first place. How errors are attributed depends on the source."""
     uses = exploded(messages).where("type = 'tool_use'").groupBy(*KEY, "name").agg(F.count("*").alias("count"), F.min(F.struct("idx", "bpos")).alias("first"))
     late = messages.where(F.col("source").isin(*AS_OF))
-    plain = messages.where(~F.col("source").isin(*AS_OF, *NO_ERRORS))
-    errors = attributed_errors(plain).unionByName(attributed_errors_as_of(late))
+    plain = messages.where(~F.col("source").isin(*AS_OF, *BY_MESSAGE, *NO_ERRORS))
+    inside = messages.where(F.col("source").isin(*BY_MESSAGE))
+    errors = attributed_errors(plain).unionByName(attributed_errors_as_of(late)).unionByName(attributed_errors_by_message(inside))
     return uses.join(errors, [*KEY, "name"], "left").select(*KEY, "name", "count", F.coalesce("errors", F.lit(0).cast("bigint")).alias("errors"), "first")
 
 
@@ -132,10 +151,17 @@ def match_counts(messages: DataFrame, query: str) -> DataFrame:
 
 
 def session_stats(messages: DataFrame, usage: DataFrame | None = None, durations_ms: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    """One row a session. ``durations_ms`` and ``files`` replace what the messages tell, for sources that say so."""
+    """One row a session. ``durations_ms`` and ``files`` replace what the messages tell for the sessions they hold.
+
+    Without them, files are told by file tools (claude, commandcode) and patches (codex); other sources have none.
+    """
     key = list(KEY)
-    edited = files if files is not None else files_modified(messages.where(~F.col("source").isin(*AS_OF))).unionByName(patched_files(messages.where(F.col("source").isin(*AS_OF))))
-    out = role_counts(messages).join(block_type_map(messages), key, "left").join(tool_frequency(messages), key, "left").join(edited, key, "left").join(durations_ms if durations_ms is not None else durations(messages), key, "left")
+    edited = files_modified(messages.where(F.col("source").isin(*TELL_FILES))).unionByName(patched_files(messages.where(F.col("source").isin(*AS_OF))))
+    out = role_counts(messages).join(block_type_map(messages), key, "left").join(tool_frequency(messages), key, "left").join(edited, key, "left").join(durations(messages), key, "left")
+    for given, column in ((durations_ms, "duration_ms"), (files, "files_modified")):
+        if given is not None:
+            out = out.join(given.select(*key, F.struct(column).alias("_given")), key, "left")
+            out = out.withColumn(column, F.when(F.col("_given").isNotNull(), F.col("_given")[column]).otherwise(F.col(column))).drop("_given")
     if usage is not None:
         out = out.join(token_usage(usage), key, "left")
     else:

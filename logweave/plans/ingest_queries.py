@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,8 +253,8 @@ def stream_totals(spark, sf_dir):
     base = _scratch(spark)
     m = V.conversation_messages(spark, sf_dir)
     for k in range(4):
-        m.where(F.col("idx") % 4 == k).coalesce(1).write.mode("append").parquet(f"{base}/messages")
-    job = running.stream_deltas(running.stream_messages(spark, f"{base}/messages", m.schema), f"{base}/deltas", f"{base}/checkpoint")
+        m.where(F.col("idx") % 4 == k).write.mode("append").parquet(f"{base}/messages")
+    job = running.stream_deltas(running.stream_messages(spark, f"{base}/messages", m.schema, max_files=8), f"{base}/deltas", f"{base}/checkpoint")
     job.awaitTermination()
     return running.totals_of_deltas(spark.read.parquet(f"{base}/deltas")).select("session_id", "total_messages", "n_user", "n_assistant", "n_system", "tokens")
 
@@ -268,14 +272,16 @@ def stored(got: Ingested) -> Ingested:
     return Ingested(**kept)
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the cluster's, or a temporary one of a local session."""
-    import tempfile
-    import uuid
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below the cluster's, or a temporary one of a session of one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
+        base = _local_dir()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -9,7 +9,7 @@ from ..functions import scalars as P
 from ..functions.presets import PRESETS
 from ..operators import catalog as C
 from ..operators import compare as D
-from ..operators import context, render, slicing as S, stats as A
+from ..operators import context, reading, render, slicing as S, stats as A
 from . import views as V
 
 QUERIES: dict = {}
@@ -108,6 +108,24 @@ def page_read(spark, sf_dir):
     return S.page_meta(S.costed(m), S.read_page(m, 2, BUDGET), BUDGET)
 
 
+#: The spoken messages of each session from their second on, with what the smallest preset shows of them as cost.
+SPOKEN = CONV.replace("c AS (", "c0 AS (", 1) + """, f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY idx) AS place, count(*) OVER (PARTITION BY session_id) AS places FROM c0 WHERE role IN ('user', 'assistant')),
+c AS (SELECT conv_id, session_id, idx, role, text, 4 + CAST(ceil(least(length(text), 80) / 4.0) AS BIGINT) AS cost, cost AS whole, source, ts FROM f WHERE place >= {first} AND places >= {first})"""
+
+
+@query("e3_read_search", f"WITH {trimmed(SEARCH.replace(CONV, SPOKEN.format(first=2)).replace(str(BUDGET), '60'))} SELECT session_id, idx, role, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS content FROM cut")
+def read_search(spark, sf_dir):
+    got = reading.read_sessions(V.conversation_messages(spark, sf_dir), roles="user, assistant", after=2, query=WORD, budget=60, detail="skeleton")
+    return got.messages.select("session_id", "idx", "role", "content")
+
+
+@query("e3_read_page", f"""WITH {PAGES.replace(CONV, SPOKEN.format(first=1)).replace(str(BUDGET), '60')}, tot AS (SELECT session_id, max(page) AS pages FROM pg GROUP BY session_id), chosen AS (SELECT pg.*, pages FROM pg JOIN tot USING (session_id) WHERE page = least(2, pages)),
+{trimmed('x AS (SELECT 1)')[len('x AS (SELECT 1), '):]}, t AS (SELECT session_id, source, count(*) AS n, sum(whole) AS s FROM c GROUP BY session_id, source), g AS (SELECT session_id, count(*) AS k, sum(cost) AS s, min(idx) AS a, max(idx) AS b, max(page) AS page, max(pages) AS pages FROM cut GROUP BY session_id)
+SELECT source, session_id, n AS total_messages, CAST(t.s AS BIGINT) AS total_tokens, k AS returned_messages, CAST(g.s AS BIGINT) AS returned_tokens, CAST(60 AS BIGINT) AS token_budget, a AS range_from, b AS range_to, page, pages, page > 1 AS has_more_before, page < pages AS has_more_after, CASE WHEN page > 1 THEN a - 1 END AS cursor_before, CASE WHEN page < pages THEN b + 1 END AS cursor_after FROM t JOIN g USING (session_id)""")
+def read_second_page(spark, sf_dir):
+    return reading.read_sessions(V.conversation_messages(spark, sf_dir), roles="user,assistant", page=2, budget=60, preset="minimal").meta
+
+
 @query("a10_page_count", f"WITH {CONV} SELECT session_id, CAST(greatest(1, ceil(sum(cost) / {BUDGET}.0)) AS BIGINT) AS pages FROM c GROUP BY session_id")
 def page_counts(spark, sf_dir):
     m = V.conversation_messages(spark, sf_dir)
@@ -182,6 +200,31 @@ def as_of_errors(spark, sf_dir):
     return A.attributed_errors_as_of(V.tool_messages(spark, sf_dir, "codex")).drop("source")
 
 
+@query("j2_late_results", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN event_type = 'click' THEN 'Edit' ELSE event_type END AS name, event_id % 3 AS call, event_type = 'error' AS failed FROM events),
+r AS (SELECT f.user_id, f.n, max(u.n) AS m FROM e f JOIN e u ON u.user_id = f.user_id AND u.call = f.call AND u.n <= f.n + 2 WHERE f.failed GROUP BY f.user_id, f.n)
+SELECT CAST(r.user_id AS VARCHAR) AS session_id, e.name, count(*) AS errors FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.m GROUP BY r.user_id, e.name""")
+def late_errors(spark, sf_dir):
+    """Call ids repeat every third event, and a result comes after the two calls that follow its own."""
+    return A.attributed_errors_as_of(V.tool_messages(spark, sf_dir, "codex", ids=3, late=2)).drop("source")
+
+
+@query("e4_j2_goose_tools", """WITH e AS (SELECT *, CASE WHEN event_type = 'click' THEN 'Edit' ELSE event_type END AS name FROM events) SELECT CAST(user_id AS VARCHAR) AS session_id, name, count(*) AS count, count(*) FILTER (WHERE event_type = 'error') AS errors FROM e GROUP BY user_id, name""")
+def goose_tools(spark, sf_dir):
+    """Call ids restart in every line of four calls, so each id is that of many tools."""
+    stats = A.session_stats(V.tool_messages(spark, sf_dir, "goose", line=4))
+    return stats.select("session_id", F.explode("tool_frequency").alias("t")).select("session_id", "t.name", "t.count", "t.errors")
+
+
+@query("e4_mixed_sources", """WITH d AS (SELECT user_id, nullif(epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000, 0) AS ms, coalesce(array_to_string(list_sort(list(DISTINCT CASE WHEN event_type = 'click' THEN '/f/' || json_extract_string(props, '$.k') END)), ','), '') AS files FROM events GROUP BY user_id)
+SELECT source, CAST(user_id AS VARCHAR) AS session_id, coalesce(CASE WHEN source = 'codex' THEN CASE WHEN user_id % 2 = 0 THEN user_id END ELSE ms END, -1) AS duration_ms, CASE source WHEN 'claude' THEN files WHEN 'codex' THEN 'p.py,a.py' ELSE '' END AS files FROM d, (VALUES ('claude'), ('codex'), ('kiro')) v(source)""")
+def mixed_stats(spark, sf_dir):
+    """One source tells durations and files itself; the others' are told by their messages, or none."""
+    m = V.tool_messages(spark, sf_dir).unionByName(V.tool_messages(spark, sf_dir, "codex")).unionByName(V.tool_messages(spark, sf_dir, "kiro"))
+    own = V.table(spark, sf_dir, "events").select(F.lit("codex").alias("source"), F.col("user_id").cast("string").alias("session_id"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("duration_ms")).distinct()
+    files = own.select("source", "session_id", F.array(F.lit("p.py"), F.lit("a.py")).alias("files_modified"))
+    return A.session_stats(m, None, own, files).select("source", "session_id", F.coalesce("duration_ms", F.lit(-1).cast("bigint")).alias("duration_ms"), F.array_join("files_modified", ",").alias("files"))
+
+
 @query("a4_corpus_tools", f"WITH {LAST_NAME} SELECT cnt.name, CAST(sum(cnt.k) AS BIGINT) AS count, CAST(sum(coalesce(errors, 0)) AS BIGINT) AS errors, count(*) AS sessions FROM cnt LEFT JOIN err ON err.session_id = cnt.session_id AND err.name = cnt.name GROUP BY cnt.name")
 def corpus_tools(spark, sf_dir):
     return A.corpus_tool_frequency(V.tool_messages(spark, sf_dir))

@@ -28,8 +28,11 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(source_of(F.col("conv_id")).alias("source"), F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("/t/"), F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("file_path"), (F.col("turn") + 1).cast("int").alias("idx"), "role", ts.alias("ts"), F.col("text").alias("content"), F.array(X.block("text", text=F.col("text"))).cast(BLOCKS).alias("blocks"), F.col("turn").cast("int").alias("raw_line_index"))
 
 
-def tool_messages(spark: SparkSession, sf_dir: str, source: str = "claude") -> DataFrame:
-    """A tool call and its result an event: session = user, name = event type, ids repeat (event_id % 40), error events fail.
+def tool_messages(spark: SparkSession, sf_dir: str, source: str = "claude", ids: int = 40, late: int = 0, line: int = 1) -> DataFrame:
+    """A tool call and its result an event: session = user, name = event type, ids repeat (event_id % ids), error events fail.
+
+    A result comes after the ``late`` calls that follow its own. With ``line`` above 1 so many events share a raw line, and
+    their ids are their places in it.
 
     Clicks are Edit calls, whose file is ``/f/`` and the number of their props.
     """
@@ -38,13 +41,14 @@ def tool_messages(spark: SparkSession, sf_dir: str, source: str = "claude") -> D
     name = F.when(F.col("event_type") == "click", "Edit").otherwise(F.col("event_type"))
     k = F.get_json_object("props", "$.k")
     args = F.to_json(F.struct(F.concat(F.lit("/f/"), k).alias("file_path"), F.col("props").alias("q")))
-    id_ = F.concat(F.lit("c"), F.pmod(F.col("event_id"), F.lit(40)).cast("string"))
+    id_ = F.concat(F.lit("c"), F.pmod(F.col("event_id") if line == 1 else F.col("n") - 1, F.lit(ids if line == 1 else line)).cast("string"))
     failed = F.col("event_type") == "error"
     use = F.struct(F.lit("tool_use").alias("role"), F.concat(F.lit("Tool: "), name).alias("content"), F.array(X.block("tool_use", id=id_, name=name, input_json=args)).cast(BLOCKS).alias("blocks"))
     output = F.concat(F.lit("done "), F.repeat(F.col("props"), (F.pmod(F.col("event_id"), F.lit(20)) + 1).cast("int")))
     result = F.struct(F.lit("tool_result").alias("role"), output.alias("content"), F.array(X.block("tool_result", tool_use_id=id_, content=output, is_error=failed)).cast(BLOCKS).alias("blocks"))
     rows = e.withColumn("n", n).select(F.lit(source).alias("source"), F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("file_path"), "n", "ts", F.posexplode(F.array(use, result)).alias("s", "m"))
-    return rows.select("source", "session_id", "file_path", (2 * F.col("n") - 1 + F.col("s")).cast("int").alias("idx"), "m.role", "ts", "m.content", "m.blocks", F.col("n").cast("int").alias("raw_line_index"))
+    idx = (2 * F.col("n") - 1 + F.col("s")) if not late else F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("n") + F.col("s") * late, "s"))
+    return rows.select("source", "session_id", "file_path", idx.cast("int").alias("idx"), "m.role", "ts", "m.content", "m.blocks", F.ceil(F.col("n") / line).cast("int").alias("raw_line_index"))
 
 
 def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,12 +50,13 @@ def ingest_claude(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
     skip = F.coalesce(kind.isin(*SKIPPED), F.lit(False)) | (flag("$.isMeta") & (empty | (P.is_string(content) & P.is_system_injected(F.coalesce(text, F.lit("")))))) | flag("$.isCompactSummary")
     said = F.when(
         kind == "assistant",
-        F.when(P.is_string(content), F.when(text != "", F.array(X.text_message("assistant", text))).otherwise(X.none())).otherwise(X.assistant_messages(X.parse_blocks(content), thinking_content=True)),
+        F.when(P.is_string(content), F.when(text != "", F.array(X.text_message("assistant", text))).otherwise(X.none())).otherwise(X.assistant_messages(F.col("blocks"), thinking_content=True)),
     ).when(
         kind == "user",
-        F.when(P.is_string(content), F.when(~P.is_blank(text), F.array(X.text_message("user", text))).otherwise(X.none())).otherwise(X.user_messages(X.parse_blocks(content, keep_injected=False))),
+        F.when(P.is_string(content), F.when(~P.is_blank(text), F.array(X.text_message("user", text))).otherwise(X.none())).otherwise(X.user_messages(F.col("blocks"))),
     )
-    shown = rows.where(~skip).select(F.lit("claude").alias("source"), "session_id", "file_path", F.col("raw_index").alias("raw_line_index"), ts.alias("ts"), F.coalesce(said, X.none()).alias("messages"))
+    blocks = F.when(kind == "assistant", X.parse_blocks(content)).when(kind == "user", X.parse_blocks(content, keep_injected=False))
+    shown = R.once(rows.where(~skip), blocks=blocks).select(F.lit("claude").alias("source"), "session_id", "file_path", F.col("raw_index").alias("raw_line_index"), ts.alias("ts"), F.coalesce(said, X.none()).alias("messages"))
     sessions = head.join(facts, "file_path", "left") if facts is not None else head
     return Ingested(X.explode_messages(shown), session_table(sessions.withColumn("source", F.lit("claude"))), _usage(rows, "claude", kind == "assistant"))
 

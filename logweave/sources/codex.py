@@ -46,11 +46,11 @@ def ingest_codex(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
     head = head.withColumn("session_id", F.coalesce("sid", P.file_id("file_path"))).withColumn("cwd", F.coalesce("cwd", F.lit(""))).withColumn("source", F.lit("codex"))
     rows = rows.join(head.select("file_path", "session_id"), "file_path")
 
-    text, said = joined_texts("$.payload.content", "output_text"), joined_texts("$.payload.content", "input_text")
+    rows = R.once(rows, text=joined_texts("$.payload.content", "output_text"), said=joined_texts("$.payload.content", "input_text"), summary=joined_texts("$.payload.summary", None))
+    text, said, summary = F.col("text"), F.col("said"), F.col("summary")
     ptype, prole = F.col("ptype"), F.coalesce("prole", F.lit(""))
     one = lambda good, m: F.when(good, F.array(m)).otherwise(X.none())
     spoken = F.when(prole == "user", one((said != "") & ~P.is_bootstrap(said), X.text_message("user", said))).when(prole == "system", one(text != "", X.text_message("system", text))).otherwise(one(text != "", X.text_message("assistant", text)))
-    summary = joined_texts("$.payload.summary", None)
     thought = one(summary != "", X.message("assistant", summary, F.array(X.block("thinking", text=summary))))
     fallback = F.concat(F.lit("call_"), F.col("raw_index").cast("string"))
     call_id = F.coalesce(P.truthy(P.text_at("v", "$.payload.call_id")), P.truthy(P.text_at("v", "$.payload.id")), fallback)

@@ -138,16 +138,6 @@ def ingest_goose_tables(messages: DataFrame, sessions: DataFrame, default_model:
     return Ingested(out, session_table(base), usage_table(usage), None, _no_files(base))
 
 
-def goose_errors(messages: DataFrame) -> DataFrame:
-    """J2 for goose: an error belongs to the last tool called earlier in the same message; ids repeat in every message, so the line is part of the key."""
-    from ..operators.stats import exploded
-
-    lines = messages.select("source", "session_id", "idx", "raw_line_index")
-    blocks = exploded(messages).where(F.col("type").isin("tool_use", "tool_result")).join(lines, ["source", "session_id", "idx"])
-    last = F.last(F.when(F.col("type") == "tool_use", F.col("name")), ignorenulls=True).over(Window.partitionBy("source", "session_id", "raw_line_index").orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1))
-    return blocks.withColumn("tool", last).where((F.col("type") == "tool_result") & F.col("is_error") & F.col("tool").isNotNull()).groupBy("source", "session_id", F.col("tool").alias("name")).agg(F.count("*").alias("errors"))
-
-
 def index_goose(lines: DataFrame, facts: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Rows of the sessions table first; files whose id it lacks follow."""
     rows = R.parsed(R.head(lines, "goose"))

@@ -64,6 +64,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("raw_index", F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns, each computed once: the optimiser does not merge them into what names them later."""
+    made = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_made")
+    return rows.select("*", made).select("*", "_made.*").drop("_made")
+
+
 def first_of(value: Column, order: str | Column = "line_no") -> Column:
     """The first non-null value by order."""
     order = F.col(order) if isinstance(order, str) else order

@@ -103,7 +103,7 @@ def test_goose_numbers_calls_within_a_message(spark):
     assert told(m) == [(1, "assistant", "a"), (2, "tool_use", "Tool: x"), (3, "tool_result", "bad"), (4, "tool_use", "Tool: y"), (5, "assistant", "b"), (6, "user", "plain")]
     ids = [(b["id"], b["tool_use_id"]) for r in m.orderBy("idx").collect() for b in r["blocks"] if b["type"].startswith("tool")]
     assert ids == [("goose_call_0", None), (None, "goose_call_0"), ("goose_call_1", None)]
-    assert [(r["name"], r["errors"]) for r in events.goose_errors(m).collect()] == [("x", 1)]
+    assert [(r["name"], r["errors"]) for r in A.attributed_errors_by_message(m).collect()] == [("x", 1)]
 
 
 def test_gemini_calls_and_errors(spark):
