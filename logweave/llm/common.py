@@ -84,6 +84,18 @@ def release(paths: set[str], docs: DataFrame) -> None:
             _delete(docs.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return the memory that a task has freed to the machine: Python workers go on to other tasks and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

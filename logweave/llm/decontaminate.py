@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 
 WINDOW = 10
 #: Bytes of benchmark words that one broadcast block holds at most.
@@ -220,6 +220,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 if len(hits):
                     at = pa.array(hits["doc"].to_numpy())
                     yield pa.RecordBatch.from_pydict({"doc_id": ids.take(at), "n_words": pa.array(counts[hits["doc"]], pa.int64()), "item_id": pa.array([None if (x := held.value.ids[i]) is None else str(x) for i in hits["item"]], pa.string()), **{c: pa.array(hits[c].to_numpy(), pa.int64()) for c in ("place", "item_place", "length")}})
+            give_back()
 
         part = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, MATCHES), "matches")
         out = part if out is None else out.unionByName(part)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
 from .textbatch import chunks, gram_slots, letters
 
 #: Rows of each language that training reads at most, in expectation (chosen by a hash of the id).
@@ -128,5 +129,6 @@ def identify(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred",
         for batch in batches:
             names, scores = held.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang_col, score_col])
+        give_back()
 
     return docs.select(*keep).mapInArrow(score, schema)

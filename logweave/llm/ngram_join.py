@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_groups, tasks, written
+from .common import discard, give_back, join_groups, tasks, written
 from .components import components
 
 NGRAM, PERCENT = 4, 85
@@ -181,6 +181,7 @@ def screen_chunks(docs: DataFrame, n: int, percent: int, parts: int) -> DataFram
                 yield from _chunk_rows(f"{name}-{k}", batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), [s[:p].copy() for s, p in zip(sets, keep)], signs, size, parts)
 
         yield from _emit(rows())
+        give_back()
 
     return marked_texts(docs).mapInArrow(split, CHUNKS)
 
@@ -259,6 +260,7 @@ def full_chunks(sets: DataFrame, parts: int) -> DataFrame:
                     yield row
 
         yield from _emit(rows())
+        give_back()
 
     return sets.mapInArrow(split, CHUNKS)
 
@@ -331,6 +333,8 @@ def _solve_blocks(percent: int):
         for a, b in zip(cut[:-1], cut[1:]):
             out += block_links(ids[a:b], groups[a:b], home[a:b], sets[a:b], percent)
         out = sorted(set(out))
+        del sets
+        give_back()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return solve
@@ -473,6 +477,7 @@ def jaccard_components(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT)
         for whole in batches:
             for batch in _parts(whole, "text"):
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array([token_set(t, n).view(np.int64) for t in _texts(batch)], pa.list_(pa.int64()))})
+        give_back()
 
     # the wanted ids grow with the data: never broadcast
     picked = marked_texts(docs).join(wanted.hint("merge"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])

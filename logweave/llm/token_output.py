@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import give_back, scratch, written
 from .textbatch import chunks
 
 SEQUENCE = 2048
@@ -43,7 +43,7 @@ KEPT_BYTES, ENTRY_BYTES = 170_000_000, 110
 #: Longer chunks are seldom seen again and are never kept.
 KEPT_CHUNK = 64
 #: Characters that are cut into chunks at once, and those given to the library at once.
-BATCH_CHARS, LIBRARY_CHARS = 1_000_000, 200_000
+BATCH_CHARS, LIBRARY_CHARS = 500_000, 200_000
 #: A chunk of more characters is cut where the pre-tokeniser splits in any case.
 CUT_CHARS = 16_384
 MANIFEST = "shard int, path string, doc_id long, first long, n_tokens long"
@@ -75,7 +75,7 @@ class ChunkEncoder:
     200 bytes a character for it.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -89,7 +89,7 @@ class ChunkEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.kept: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.bytes = 0
+        self.bytes, self.kept_bytes = 0, kept_bytes
 
     @staticmethod
     def chunks(text: str) -> list[bytes]:
@@ -155,7 +155,7 @@ class ChunkEncoder:
         """Ids of each of the texts; give it about BATCH_CHARS characters at once."""
         if not self.chunked:
             return list(self.encode(self.tokenizer, texts))
-        if 2 * self.bytes > KEPT_BYTES:
+        if 2 * self.bytes > self.kept_bytes:
             self.old, self.kept, self.bytes = self.kept, {}, 0
         split = [self.chunks(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(self.kept)
@@ -168,14 +168,15 @@ class ChunkEncoder:
         return [b"".join([rare[c] if c in rare else self.kept[c] for c in parts]) for parts in split]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(tokenizer_path: str) -> ChunkEncoder:
+def encoder(tokenizer_path: str, kept_bytes: int) -> ChunkEncoder:
     """One encoder a worker process: its kept chunks serve all its tasks."""
-    if tokenizer_path not in _ENCODERS:
-        _ENCODERS[tokenizer_path] = ChunkEncoder(tokenizer_path)
-    return _ENCODERS[tokenizer_path]
+    key = (tokenizer_path, kept_bytes)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(*key)
+    return _ENCODERS[key]
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -195,11 +196,11 @@ def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa
             total += n or 0
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str | None = None, length: int = SEQUENCE) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str | None = None, length: int = SEQUENCE, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """Encode and write the documents; returns the written table (shard, path, doc_id, first, n_tokens).
 
     ``first`` is the document's first id within its shard. Documents are dealt by ranges of doc_id, so
-    shards are in ascending order too.
+    shards are in ascending order too. ``kept_bytes`` bounds the table of chunks that a worker keeps: less memory, more work.
     """
     out_dir = out_dir or scratch(docs.sparkSession, "tokens")
 
@@ -208,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str
 
         context = TaskContext.get()
         shard = context.partitionId()
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path, kept_bytes)
         end = np.array([end_id], dtype=encode.kind).tobytes()
         store, root = _store(out_dir)
         store.create_dir(root, recursive=True)
@@ -246,6 +247,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir: str
             writer.close()
             sink.close()
             store.move(mine, path)
+        give_back()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(shards, MANIFEST), "token-documents")
