@@ -19,6 +19,9 @@ from logweave.llm.common import discard, live, release, table, written
 from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 
 
+#: Bytes of chunks that a worker keeps in the last stage: less than in the query alone, as workers carry other stages too.
+KEPT_BYTES = 40_000_000
+
 #: Scratch of the stage before.
 _LEFT: set[str] = set()
 
@@ -91,7 +94,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     release(_LEFT, docs)
     _LEFT.clear()
-    return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID))
+    return token_output.read_back(token_output.write_shards(docs, vocabulary(), END_ID, kept_bytes=KEPT_BYTES))
 
 
 STAGES = [
