@@ -42,6 +42,13 @@ def block_type_map(messages: DataFrame) -> DataFrame:
     return block_types(messages).groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("by_block_type"))
 
 
+def block_frequency(messages: DataFrame) -> DataFrame:
+    """Block types by count, then first appearance."""
+    counts = exploded(messages).groupBy(*KEY, "type").agg(F.count("*").alias("n"), F.min(F.struct("idx", "bpos")).alias("first"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "first", "type", "n")))
+    return counts.groupBy(*KEY).agg(ordered.alias("t")).select(*KEY, F.transform("t", lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("block_frequency"))
+
+
 def attributed_errors(messages: DataFrame) -> DataFrame:
     """(key, name, errors): error results by the last tool that used their id within the session. Empty ids are left out."""
     blocks = exploded(messages)
