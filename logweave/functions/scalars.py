@@ -12,7 +12,6 @@ from .presets import Preset
 
 #: White space as the sources trim it: ASCII and Unicode.
 WS_CHARS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-WS = r"\s\u000B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Prefixes of injected and bootstrap texts.
 INJECTED = ("<environment_context>", "<system-reminder>", "<permissions", "<context_window", "<user_instructions>")
@@ -45,7 +44,8 @@ def is_blank(c: str | Column) -> Column:
 
 
 def collapse(c: str | Column) -> Column:
-    return F.trim(F.regexp_replace(col(c), f"[{WS}]+", " "))
+    """Runs of white space as one space; a pattern that looks at single spaces only is many times faster than the class."""
+    return F.trim(F.regexp_replace(F.translate(col(c), WS_CHARS, " " * len(WS_CHARS)), "  +", " "))
 
 
 def let(value: Column, f) -> Column:

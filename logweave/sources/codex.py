@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
@@ -34,17 +34,16 @@ def raw_usage(path: str) -> Column:
 def ingest_codex(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
     """I2."""
     kept = R.numbered(R.parsed(lines))
-    file = Window.partitionBy("file_path")
     time = P.timestamp_text(P.text_at("v", "$.timestamp"))
     kind, ptype, prole = P.text_at("v", "$.type"), P.text_at("v", "$.payload.type"), P.text_at("v", "$.payload.role")
     rows = kept.withColumns({"kind": kind, "ptype": ptype, "prole": prole, "own_ts": time})
-    rows = rows.withColumns({"has_items": F.max(F.coalesce(F.col("kind") == "response_item", F.lit(False))).over(file), "ts": F.coalesce("own_ts", F.max("own_ts").over(file))})
     meta, counts = F.col("kind") == "session_meta", (F.col("kind") == "event_msg") & (F.col("ptype") == "token_count")
     last = lambda path: R.last_of(F.when(meta, P.truthy(P.text_at("v", path))))
     model = F.when(F.col("kind") == "turn_context", P.model_of("v", "$.payload")).when(counts, F.coalesce(P.model_of("v", "$.payload.info"), P.model_of("v", "$.payload")))
-    head = rows.groupBy("file_path").agg(last("$.payload.id").alias("sid"), last("$.payload.cwd").alias("cwd"), last("$.payload.git.branch").alias("git_branch"), last("$.payload.git.repository_url").alias("git_repo"), R.last_of(model).alias("model"), F.min("own_ts").alias("created_at"), F.max("own_ts").alias("updated_at"))
+    head = rows.groupBy("file_path").agg(last("$.payload.id").alias("sid"), last("$.payload.cwd").alias("cwd"), last("$.payload.git.branch").alias("git_branch"), last("$.payload.git.repository_url").alias("git_repo"), R.last_of(model).alias("model"), F.min("own_ts").alias("created_at"), F.max("own_ts").alias("updated_at"), F.max(F.coalesce(F.col("kind") == "response_item", F.lit(False))).alias("has_items"))
     head = head.withColumn("session_id", F.coalesce("sid", P.file_id("file_path"))).withColumn("cwd", F.coalesce("cwd", F.lit(""))).withColumn("source", F.lit("codex"))
-    rows = rows.join(head.select("file_path", "session_id"), "file_path")
+    # facts of a file come back by a join of one narrow row a file, so no window carries the lines
+    rows = rows.join(head.select("file_path", "session_id", "has_items", "updated_at"), "file_path").withColumn("ts", F.coalesce("own_ts", "updated_at"))
 
     rows = R.once(rows, text=joined_texts("$.payload.content", "output_text"), said=joined_texts("$.payload.content", "input_text"), summary=joined_texts("$.payload.summary", None))
     text, said, summary = F.col("text"), F.col("said"), F.col("summary")
