@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, token_output, toxicity
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, secret_scan, token_alignment, token_output, toxicity, url_filter, whitening
 from .common import id_crc, table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 END_ID = 1
@@ -88,6 +88,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages whose id is labelled: block if toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    verdict = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "block").when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), "allow")
+    return table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id").select("url", verdict.alias("verdict"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.mine(page_labels(spark, sf_dir)), url_filter.RULES)
+
+
 SQL6 = r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -121,7 +140,7 @@ FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_ngram_join, op5_toxicity, op6_decontaminate, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_token_output, op4_ngram_join, op5_toxicity, op6_decontaminate, op7_exact_dedup, op8_secret_scan, op9_language_id, op10_mixing, op11_token_alignment, op12_whitening, op13_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
