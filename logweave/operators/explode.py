@@ -6,11 +6,12 @@ count of the blocks that flush pending text; inside a group the rules say what c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
 from ..functions.schemas import BLOCK, BLOCKS, KEY
+from .ranks import running
 
 MESSAGE = f"struct<role:string,content:string,blocks:{BLOCKS}>"
 
@@ -94,9 +95,14 @@ def flushed_messages(blocks: Column, role: Column) -> Column:
 
 def explode_messages(rows: DataFrame, messages: str = "messages") -> DataFrame:
     """Rows of (source, session_id, file_path, raw_line_index, ts) and an array of messages -> the messages table, indexed."""
-    flat = rows.select("source", "session_id", "file_path", "raw_line_index", "ts", F.posexplode(messages).alias("sub", "m"))
-    order = Window.partitionBy(*KEY).orderBy("raw_line_index", "sub")
-    return flat.select("source", "session_id", "file_path", F.row_number().over(order).alias("idx"), F.col("m.role").alias("role"), "ts", F.col("m.content").alias("content"), F.col("m.blocks").alias("blocks"), F.col("raw_line_index").cast("int").alias("raw_line_index"))
+    placed = running(rows.select("source", "session_id", "file_path", "raw_line_index", "ts", F.col(messages).alias("messages")), list(KEY), "raw_line_index", {"first": F.size("messages")}, ["file_path"])
+    return posed_messages(placed)
+
+
+def posed_messages(rows: DataFrame) -> DataFrame:
+    """X4 of rows that know how many messages of the session stand before them (``first``)."""
+    flat = rows.select("source", "session_id", "file_path", "raw_line_index", "ts", "first", F.posexplode("messages").alias("sub", "m"))
+    return flat.select("source", "session_id", "file_path", (F.col("first") + F.col("sub") + 1).cast("int").alias("idx"), F.col("m.role").alias("role"), "ts", F.col("m.content").alias("content"), F.col("m.blocks").alias("blocks"), F.col("raw_line_index").cast("int").alias("raw_line_index"))
 
 
 def parse_blocks(v: Column, keep_injected: bool = True) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats as A
-from ..sources import claude, codex, documents, events, registry, writers
+from ..scratch import new_path
+from ..sources import claude, codex, documents, events, heads, readers, registry, writers
+from ..sources.lines import read_lines
 from ..sources.ingest import Ingested
 from ..streaming import running
 from . import views as V
@@ -272,16 +270,46 @@ def stored(got: Ingested) -> Ingested:
     return Ingested(**kept)
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
+def _scratch(spark: SparkSession) -> str:
+    return new_path(spark, "stream")
+
 
+def _files(lines: DataFrame) -> str:
+    """The lines as files by their own names, below a new folder."""
+    at = _scratch(lines.sparkSession)
+    writers.write_files(lines, at).write.format("noop").mode("overwrite").save()
+    return at
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below the cluster's, or a temporary one of a session of one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_dir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+ONE_LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+
+
+@query("s1_s3_split_lines", f"""WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no, role || ' ' || {ONE_LINE} AS value, count(*) OVER (PARTITION BY conv_id) AS raw_line_count, sum(strlen(role || ' ' || {ONE_LINE}) + 1 + conv_id % 2) OVER (PARTITION BY conv_id) AS file_bytes FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, line_no, md5(value) AS value_md5, raw_line_count, CAST(file_bytes AS BIGINT) AS file_bytes FROM l""")
+def split_lines(spark, sf_dir):
+    """Text files of conversations, those of odd ones with CR LF, read in blocks."""
+    c = _conv(spark, sf_dir)
+    value = F.concat("role", F.lit(" "), F.regexp_replace("text", "[\r\n]+", " "), F.when(F.col("conv_id") % 2 == 1, "\r").otherwise(""))
+    lines = c.select(F.concat(F.lit("logs/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("turn").alias("line_no"), value.alias("value"))
+    got = read_lines(spark, _files(lines), "claude")
+    return got.lines.join(got.facts, "file_path").select(readers.base_name().alias("session_id"), "line_no", F.md5(F.col("value").cast("binary")).alias("value_md5"), "raw_line_count", "file_bytes")
+
+
+@query("s4_s5_i12_claude_heads", QUERIES["i12_index_claude"][1])
+def claude_heads(spark, sf_dir):
+    """Claude's lines as files among others, of which only the heads are read."""
+    at = _files(claude_lines(spark, sf_dir))
+    read = heads.read_heads(spark, {"claude": f"{at}/x", "codex": f"{at}/none"}).where("source = 'claude'")
+    return claude.index_claude(read, heads.facts_of(read)).select("id", "cwd", "summary")
+
+
+@query("s2_s3_s4_gemini_files", """SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars, 1 AS raw_line_count FROM (SELECT conv_id, CASE WHEN role = 'system' THEN '[info] ' || text ELSE text END AS text FROM conversations) GROUP BY conv_id""")
+def gemini_files(spark, sf_dir):
+    """Gemini's documents as files, with one beside them whose name is none of gemini's."""
+    docs = gemini_docs(spark, sf_dir).select("file_path", F.lit(0).alias("line_no"), F.to_json("v").alias("value"))
+    other = docs.limit(1).select(F.lit("/g/tmp/proj/chats/notes.json").alias("file_path"), "line_no", "value")
+    files = readers.read_files(spark, _files(docs.unionByName(other)), "gemini")
+    lines = readers.lines_of(files)
+    got = documents.ingest_gemini(readers.documents(files), readers.facts_of(lines, files))
+    told = got.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.char_length("content")).alias("chars"))
+    return told.join(got.sessions.where("file_bytes > 0 and mtime is not null").select("session_id", "raw_line_count"), "session_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
+from ..functions.schemas import KEY
 from ..operators import explode as X
+from ..operators.ranks import running
 from . import readers as R
 from .ingest import Ingested, index_table, session_table, usage_table
 
@@ -15,35 +17,37 @@ SKIPPED = ("system", "queue-operation", "file-history-snapshot", "progress", "la
 
 
 def last_per_uuid(rows: DataFrame) -> DataFrame:
-    """A message that was written again counts by its last line, at that line's place; lines without an id all stay."""
-    key = F.coalesce(P.truthy(P.text_at("v", "$.uuid")), F.concat(F.lit("#"), F.col("line_no").cast("string")))
-    last = Window.partitionBy("file_path", "_uuid").orderBy(F.desc("line_no"))
-    return rows.withColumn("_uuid", key).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_uuid")
+    """A message that was written again counts by its last line, at that line's place; lines without an id all stay.
+
+    ``rows`` are narrow: the parsed lines themselves are joined to what stays.
+    """
+    key = F.coalesce(P.truthy("uuid"), F.concat(F.lit("#"), F.col("line_no").cast("string")))
+    others = [c for c in rows.columns if c not in ("file_path", "uuid")]
+    last = rows.withColumn("uuid", key).groupBy("file_path", "uuid").agg(F.max(F.struct("line_no", *[c for c in others if c != "line_no"])).alias("last"))
+    return last.select("file_path", *[F.col(f"last.{c}").alias(c) for c in others])
 
 
 def flag(path: str) -> Column:
     return F.coalesce(F.try_variant_get("v", path, "boolean"), F.lit(False))
 
 
-def _usage(rows: DataFrame, source: str, assistant: Column) -> DataFrame:
-    at = lambda k: F.coalesce(P.long_at("v", f"$.message.usage.{k}"), F.lit(0))
-    return usage_table(
-        rows.where(assistant & F.try_variant_get("v", "$.message.usage", "variant").isNotNull()).select(
-            F.lit(source).alias("source"), "session_id", "line_no", at("input_tokens").alias("input"), at("output_tokens").alias("output"), at("cache_read_input_tokens").alias("cache_read"), at("cache_creation_input_tokens").alias("cache_creation")
-        )
-    )
+def _counters(assistant: Column) -> Column:
+    """The usage of an assistant's line; null without one."""
+    at = lambda k: F.coalesce(P.long_at("v", f"$.message.usage.{k}"), F.lit(0)).cast("bigint")
+    told = F.struct(at("input_tokens").alias("input"), at("output_tokens").alias("output"), at("cache_read_input_tokens").alias("cache_read"), at("cache_creation_input_tokens").alias("cache_creation"))
+    return F.when(assistant & F.try_variant_get("v", "$.message.usage", "variant").isNotNull(), told)
+
+
+def _usage(rows: DataFrame, source: str) -> DataFrame:
+    return usage_table(rows.where("usage is not null").select(F.lit(source).alias("source"), "session_id", "line_no", "usage.*"))
 
 
 def ingest_claude(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
-    """I1."""
-    kept = R.numbered(last_per_uuid(R.parsed(lines)))
-    ts = P.timestamp_text(P.text_at("v", "$.timestamp"))
-    at = lambda path: R.first_of(P.truthy(P.text_at("v", path)))
-    model = F.coalesce(P.truthy(P.text_at("v", "$.model")), P.truthy(P.text_at("v", "$.message.model")))
-    head = kept.groupBy("file_path").agg(at("$.sessionId").alias("sid"), at("$.cwd").alias("cwd"), at("$.gitBranch").alias("git_branch"), R.first_of(model).alias("model"), F.min(ts).alias("created_at"), F.max(ts).alias("updated_at"))
-    head = head.withColumn("session_id", F.coalesce("sid", R.base_name())).withColumn("cwd", F.coalesce("cwd", R.parent()))
-    rows = kept.join(head.select("file_path", "session_id"), "file_path")
+    """I1.
 
+    Which line of an id counts, its place and the place of its first message are found on narrow rows (numbers, ids and
+    head fields); the parsed lines are joined to them by file and line, and no window or sort of a whole file carries them.
+    """
     kind, content = P.text_at("v", "$.type"), F.try_variant_get("v", "$.message.content", "variant")
     text = P.text_at("v", "$.message.content")
     empty = content.isNull() | F.is_variant_null(content) | F.coalesce(text == "", F.lit(False))
@@ -55,10 +59,24 @@ def ingest_claude(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
         kind == "user",
         F.when(P.is_string(content), F.when(~P.is_blank(text), F.array(X.text_message("user", text))).otherwise(X.none())).otherwise(X.user_messages(F.col("blocks"))),
     )
-    blocks = F.when(kind == "assistant", X.parse_blocks(content)).when(kind == "user", X.parse_blocks(content, keep_injected=False))
-    shown = R.once(rows.where(~skip), blocks=blocks).select(F.lit("claude").alias("source"), "session_id", "file_path", F.col("raw_index").alias("raw_line_index"), ts.alias("ts"), F.coalesce(said, X.none()).alias("messages"))
+    blocks = F.when(skip, None).when(kind == "assistant", X.parse_blocks(content)).when(kind == "user", X.parse_blocks(content, keep_injected=False))
+    whole = R.once(R.parsed(lines), blocks=blocks).withColumn("messages", F.when(skip, X.none()).otherwise(F.coalesce(said, X.none())))
+
+    at = lambda path: P.truthy(P.text_at("v", path))
+    model = F.coalesce(at("$.model"), at("$.message.model"))
+    ts = P.timestamp_text(P.text_at("v", "$.timestamp"))
+    narrow = whole.select("file_path", "line_no", P.text_at("v", "$.uuid").alias("uuid"), F.size("messages").alias("n"), at("$.sessionId").alias("sid"), at("$.cwd").alias("cwd"), at("$.gitBranch").alias("git_branch"), model.alias("model"), ts.alias("ts"), _counters(kind == "assistant").alias("usage"))
+    kept = last_per_uuid(narrow)
+    first = lambda c: R.first_of(F.col(c)).alias(c)
+    head = kept.groupBy("file_path").agg(first("sid"), first("cwd"), first("git_branch"), first("model"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
+    head = head.withColumn("session_id", F.coalesce("sid", R.base_name())).withColumn("cwd", F.coalesce("cwd", R.parent()))
+    placed = running(kept.select("file_path", "line_no", "n", "ts"), ["file_path"], "line_no", {"raw_line_index": F.lit(1)})
+    placed = placed.join(head.select("file_path", F.lit("claude").alias("source"), "session_id"), "file_path").where("n > 0")
+    placed = running(placed, list(KEY), "raw_line_index", {"first": F.col("n")}, ["file_path"])
+    shown = whole.select("file_path", "line_no", "messages").where(F.size("messages") > 0).join(placed, ["file_path", "line_no"])
+    usage = kept.where("usage is not null").join(head.select("file_path", "session_id"), "file_path")
     sessions = head.join(facts, "file_path", "left") if facts is not None else head
-    return Ingested(X.explode_messages(shown), session_table(sessions.withColumn("source", F.lit("claude"))), _usage(rows, "claude", kind == "assistant"))
+    return Ingested(X.posed_messages(shown), session_table(sessions.withColumn("source", F.lit("claude"))), _usage(usage, "claude"))
 
 
 def ingest_commandcode(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
@@ -76,7 +94,7 @@ def ingest_commandcode(lines: DataFrame, facts: DataFrame | None = None) -> Inge
     folder = F.concat(F.lit("/"), P.decode_path(R.last_name(R.parent())))
     sessions = head.withColumn("cwd", F.coalesce("cwd", folder)).join(times, "file_path", "left").withColumn("source", F.lit("commandcode"))
     sessions = sessions.join(facts, "file_path", "left") if facts is not None else sessions
-    return Ingested(messages, session_table(sessions), _usage(kept, "commandcode", role == "assistant"))
+    return Ingested(messages, session_table(sessions), _usage(kept.withColumn("usage", _counters(role == "assistant")), "commandcode"))
 
 
 def first_prompt(content: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+
 #: Lines that a head scan looks at, by source.
 HEAD_LINES = {"claude": 30, "commandcode": 30, "goose": 30, "codex": 50}
 
@@ -60,8 +62,9 @@ def head(lines: DataFrame, source: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``raw_index``: place among the given lines of the file, from 0."""
-    return rows.withColumn("raw_index", F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1)
+    """``raw_index``: place among the given lines of the file, from 0; only the lines' numbers are ranked, and joined back."""
+    places = running(rows.select("file_path", "line_no"), ["file_path"], "line_no", {"raw_index": F.lit(1)})
+    return rows.join(places, ["file_path", "line_no"])
 
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
