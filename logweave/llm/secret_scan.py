@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -31,88 +32,185 @@ BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+#: Where a key name stands, in lower case: texts without any hold no assignment.
+NAMES = ("passw", "secret", "token", "api")
 #: A signed token: header and payload start with the base64 of '{"'.
-JWT = re.compile(r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nr]))eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-#: Base64 of DER starts with 'M' (a SEQUENCE tag) and of an OpenSSH key with 'b3BlbnNzaC1rZXkt'; an escaped line break
-#: may stand before it.
-BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr])|(?<=-----))(?:M|b3BlbnNzaC1rZXkt)(?=[A-Za-z0-9+/]{38})")
-#: What may part the lines of an armoured key: a length in the key tells where it ends (GAP), or nothing does (LINE_GAP).
-GAP = re.compile(r"(?:[\x20\t\r\n]|\\[nr])+")
-LINE_GAP = re.compile(r"(?:[\r\n]|\\[nr])(?:[\x20\t\r\n]|\\[nr])*")
-RUN = re.compile(r"[A-Za-z0-9+/]+")
-HEX_BLOB = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=\\[nr]))(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD])[0-9A-Fa-f]{60,}(?![0-9A-Za-z])")
-
-#: First bytes of an OpenSSH private key block, and how many keys one may hold.
-SSH_MAGIC, MAX_SSH_KEYS = b"openssh-key-v1\x00", 16
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+#: Base64 of DER starts with 'M' (a SEQUENCE tag) and of an OpenSSH key with 'b3BlbnNzaC1rZXkt'.
+DER64 = re.compile(r"M(?:(?<![A-Za-z0-9+/_-]M)|(?<=\\[nr]M)|(?<=-----M))(?=[A-Za-z0-9+/]{38})")
+SSH64 = re.compile(r"b3BlbnNzaC1rZXkt(?=[A-Za-z0-9+/]{23})")
+HEX_BLOB = re.compile(r"(?:30|6[fF]70656[eE]7373682[dD]6[bB]65792[dD])[0-9A-Fa-f]{60,}")
+ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+#: First bytes of an OpenSSH private key block.
+SSH_MAGIC = b"openssh-key-v1\x00"
 #: Object identifiers of key algorithms, as DER content bytes: RSA, EC public key, DSA, Ed25519, X25519.
 KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2a8648ce380401", "2b6570", "2b656e")}
 
 
-def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tag and content of the fields that fill ``data`` exactly, or None if the lengths don't fit."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+class Bytes:
+    """Bytes at hand."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.data[at : at + n]
+
+
+class Armour:
+    """Where the base64 characters of a text stand, and which follow each other over gaps.
+
+    It is made once a text, and only where a candidate's first bytes are right. A gap is white space, line breaks and escaped line breaks (a
+    literal \\n); for OpenSSH blocks it begins with a line break.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        low = np.zeros(128, dtype=np.int8)  # 1: base64, 2: space, 3: line break
+        low[[ord(c) for c in ALNUM] + [ord("+"), ord("/")]] = 1
+        low[[0x20, 0x09]], low[[0x0A, 0x0D]] = 2, 3
+        kind = np.where(code < 128, low[np.minimum(code, 127)], 0)
+        slash = np.flatnonzero((code[:-1] == 0x5C) & ((code[1:] == 0x6E) | (code[1:] == 0x72)))
+        kind[slash] = kind[slash + 1] = 3
+        self.at = np.flatnonzero(kind == 1)
+        #: Ends of what GAP joins, and of what line breaks join.
+        self.ends = np.append(np.flatnonzero(kind == 0), len(text))
+        spaced = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+        self.line_ends = np.union1d(self.ends, spaced)
+
+    def after(self, starts: list[int], lines: bool = False) -> tuple[list[int], list[int]]:
+        """Places, among all base64 characters, of those at ``starts`` and of the ends of what is joined to each."""
+        ends = self.line_ends if lines else self.ends
+        stops = ends[np.searchsorted(ends, starts)]
+        return np.searchsorted(self.at, starts).tolist(), np.searchsorted(self.at, stops).tolist()
+
+    def chars(self, a: int, b: int) -> str:
+        """The base64 characters of these places."""
+        at = self.at
+        b = min(b, len(at))
+        if a < b and at[b - 1] - at[a] == b - 1 - a:
+            return self.text[at[a] : at[b - 1] + 1]
+        return "".join([self.text[k] for k in at[a:b].tolist()])
+
+
+class Armoured:
+    """The bytes of base64 characters ``first`` to ``stop`` of a text, decoded where they are read."""
+
+    def __init__(self, armour: Armour, first: int, stop: int):
+        self.armour, self.first = armour, first
+        self.size = (stop - first) * 3 // 4
+        self.head = self.decoded(0, 72)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.head[at : at + n] if at + n <= len(self.head) else self.decoded(at, n)
+
+    def decoded(self, at: int, n: int) -> bytes:
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        skip, a = at % 3, self.first + at // 3 * 4
+        chars = self.armour.chars(a, a + -(-(skip + n) // 3) * 4)
+        return base64.b64decode(chars + "=" * (-len(chars) % 4))[skip : skip + n] if len(chars) % 4 != 1 else base64.b64decode(chars[:-1])[skip : skip + n]
+
+    def end(self, n: int) -> int:
+        """Where in the text the first n bytes end."""
+        return int(self.armour.at[self.first + (4 * n + 2) // 3 - 1]) + 1
+
+
+def der_field(data: Bytes | Armoured, at: int, end: int) -> tuple[int, int, int] | None:
+    """Tag, first byte and end of the content of the field at ``at``; None if its length does not fit before ``end``."""
+    head = data.read(at, min(6, end - at))
+    if len(head) < 2:
+        return None
+    size, at = head[1], at + 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or 2 + n > len(head):
             return None
-        tag, size, at = data[at], data[at + 1], at + 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data):
-                return None
-            size, at = int.from_bytes(data[at : at + n], "big"), at + n
-        if at + size > len(data):
+        size, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
+    return (head[0], at, at + size) if at + size <= end else None
+
+
+def der_fields(data: Bytes | Armoured, at: int, end: int, most: int) -> list[tuple[int, int, int]] | None:
+    """The fields that fill the bytes from ``at`` to ``end`` exactly, ``most`` at most, or None if they don't."""
+    out = []
+    while at < end:
+        field = der_field(data, at, end) if len(out) < most else None
+        if field is None:
             return None
-        out.append((tag, data[at : at + size]))
-        at += size
+        out.append(field)
+        at = field[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A PKCS#1, PKCS#8 or SEC 1 private key, by its nested lengths; a public key is no secret."""
-    outer = der_fields(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return False
-    inner = der_fields(outer[0][1])
-    if not inner:
-        return False
-    tags = [t for t, _ in inner]
-    if tags[:1] == [0x02]:
-        if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
-            return True  # PKCS#1 private key
-        if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01":
-            return True  # SEC 1
-        if tags[:3] == [0x02, 0x30, 0x04]:
-            named = der_fields(inner[1][1])
-            return bool(named) and named[0][0] == 0x06 and named[0][1] in KEY_OIDS  # PKCS#8
-    return False
-
-
-def ssh_size(data: bytes) -> int | None:
-    """How many bytes the fields of an OpenSSH block fill, public keys and private part included; None if they don't fit."""
-    at = len(SSH_MAGIC)
-    for k in range(3 + MAX_SSH_KEYS + 1):
-        if k == 3:  # after cipher, kdf and kdf options: the number of keys
-            n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
-        if at + 4 > len(data):
+#: Fields of a private key at most: nine numbers and the further primes of PKCS#1; the other formats have fewer.
+KEY_FIELDS = 10
+
+
+def der_key_size(data: Bytes | Armoured) -> int | None:
+    """How many bytes a PKCS#1, PKCS#8 or SEC 1 private key at the beginning fills, by its nested lengths; a public key is no secret.
+
+    Only heads of fields are read, and each as long as those before it fit, so a candidate costs the same whatever lengths it claims.
+    """
+    outer = der_field(data, 0, data.size)
+    if not outer or outer[0] != 0x30:
+        return None
+    _, at, end = outer
+    second = fields = 0
+    while at < end:
+        field = der_field(data, at, end) if fields < KEY_FIELDS else None
+        if field is None:
+            return None
+        tag, first, at = field
+        fields += 1
+        if fields == 1 and tag != 0x02:
             return None
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
+        if fields == 2:
+            second = tag
+            if tag == 0x30:  # PKCS#8: a known algorithm
+                named = der_field(data, first, at)
+                if not named or named[0] != 0x06 or named[2] - named[1] > 16 or data.read(named[1], named[2] - named[1]) not in KEY_OIDS or der_fields(data, named[2], at, 2) is None:
+                    return None
+            elif tag == 0x04:  # SEC 1: version 1
+                if data.read(outer[1], 3) != b"\x02\x01\x01":
+                    return None
+            elif tag != 0x02:
+                return None
+        elif fields == 3 and second == 0x30 and tag != 0x04 or 3 <= fields <= 9 and second == 0x02 and tag != 0x02:
             return None
-        if k >= 3 and k == 3 + n:
-            return at
-    return None
+    whole = fields >= 3 if second == 0x30 else fields >= 9 if second == 0x02 else second == 0x04
+    return end if whole else None
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The OpenSSH private key block: magic, then cipher, kdf and kdf options as length-prefixed fields."""
-    if not data.startswith(SSH_MAGIC):
-        return False
+def ssh_head(data: Bytes | Armoured) -> tuple[int, int] | None:
+    """Where the fields after the head of an OpenSSH private key block begin, and the number of its keys.
+
+    The head is the magic word, then cipher, kdf and kdf options as length-prefixed fields, and the number.
+    """
+    if data.read(0, len(SSH_MAGIC)) != SSH_MAGIC:
+        return None
     at = len(SSH_MAGIC)
     for _ in range(3):
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= MAX_SSH_KEYS
+        size = data.read(at, 4)
+        if len(size) < 4:
+            return None
+        at += 4 + int.from_bytes(size, "big")
+    n = data.read(at, 4)
+    return (at + 4, int.from_bytes(n, "big")) if len(n) == 4 and any(n) else None
+
+
+def ssh_size(data: Bytes | Armoured, at: int, keys: int) -> int | None:
+    """How many bytes the block fills, public keys and private part included; None if they don't fit."""
+    for _ in range(keys + 1):
+        size = data.read(at, 4)
+        if len(size) < 4:
+            return None
+        at += 4 + int.from_bytes(size, "big")
+        if at > data.size:
+            return None
+    return at
 
 
 def is_jwt(text: str) -> bool:
@@ -120,79 +218,82 @@ def is_jwt(text: str) -> bool:
     if len(parts) != 3 or not parts[2]:
         return False
     try:
-        head, body = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in parts[:2])
+        raw = [base64.urlsafe_b64decode(p + "=" * (-len(p) % 4)) for p in parts[:2]]
+        if not all(r.rstrip().endswith(b"}") for r in raw):
+            return False
+        head, body = map(json.loads, raw)
     except (ValueError, RecursionError):  # no base64, no JSON, or JSON too deep to be a token's
         return False
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
 def confirmed(data: bytes) -> str | None:
-    return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
+    """Kind of key that fills the bytes, or that they begin with (OpenSSH)."""
+    return "der_key" if der_key_size(Bytes(data)) == len(data) else "ssh_key" if ssh_head(Bytes(data)) else None
+
+
+def opens(text: str, at: int, joined: frozenset[str] | None = None, dashes: bool = False) -> bool:
+    """Whether no character that could belong to the candidate at ``at`` stands before it; an escaped line break may."""
+    before = text[at - 1 : at]
+    return not before or before not in (joined or ALNUM) or text[at - 2 : at] in ("\\n", "\\r") or dashes and text[at - 5 : at] == "-----"
+
 
+TOKEN_CHARS, KEY_CHARS = ALNUM | {"_", "-"}, ALNUM | {"+", "/", "_", "-"}
 
-def collect(text: str, at: int, need: int | None) -> tuple[str, int] | None:
-    """The first ``need`` base64 characters from ``at``, and where they end; None if there are fewer.
 
-    Without ``need``: all that follow over line breaks.
+def keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys in base64: kind, start and end; padding belongs to them, and the search goes on behind each.
+
+    A key with a wrong length costs reading a few heads. An OpenSSH block ends where its fields do, or with the lines that follow if they do
+    not fit; what it is read for is then behind the search. So the work is in proportion to the text.
     """
-    parts, have, gap = [], 0, GAP if need else LINE_GAP
-    while True:
-        run = RUN.match(text, at, at + need - have) if need else RUN.match(text, at)
-        if not run:
-            return None if need else ("".join(parts), end)
-        parts.append(run[0])
-        have, end = have + len(run[0]), run.end()
-        if have == need:
-            return "".join(parts), end
-        between = gap.match(text, end)
-        at = between.end() if between else end
-
-
-def decoded(chars: str) -> bytes:
-    """Bytes of base64 without padding; a last character that holds no whole byte is left out."""
-    if len(chars) % 4 == 1:
-        chars = chars[:-1]
-    return base64.b64decode(chars + "=" * (-len(chars) % 4))
-
-
-def key_at(text: str, at: int) -> tuple[str, int] | None:
-    """Kind and end of the key whose base64 begins at ``at``; padding belongs to it."""
-    if text[at] == "b":
-        got, end = collect(text, at, None)
-        data = decoded(got)
-        if not is_ssh_key(data):
-            return None
-        size = ssh_size(data)
-        if size is not None:
-            end = collect(text, at, (4 * size + 2) // 3)[1]
-        kind = "ssh_key"
-    else:
-        head = decoded(text[at : at + 12])
-        n = head[1] & 0x7F if head[1] & 0x80 else 0
-        if head[0] != 0x30 or head[1] == 0x80 or n > 4 or head[2 + n] not in (0x02, 0x30):
-            return None
-        size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
-        need = (4 * size + 2) // 3
-        found = collect(text, at, need) if at + need <= len(text) else None
-        if found is None or not is_der_key(decoded(found[0])[:size]):
-            return None
-        kind, end = "der_key", found[1]
-    return kind, end + len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+    found = sorted([(m.start(), False) for m in DER64.finditer(text)] + [(m.start(), True) for m in SSH64.finditer(text)])
+    likely = []
+    for at, ssh in found:
+        if not opens(text, at, KEY_CHARS, True):
+            continue
+        if not ssh:
+            head = base64.b64decode(text[at : at + 12])
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            if head[0] != 0x30 or head[1] == 0x80 or n > 4 or head[2 + n] != 0x02:
+                continue
+        likely.append((at, ssh))
+    if not likely:
+        return
+    armour, upto = Armour(text), 0
+    starts = [at for at, _ in likely]
+    for (at, ssh), first, stop, _, line_stop in zip(likely, *armour.after(starts), *armour.after(starts, lines=True)):
+        if at < upto:
+            continue
+        data = Armoured(armour, first, stop)
+        if ssh:
+            told = ssh_head(Armoured(armour, first, line_stop))
+            if not told:
+                continue
+            size = ssh_size(data, *told)
+            end = data.end(size) if size is not None else int(armour.at[line_stop - 1]) + 1
+        else:
+            size = der_key_size(data)
+            if size is None:
+                continue
+            end = data.end(size)
+        end += len(text[end : end + 2]) - len(text[end : end + 2].lstrip("="))
+        yield "ssh_key" if ssh else "der_key", at, end
+        upto = end
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start, then kind in listing order."""
-    spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    spans = []
+    low = text.lower()
+    if any(n in low for n in NAMES):
+        spans += [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    spans += [("jwt", *m.span()) for m in JWT.finditer(text) if is_jwt(m[0])]
-    upto = 0
-    for m in BASE64.finditer(text):
-        if m.start() >= upto and (key := key_at(text, m.start())):
-            upto = key[1]
-            spans.append((key[0], m.start(), upto))
+    spans += [("jwt", *m.span()) for m in JWT.finditer(text) if opens(text, m.start(), TOKEN_CHARS) and is_jwt(m[0])]
+    spans += keys(text)
     for m in HEX_BLOB.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
+        if len(m[0]) % 2 == 0 and opens(text, m.start()) and text[m.end() : m.end() + 1] not in ALNUM and (kind := confirmed(bytes.fromhex(m[0]))):
             spans.append((kind, *m.span()))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
