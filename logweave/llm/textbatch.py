@@ -31,14 +31,20 @@ for _mark, _letter in DISGUISE.items():
     _PLAIN[ord(_mark)] = ord(_letter)
 
 
-def undisguised(code: np.ndarray) -> np.ndarray:
-    """Marks and digits as the letters they may stand for, where a letter is within two places on either side or both."""
+def undisguised(code: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Marks and digits as the letters they may stand for, where a letter is within two places on either side or both.
+
+    ``edges`` are the spaces between texts; no text sees the letters of another.
+    """
     low = code < 128
     letter = (code >= 0x61) & (~low | (code <= 0x7A))
     near = letter.copy()
-    for k in (1, 2):
-        near[k:] |= letter[:-k]
-        near[:-k] |= letter[k:]
+    near[1:] |= letter[:-1]
+    near[:-1] |= letter[1:]
+    inner = np.ones(len(code), dtype=bool)
+    inner[edges] = False
+    near[2:] |= letter[:-2] & inner[1:-1]
+    near[:-2] |= letter[2:] & inner[1:-1]
     at = np.flatnonzero(low & near & ~letter)
     out = code.copy()
     out[at] = _PLAIN[code[at]]
@@ -59,7 +65,7 @@ def letters(texts: list[str], disguised: bool = False) -> tuple[np.ndarray, np.n
     starts = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum(np.asarray(lengths, dtype=np.int64) + 1, out=starts[1:])
     if disguised:
-        code = undisguised(code)
+        code = undisguised(code, starts)
     other = (code < 0x61) | ((code > 0x7A) & (code < 0xAA)) | ((code >= 0x2000) & (code < 0x2070))
     return np.where(other, np.uint32(0x20), code), starts + 1
 

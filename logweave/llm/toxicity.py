@@ -18,7 +18,7 @@ once (the highest); ties need no rule; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ WINDOW = 32
 #: Training texts that an n-gram must occur in to get a vector; rarer ones stay neutral.
 MIN_TEXTS = 4
 DIM = 8
-ROUNDS, STEPS, RATE = 3, 30, 0.05
+ROUNDS, STEPS, RATE = 4, 50, 0.05
 
 
 def prepare(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -55,12 +55,20 @@ def prepare(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]
     return starts, slots, np.int64(len(code))
 
 
-def strongest(texts: list[str], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean weight of the strongest passage of each text (-inf: no n-gram), and where it starts in the text."""
+def prepared(texts: list[str]) -> Iterator[tuple[int, int, tuple[np.ndarray, list[np.ndarray], np.ndarray]]]:
+    """Runs of texts with their slots."""
+    for a, b in chunks(texts):
+        yield a, b, prepare(texts[a:b])
+
+
+def strongest(texts: list[str], weight: np.ndarray, runs: Iterable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean weight of the strongest passage of each text (-inf: no n-gram), and where it starts in the text.
+
+    ``runs`` are the texts' slots (``prepared``) where they are kept.
+    """
     best, where = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=np.int64)
     padded = np.append(weight, np.float32(0))  # slot -1 adds nothing
-    for a, b in chunks(texts):
-        starts, slots, size = prepare(texts[a:b])
+    for a, b, (starts, slots, size) in prepared(texts) if runs is None else runs:
         total, count = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
         for slot in slots:
             total[1:] += padded[slot]
@@ -121,9 +129,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     in_pos, in_neg = (texts_by_slot([texts[i] for i in at]) for at in (pos, neg))
     common = in_pos + in_neg >= MIN_TEXTS
     weight = np.where(common, np.log((in_pos + 0.5) / (len(pos) + 1)) - np.log((in_neg + 0.5) / (len(neg) + 1)), 0).astype(np.float32)
+    runs = list(prepared(texts))  # 12 bytes a character, which every round needs
     for _ in range(ROUNDS):
         passages, label = [], []
-        _, where = strongest(texts, weight)
+        _, where = strongest(texts, weight, runs)
         for i in pos:
             passages.append(texts[i][max(0, where[i] - 1) : where[i] + WINDOW])
             label.append(1)
@@ -163,7 +172,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
         folded = table @ (soft[:, 1] - soft[:, 0])
         weight = np.zeros(1 << BITS, dtype=np.float32)
         weight[used] = folded[used]  # slots that training never saw are neutral
-    best, _ = strongest(texts, weight)
+    best, _ = strongest(texts, weight, runs)
     return weight, *logistic(np.where(np.isfinite(best), best, -1.0), toxic)
 
 
