@@ -41,6 +41,8 @@ WINDOW = 32
 MIN_TEXTS = 4
 DIM = 8
 ROUNDS, STEPS, RATE = 4, 50, 0.05
+#: Pull of the embeddings to zero.
+RIDGE = 1e-3
 
 
 def prepare(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -161,7 +163,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarra
             p[np.arange(len(y)), y] -= 1
             p *= cost[:, None]
             back = (p @ soft.T).astype(np.float32)
-            grads = (np.add.reduceat((back[row] * share[:, None])[by_slot], edges_slot, axis=0) + 1e-7 * part, mean.T @ p, p.sum(axis=0))
+            grads = (np.add.reduceat((back[row] * share[:, None])[by_slot], edges_slot, axis=0) + np.float32(RIDGE) * part, mean.T @ p, p.sum(axis=0))
             for x, g, (m, v) in zip((part, soft, bias), grads, state):  # Adam
                 m *= 0.9
                 m += 0.1 * g
