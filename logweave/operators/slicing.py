@@ -7,16 +7,14 @@ filter on a running sum.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
 from ..functions.presets import Preset, preset
 from ..functions.schemas import KEY
+from ..scratch import new_path
+from .ranks import CELL, running
 
 
 def _session():
@@ -133,28 +131,69 @@ def empty_meta(sessions: DataFrame, messages: DataFrame, budget: int, anchor: st
     )
 
 
-def page_numbers(costs: np.ndarray, budget: int) -> np.ndarray:
-    """Greedy fill of pages: a page ends before the message that would overfill it; one message at least."""
-    run = np.cumsum(costs)
-    page, at, number = np.zeros(len(costs), dtype=np.int64), 0, 0
-    while at < len(costs):
-        number += 1
-        start = run[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(run, start + budget, side="right")))
-        page[at:end] = number
-        at = end
-    return page
+#: Messages of a session whose pages are filled in one row; larger sessions are paged by jumps.
+ONE_ROW = 10_000
+
 
+def _filled(rows: DataFrame, budget: int) -> DataFrame:
+    """Pages of sessions of bounded size: costs in order are folded to the places where pages start, in the JVM."""
+    plain = [c for c in rows.columns if c not in KEY and c != "idx"]
+    listed = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", *plain))).alias("l"))
+    fold = f"""aggregate(l, named_struct('at', 0, 'run', 0L, 'starts', array_repeat(0, 0)),
+      (s, x) -> IF(s.at > 0 AND s.run + x.cost <= {int(budget)}L, named_struct('at', s.at + 1, 'run', s.run + x.cost, 'starts', s.starts),
+                   named_struct('at', s.at + 1, 'run', CAST(x.cost AS BIGINT), 'starts', concat(s.starts, array(s.at + 1)))), s -> s.starts)"""
+    cut = listed.withColumn("starts", F.expr(fold))
+    pages = F.expr("flatten(transform(starts, (a, k) -> transform(slice(l, a, coalesce(get(starts, k + 1), size(l) + 1) - a), x -> struct(x, CAST(k + 1 AS BIGINT) AS page))))")
+    each = cut.select(*KEY, F.explode(pages).alias("m")).select(*KEY, "m.x.*", "m.page")
+    return each.select(*rows.columns, "page")
 
-def assign_pages(rows: DataFrame, budget: int) -> DataFrame:
-    """``page`` of each costed row. The page's fill restarts at its end, so a window can't express it: one vectorised helper over (pos, cost) of a session."""
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        return frame[[*KEY, "idx"]].assign(page=page_numbers(frame["cost"].to_numpy(), budget))
+def _jumped(rows: DataFrame, budget: int) -> DataFrame:
+    """Pages of sessions of any size, by doubled jumps.
 
-    paged = rows.select(*KEY, "idx", "cost").groupBy(*KEY).applyInPandas(fill, "source string, session_id string, idx int, page long")
-    return rows.join(paged, [*KEY, "idx"])
+    From every message one jump leads to the message that would start the next page. The first message starts a page; a
+    jump from the starts that are known gives as many again, and jumps are then composed with themselves. So the rounds are the logarithm of
+    the largest number of pages, and each is a join by (session, place) of narrow rows.
+    """
+    spark = rows.sparkSession
+    keys = list(KEY)
+    placed = _kept(running(rows.select(*keys, "idx", F.col("cost").cast("bigint").alias("cost")), keys, "idx", {"place": F.lit(1), "before": F.col("cost")}))
+    ends = placed.select(*keys, (F.col("before") + F.col("cost")).alias("value"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("place"))
+    asked = placed.select(*keys, (F.col("before") + budget).alias("value"), F.lit(1).alias("kind"), "place")
+    # how many messages end within the page that starts here; a cost is 4 at least, so a cell has bounded rows
+    fits = running(ends.unionByName(asked), keys, "value", {"n": 1 - F.col("kind")}, ["kind", "place"], 4 * CELL)
+    jumps = _kept(fits.where("kind = 1").select(*keys, "place", F.greatest("n", F.col("place") + 1).alias("next")))
+    first = placed.where("place = 0").select(*keys, "place")
+    starts = fresh = _kept(first)
+    while True:
+        fresh = _kept(starts.join(jumps, [*keys, "place"]).select(*keys, F.col("next").alias("place")).join(placed.select(*keys, "place"), [*keys, "place"]))
+        if fresh.isEmpty():
+            break
+        starts = _kept(starts.unionByName(fresh))
+        onward = jumps.select(*keys, F.col("place").alias("next"), F.col("next").alias("_to"))
+        jumps = _kept(jumps.join(onward, [*keys, "next"]).select(*keys, "place", F.col("_to").alias("next")))
+    flagged = placed.select(*keys, "idx", "place").join(starts.withColumn("_start", F.lit(1)), [*keys, "place"], "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
+    paged = running(flagged, keys, "place", {"page": F.col("_start")}).select(*keys, "idx", (F.col("page") + F.col("_start")).alias("page"))
+    return rows.join(paged, [*keys, "idx"])
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written, as later rounds read it again."""
+    at = new_path(df.sparkSession, "pages")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def assign_pages(rows: DataFrame, budget: int, one_row: int = ONE_ROW) -> DataFrame:
+    """``page`` of each costed row: a page ends before the message that would overfill it; one message at least.
+
+    Sessions of at most ``one_row`` messages are filled in a row each, larger ones by jumps over narrow rows.
+    """
+    large = rows.groupBy(*KEY).agg(F.count("*").alias("_n")).where(F.col("_n") > one_row).select(*KEY)
+    if large.isEmpty():
+        return _filled(rows, budget)
+    small, huge = (rows.join(large, list(KEY), how) for how in ("left_anti", "left_semi"))
+    return _filled(small, budget).unionByName(_jumped(huge, budget).select(*rows.columns, "page"))
 
 
 def read_page(messages: DataFrame, page: int, budget: int, p: str | Preset | None = None) -> DataFrame:

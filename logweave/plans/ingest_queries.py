@@ -12,6 +12,7 @@ from ..sources.lines import read_lines
 from ..sources.ingest import Ingested
 from ..streaming import running
 from . import views as V
+from .message_queries import CONV
 
 QUERIES: dict = {}
 
@@ -247,14 +248,27 @@ def all_sources(spark, sf_dir):
 
 @query("st1_stream_totals", """SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS total_messages, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, count(*) FILTER (WHERE role = 'system') AS n_system, CAST(sum(4 + ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
 def stream_totals(spark, sf_dir):
-    """The messages are written in four appends, streamed file by file, and the micro-batches' deltas are summed."""
+    """The messages come in four appends, a part of them twice; each is passed on once, and totals are kept by session."""
     base = _scratch(spark)
     m = V.conversation_messages(spark, sf_dir)
-    for k in range(4):
+    for k in (1, 0, 3, 2, 3):
         m.where(F.col("idx") % 4 == k).write.mode("append").parquet(f"{base}/messages")
-    job = running.stream_deltas(running.stream_messages(spark, f"{base}/messages", m.schema, max_files=8), f"{base}/deltas", f"{base}/checkpoint")
-    job.awaitTermination()
-    return running.totals_of_deltas(spark.read.parquet(f"{base}/deltas")).select("session_id", "total_messages", "n_user", "n_assistant", "n_system", "tokens")
+    running.start_new(running.stream_messages(spark, f"{base}/messages", m.schema, max_files=8), f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    running.start_totals(running.stream_messages(spark, f"{base}/new", m.schema, max_files=8), f"{base}/totals", f"{base}/checkpoint-totals").awaitTermination()
+    return running.latest_totals(spark, f"{base}/totals").select("session_id", "total_messages", "n_user", "n_assistant", "n_system", "tokens")
+
+
+@query("st1_new_messages", f"WITH {CONV} SELECT source, session_id, idx, role, md5(text) AS content_md5 FROM c")
+def stream_new_messages(spark, sf_dir):
+    """The stream stops after a first part and goes on with the rest, of which a part was seen before: each message once."""
+    base = _scratch(spark)
+    m = V.conversation_messages(spark, sf_dir)
+    go_on = lambda: running.start_new(running.stream_messages(spark, f"{base}/messages", m.schema, max_files=8), f"{base}/new", f"{base}/checkpoint").awaitTermination()
+    m.where("idx <= 3").write.parquet(f"{base}/messages")
+    go_on()
+    m.where("idx > 2").write.mode("append").parquet(f"{base}/messages")
+    go_on()
+    return spark.read.parquet(f"{base}/new").select("source", "session_id", "idx", "role", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 def stored(got: Ingested) -> Ingested:

@@ -1,12 +1,31 @@
-"""Incremental totals over an append-only messages folder (ST1)."""
+"""Running sessions (ST1): each new message once, and totals kept up to date.
+
+``stream_new`` turns a stream of messages, in which rows may come again and in any order, into each message once: Spark keeps
+for each session how many messages of it are known without a gap, and which beyond (J7 with stored counts). Its sink is Spark's file
+sink, whose log makes a replayed batch count once. ``stream_totals`` reads that sink as a stream and keeps each session's totals in the state
+store (update mode); a batch writes the totals of the sessions it touched to a folder of its own number, so a batch that is
+replayed replaces its folder. ``compact_totals`` folds those folders into one.
+
+All queries end when what is present has been read; started again with the same checkpoint they go on.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as P
 from ..functions.schemas import KEY, ROLES
+from ..scratch import delete
+
+SUMS = ("total_messages", *[f"n_{r}" for r in ROLES], "tokens")
+#: How times stand in a packed message: to the microsecond.
+PACKED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def running_totals(messages: DataFrame) -> DataFrame:
@@ -19,18 +38,85 @@ def stream_messages(spark: SparkSession, path: str, schema, max_files: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_deltas(stream: DataFrame, out: str, checkpoint: str):
-    """Append each micro-batch's totals per session to ``out``, with its number; sums over batches are the running totals.
+def unseen(numbers: list[int], known: int, beyond: set[int]) -> list[bool]:
+    """Which of the numbers are new; ``beyond`` gets them."""
+    out = []
+    for n in numbers:
+        out.append(n > known and n not in beyond)
+        if out[-1]:
+            beyond.add(n)
+    return out
+
 
-    Started with a trigger that ends when all present files are read; run again, it goes on with new files.
+def without_gap(known: int, beyond: set[int]) -> int:
+    """How many numbers from 1 are known without a gap; those leave ``beyond``."""
+    while known + 1 in beyond:
+        known += 1
+        beyond.remove(known)
+    return known
+
+
+def stream_new(messages: DataFrame) -> DataFrame:
+    """Each message of the stream once, by session and ``idx`` (from 1).
+
+    A session's rows are seen in Arrow batches; its state is a count and the numbers that came before their turn.
     """
 
-    def append(batch: DataFrame, number: int) -> None:
-        # one folder a batch: a batch that is replayed after a failure replaces its own folder
-        running_totals(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, beyond = state.get if state.exists else (0, [])
+        beyond = set(beyond)
+        for frame in frames:
+            keep = unseen(frame["idx"].tolist(), known, beyond)
+            if any(keep):
+                yield frame.loc[keep, ["message"]]
+        known = without_gap(known, beyond)
+        state.update((known, sorted(beyond)))
+
+    packed = messages.where("idx > 0").select(*KEY, "idx", F.to_json(F.struct(*messages.columns), PACKED).alias("message"))
+    got = packed.groupBy(*KEY).applyInPandasWithState(fresh, "message string", "known int, beyond array<int>", "append", GroupStateTimeout.NoTimeout)
+    return got.select(F.from_json("message", messages.schema, PACKED).alias("m")).select("m.*")
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def start_new(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """New messages of the stream into Parquet files below ``out``."""
+    return stream_new(messages).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
-def totals_of_deltas(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in ("total_messages", *[f"n_{r}" for r in ROLES], "tokens")], F.max("last_ts").alias("last_ts"))
+
+def start_totals(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Totals of the sessions that a batch touches into ``out``/batch=number; ``messages`` holds each message once."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return running_totals(messages).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Each session's newest totals."""
+    kept = spark.read.parquet(out)
+    names = [c for c in kept.columns if c not in (*KEY, "batch")]
+    return kept.groupBy(*KEY).agg(F.max_by(F.struct(*names), "batch").alias("t")).select(*KEY, "t.*")
+
+
+def compact_totals(spark: SparkSession, out: str) -> None:
+    """Fold all folders of totals into the newest one. Run it while no batch is written.
+
+    All are written under another name first; should it stop between, running it again finishes the work, as that copy then goes in
+    place of the newest folder.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = sorted(int(f.getPath().getName().split("=")[1]) for f in store.listStatus(path(out)) if f.getPath().getName().startswith("batch="))
+    # readers pass over names that begin with an underscore; the number says up to which batch the copy goes
+    done = [f.getPath().getName() for f in store.listStatus(path(out)) if f.getPath().getName().startswith("_folded=") and store.exists(path(f.getPath(), "_SUCCESS"))]
+    if done:
+        upto = int(done[0].split("=")[1])
+    elif len(numbers) < 2:
+        return
+    else:
+        upto = numbers[-1]
+        latest_totals(spark, out).write.mode("overwrite").parquet(f"{out}/_folded={upto}")
+    for n in numbers:
+        if n <= upto:
+            delete(spark, f"{out}/batch={n}")
+    store.rename(path(f"{out}/_folded={upto}"), path(f"{out}/batch={upto}"))

@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from logweave.operators import slicing as S
@@ -48,12 +47,15 @@ def loop_trim(chosen, roles):
     return chosen[: end + 1] if end >= 0 and end + 1 >= len(chosen) / 2 else chosen
 
 
-def test_pages_equal_the_loop():
+def test_pages_equal_the_loop(spark):
     rng = random.Random(1)
-    for _ in range(300):
-        costs = [rng.randint(4, 60) for _ in range(rng.randint(1, 40))]
-        budget = rng.randint(4, 120)
-        assert S.page_numbers(np.array(costs), budget).tolist() == loop_pages(costs, budget)
+    for budget in (4, 37, 120):
+        costs = {f"s{k}": [rng.randint(4, 60) for _ in range(rng.randint(1, 40))] for k in range(100)}
+        rows = spark.createDataFrame([("claude", s, k, c) for s, cs in costs.items() for k, c in enumerate(cs)], "source string, session_id string, idx int, cost int")
+        got = {}
+        for r in S.assign_pages(rows, budget).orderBy("session_id", "idx").collect():
+            got.setdefault(r["session_id"], []).append(r["page"])
+        assert got == {s: loop_pages(cs, budget) for s, cs in costs.items()}
 
 
 def test_slices_equal_the_loop(spark):
