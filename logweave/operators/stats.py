@@ -49,46 +49,56 @@ def block_frequency(messages: DataFrame) -> DataFrame:
     return counts.groupBy(*KEY).agg(ordered.alias("t")).select(*KEY, F.transform("t", lambda x: F.struct(x["type"].alias("type"), x["n"].alias("n"))).alias("block_frequency"))
 
 
-def attributed_errors(messages: DataFrame) -> DataFrame:
-    """(key, name, errors): error results by the last tool that used their id within the session. Empty ids are left out."""
-    blocks = exploded(messages)
-    uses = blocks.where((F.col("type") == "tool_use") & (P.truthy("id").isNotNull())).groupBy(*KEY, "id").agg(F.max_by("name", F.struct("idx", "bpos")).alias("name"))
-    results = blocks.where((F.col("type") == "tool_result") & F.col("is_error") & P.truthy("tool_use_id").isNotNull() & (F.col("role") == "tool_result"))
-    errors = results.groupBy(*KEY, F.col("tool_use_id").alias("id")).agg(F.count("*").alias("errors"))
-    return uses.join(errors, [*KEY, "id"]).groupBy(*KEY, "name").agg(F.sum("errors").alias("errors"))
+def _calls(messages: DataFrame) -> DataFrame:
+    """Tool blocks without their contents, with the line they stand in."""
+    blocks = messages.select(*KEY, "idx", "role", "raw_line_index", F.posexplode(F.filter("blocks", lambda b: b["type"].isin("tool_use", "tool_result"))).alias("bpos", "b"))
+    return blocks.select(*KEY, "idx", "role", "raw_line_index", "bpos", (F.col("b.type") == "tool_use").alias("use"), "b.name", "b.is_error", F.coalesce("b.id", "b.tool_use_id").alias("call"))
+
 
+def _named(calls: DataFrame, rule: Column) -> DataFrame:
+    """``calls`` with ``tool``: a call's own name; of an error result the tool it is attributed to, if any.
 
-def _as_of(blocks: DataFrame, *key: str) -> DataFrame:
-    """(key, name, errors): error results by the latest call before them under the same key; no join, one window."""
-    last = F.last(F.when(F.col("type") == "tool_use", F.col("name")), ignorenulls=True).over(Window.partitionBy(*KEY, *key).orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1))
-    named = blocks.withColumn("tool", last)
-    return named.where((F.col("type") == "tool_result") & F.col("is_error") & F.col("tool").isNotNull()).groupBy(*KEY, F.col("tool").alias("name")).agg(F.count("*").alias("errors"))
+    ``rule`` is how errors are attributed: ``last``: to the last tool of the session that used their id (J1; empty ids name none);
+    ``as_of``: to the latest earlier call with their id (J2); ``line``: to the last tool called earlier in their line. One window serves all.
+    """
+    own = F.concat(F.lit("#"), F.col("idx").cast("string"), F.lit("-"), F.col("bpos").cast("string"))
+    group = F.when(rule == "last", F.coalesce(F.concat(F.lit("c"), P.truthy("call")), own)).when(rule == "as_of", F.concat(F.lit("c"), "call")).when(rule == "line", F.concat(F.lit("l"), F.col("raw_line_index").cast("string"))).otherwise(own)
+    whole = Window.partitionBy(*KEY, "_group")
+    earlier = whole.orderBy("idx", "bpos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = calls.withColumns({"_rule": rule, "_group": group})
+    last = F.max_by("name", F.when(F.col("use"), F.struct("idx", "bpos"))).over(whole)
+    before = F.last(F.when(F.col("use"), F.col("name")), ignorenulls=True).over(earlier)
+    rows = rows.withColumns({"_last": last, "_before": before})
+    tool = F.when(F.col("use"), F.col("name")).when(F.col("is_error"), F.when((F.col("_rule") == "last") & (F.col("role") == "tool_result"), F.col("_last")).when(F.col("_rule").isin("as_of", "line"), F.col("_before")))
+    return rows.withColumn("tool", tool).drop("_rule", "_group", "_last", "_before")
 
 
-def _calls(messages: DataFrame) -> DataFrame:
-    """Tool blocks without their contents, with the line they stand in."""
-    blocks = messages.select(*KEY, "idx", "raw_line_index", F.posexplode(F.filter("blocks", lambda b: b["type"].isin("tool_use", "tool_result"))).alias("bpos", "b"))
-    return blocks.select(*KEY, "idx", "raw_line_index", "bpos", "b.type", "b.name", "b.is_error", F.coalesce("b.id", "b.tool_use_id").alias("call"))
+def _errors(messages: DataFrame, rule: str) -> DataFrame:
+    named = _named(_calls(messages), F.lit(rule)).where(~F.col("use") & F.col("tool").isNotNull())
+    return named.groupBy(*KEY, F.col("tool").alias("name")).agg(F.count("*").alias("errors"))
+
+
+def attributed_errors(messages: DataFrame) -> DataFrame:
+    """(key, name, errors)."""
+    return _errors(messages, "last")
 
 
 def attributed_errors_as_of(messages: DataFrame) -> DataFrame:
     """Error results by the latest earlier call with their id."""
-    return _as_of(_calls(messages), "call")
+    return _errors(messages, "as_of")
 
 
 def attributed_errors_by_message(messages: DataFrame) -> DataFrame:
-    """J2 for ids that restart in every message: by the last tool called earlier in the same line."""
-    return _as_of(_calls(messages), "raw_line_index")
+    """J2 for ids that restart in every message."""
+    return _errors(messages, "line")
 
 
 def tool_counts(messages: DataFrame) -> DataFrame:
     """A3, one row a (session, tool): count, errors, first place. How errors are attributed depends on the source."""
-    uses = exploded(messages).where("type = 'tool_use'").groupBy(*KEY, "name").agg(F.count("*").alias("count"), F.min(F.struct("idx", "bpos")).alias("first"))
-    late = messages.where(F.col("source").isin(*AS_OF))
-    plain = messages.where(~F.col("source").isin(*AS_OF, *BY_MESSAGE, *NO_ERRORS))
-    inside = messages.where(F.col("source").isin(*BY_MESSAGE))
-    errors = attributed_errors(plain).unionByName(attributed_errors_as_of(late)).unionByName(attributed_errors_by_message(inside))
-    return uses.join(errors, [*KEY, "name"], "left").select(*KEY, "name", "count", F.coalesce("errors", F.lit(0).cast("bigint")).alias("errors"), "first")
+    rule = F.when(F.col("source").isin(*AS_OF), "as_of").when(F.col("source").isin(*BY_MESSAGE), "line").when(~F.col("source").isin(*NO_ERRORS), "last")
+    named = _named(_calls(messages), rule).where(F.col("use") | F.col("tool").isNotNull())
+    counts = named.groupBy(*KEY, F.col("tool").alias("name")).agg(F.count_if("use").alias("count"), F.count_if(~F.col("use")).alias("errors"), F.min(F.when(F.col("use"), F.struct("idx", "bpos"))).alias("first"))
+    return counts.where(F.col("count") > 0)
 
 
 def tool_frequency(messages: DataFrame) -> DataFrame:
@@ -157,14 +167,41 @@ def match_counts(messages: DataFrame, query: str) -> DataFrame:
     return messages.where(F.contains(F.lower("content"), F.lower(F.lit(query)))).groupBy(*KEY).agg(F.count("*").alias("matches"))
 
 
+#: Kinds of blocks of the normalised schema.
+BLOCK_TYPES = ("text", "thinking", "tool_result", "tool_use")
+
+
+def _totals(messages: DataFrame) -> DataFrame:
+    """A1, A2 and A8 in one aggregation."""
+    types = F.transform("blocks", lambda b: b["type"])
+    kinds = [F.size(F.filter("_types", lambda t: t == F.lit(k))) for k in BLOCK_TYPES]  # noqa: B023
+    rows = messages.select(*KEY, "idx", "role", "ts", types.alias("_types")).select(*KEY, "idx", "role", "ts", *[F.greatest(n, F.lit(0)).cast("bigint").alias(f"_{k}") for n, k in zip(kinds, BLOCK_TYPES)])
+    sums = rows.groupBy(*KEY).agg(
+        F.count("*").alias("total_messages"), *[F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ROLES], *[F.sum(f"_{k}").alias(f"_{k}") for k in BLOCK_TYPES],
+        (F.unix_millis(F.max_by("ts", "idx")) - F.unix_millis(F.min_by("ts", "idx"))).alias("_ms"),
+    )
+    told = F.filter(F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"_{k}").alias("n")) for k in BLOCK_TYPES]), lambda t: t["n"] > 0)
+    types = F.when(F.size(told) > 0, F.map_from_entries(told))
+    return sums.select(*KEY, "total_messages", *[f"n_{r}" for r in ROLES], types.alias("by_block_type"), F.when((F.col("total_messages") >= 2) & (F.col("_ms") > 0), F.col("_ms")).alias("duration_ms"))
+
+
+def _told_files(messages: DataFrame) -> DataFrame:
+    """A7 of all sources that tell files: sorted where file tools tell them, in order of appearance where patches do."""
+    uses = messages.where(F.col("source").isin(*TELL_FILES, *AS_OF)).select(*KEY, "idx", F.posexplode(F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isin(*FILE_TOOLS, "apply_patch"))).alias("bpos", "b"))
+    args = F.try_parse_json("b.input_json")
+    named = F.when(F.col("source").isin(*TELL_FILES) & F.col("b.name").isin(*FILE_TOOLS), F.array(P.text_at(args, "$.file_path"))).when(F.col("source").isin(*AS_OF) & (F.col("b.name") == "apply_patch"), P.patch_files(P.text_at(args, "$.input")))
+    files = uses.select(*KEY, "idx", F.posexplode(named).alias("at", "f")).where("f is not null").groupBy(*KEY, "f").agg(F.min(F.struct("idx", "at")).alias("first"))
+    order = F.struct(F.when(F.col("source").isin(*AS_OF), F.col("first")), "f")
+    return files.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["f"]).alias("files_modified"))
+
+
 def session_stats(messages: DataFrame, usage: DataFrame | None = None, durations_ms: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """One row a session. ``durations_ms`` and ``files`` replace what the messages tell for the sessions they hold.
 
     Without them, files are told by file tools (claude, commandcode) and patches (codex); other sources have none.
     """
     key = list(KEY)
-    edited = files_modified(messages.where(F.col("source").isin(*TELL_FILES))).unionByName(patched_files(messages.where(F.col("source").isin(*AS_OF))))
-    out = role_counts(messages).join(block_type_map(messages), key, "left").join(tool_frequency(messages), key, "left").join(edited, key, "left").join(durations(messages), key, "left")
+    out = _totals(messages).join(tool_frequency(messages), key, "left").join(_told_files(messages), key, "left")
     for given, column in ((durations_ms, "duration_ms"), (files, "files_modified")):
         if given is not None:
             out = out.join(given.select(*key, F.struct(column).alias("_given")), key, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import slicing as S
 from ..operators import stats as A
 from ..scratch import new_path
 from ..sources import claude, codex, documents, events, heads, readers, registry, writers
@@ -12,7 +13,8 @@ from ..sources.lines import read_lines
 from ..sources.ingest import Ingested
 from ..streaming import running
 from . import views as V
-from .message_queries import CONV
+from .message_queries import BUDGET, CONV
+from .message_queries import QUERIES as MESSAGE_QUERIES
 
 QUERIES: dict = {}
 
@@ -327,3 +329,21 @@ def gemini_files(spark, sf_dir):
     got = documents.ingest_gemini(readers.documents(files), readers.facts_of(lines, files))
     told = got.messages.groupBy("session_id").agg(F.count("*").alias("messages"), F.sum(F.char_length("content")).alias("chars"))
     return told.join(got.sessions.where("file_bytes > 0 and mtime is not null").select("session_id", "raw_line_count"), "session_id")
+
+
+def laid_out(df: DataFrame) -> DataFrame:
+    """The rows as a table bucketed by session."""
+    spark = df.sparkSession
+    at = _scratch(spark)
+    return writers.lay_out(df, f"laid_{at[-32:]}", at, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _of_laid_out(name: str, table, work, sql: str) -> None:
+    def run(spark, sf_dir):
+        return work(laid_out(table(spark, sf_dir)))
+
+    QUERIES[name] = (run, sql)
+
+
+_of_laid_out("s6_w2_laid_out", V.conversation_messages, lambda m: S.slice_sessions(m, BUDGET, "head").select("session_id", "idx", "role", "cost"), MESSAGE_QUERIES["w2_head_slice"][1])
+_of_laid_out("s6_a3_laid_out", V.tool_messages, lambda m: A.tool_counts(m).select("session_id", "name", "count", "errors"), MESSAGE_QUERIES["a3_j1_tool_counts"][1])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.schemas import KEY
 from ..operators.render import jsonl_lines
 from .heads import store_of
 
@@ -16,6 +17,17 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("source").parquet(path)
 
 
+def lay_out(df: DataFrame, table: str, path: str, buckets: int = 200, order: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """Parquet files bucketed by session, each bucket one file in order of session and ``order``, as table ``table``.
+
+    Windows, sums and joins by session of laid-out tables with the same number of buckets need no shuffle.
+    """
+    spark = df.sparkSession
+    rows = df.repartition(buckets, *KEY).sortWithinPartitions(*KEY, *[c for c in order if c in df.columns])
+    rows.write.format("parquet").mode("overwrite").bucketBy(buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_jsonl(messages: DataFrame, meta: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Text lines; a session's lines stand together, its meta record first."""
     lines = jsonl_lines(messages, meta)
