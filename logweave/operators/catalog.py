@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.presets import parse_duration
 from ..functions.schemas import KEY
+from .search_index import SearchIndex, indexed_counts
 from .stats import match_counts
 
 # Registry order of the sources; it breaks ties between entries of one id.
@@ -36,12 +37,17 @@ def newest_first(index: DataFrame, limit: int | None = None, offset: int = 0) ->
     return out.limit(limit) if limit is not None else out
 
 
-def with_match(index: DataFrame, messages: DataFrame, query: str) -> DataFrame:
+def _matches(messages: DataFrame | SearchIndex, query: str) -> DataFrame:
+    """A11 by a scan, or through an index."""
+    return indexed_counts(messages, query) if isinstance(messages, SearchIndex) else match_counts(messages, query)
+
+
+def with_match(index: DataFrame, messages: DataFrame | SearchIndex, query: str) -> DataFrame:
     """Sessions that have any matching message."""
-    return index.join(match_counts(messages, query).select("source", F.col("session_id").alias("id")), ["source", "id"], "left_semi")
+    return index.join(_matches(messages, query).select("source", F.col("session_id").alias("id")), ["source", "id"], "left_semi")
 
 
-def list_sessions(index: DataFrame, messages: DataFrame | None = None, query: str | None = None, source: str | None = None, limit: int | None = 20, offset: int = 0, scan: int | None = None) -> DataFrame:
+def list_sessions(index: DataFrame, messages: DataFrame | SearchIndex | None = None, query: str | None = None, source: str | None = None, limit: int | None = 20, offset: int = 0, scan: int | None = None) -> DataFrame:
     """The page of sessions, each with ``total_available`` and ``has_more``. ``scan`` searches the newest so many only."""
     rows = dedup_index(of_source(index, source))
     if query:
@@ -51,11 +57,11 @@ def list_sessions(index: DataFrame, messages: DataFrame | None = None, query: st
     return page.withColumn("has_more", F.lit(offset + limit) < F.col("total_available") if limit is not None else F.lit(False))
 
 
-def search_sessions(index: DataFrame, messages: DataFrame, query: str, top: int = 10, newest: int | None = None, source: str | None = None) -> DataFrame:
+def search_sessions(index: DataFrame, messages: DataFrame | SearchIndex, query: str, top: int = 10, newest: int | None = None, source: str | None = None) -> DataFrame:
     """E2 (T2): the sessions with most matching messages among the ``newest`` (all by default); ties newest first."""
     rows = dedup_index(of_source(index, source))
     rows = newest_first(rows, newest) if newest else rows
-    counts = match_counts(messages, query).withColumnRenamed("session_id", "id")
+    counts = _matches(messages, query).withColumnRenamed("session_id", "id")
     return rows.join(counts, ["source", "id"]).orderBy(F.desc("matches"), F.desc("updated_at"), "id").limit(top)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog as C
+from ..operators import search_index
 from ..operators import slicing as S
 from ..operators import stats as A
 from ..scratch import new_path
@@ -347,3 +349,15 @@ def _of_laid_out(name: str, table, work, sql: str) -> None:
 
 _of_laid_out("s6_w2_laid_out", V.conversation_messages, lambda m: S.slice_sessions(m, BUDGET, "head").select("session_id", "idx", "role", "cost"), MESSAGE_QUERIES["w2_head_slice"][1])
 _of_laid_out("s6_a3_laid_out", V.tool_messages, lambda m: A.tool_counts(m).select("session_id", "name", "count", "errors"), MESSAGE_QUERIES["a3_j1_tool_counts"][1])
+
+
+@query("f4_a11_indexed_counts", MESSAGE_QUERIES["a11_match_counts"][1])
+def indexed_counts(spark, sf_dir):
+    index = search_index.build_index(V.conversation_messages(spark, sf_dir), _scratch(spark))
+    return search_index.indexed_counts(index, "ING").drop("source")
+
+
+@query("t2_indexed_search", MESSAGE_QUERIES["t2_search_top"][1])
+def indexed_search(spark, sf_dir):
+    index = search_index.build_index(V.conversation_messages(spark, sf_dir), _scratch(spark))
+    return C.search_sessions(V.session_index(spark, sf_dir), index, "ing")
