@@ -174,12 +174,24 @@ def object_or_empty(v: Column) -> Column:
     return F.when(is_object(v), F.to_json(v)).when(is_string(v) & is_object(inner), F.to_json(inner)).otherwise("{}")
 
 
-def model_of(v: str | Column, path: str = "$", depth: int = 3) -> Column:
-    """Model or model_name, then the same in info and metadata; to a depth of 3, where the original recurses."""
-    found = F.coalesce(truthy(trim(text_at(v, f"{path}.model"))), truthy(trim(text_at(v, f"{path}.model_name"))))
-    if depth > 1:
-        found = F.coalesce(found, model_of(v, f"{path}.info", depth - 1), model_of(v, f"{path}.metadata", depth - 1))
-    return found
+def model_of(v: str | Column, path: str = "$") -> Column:
+    """Model or model_name of an object, else of its ``info``, else of its ``metadata``, and so on to any depth.
+
+    A stack of objects is worked off, the next one first, in as many steps as the JSON text names the two fields, plus one.
+    """
+    kind = "struct<found:string,stack:array<variant>>"
+    root = F.try_variant_get(col(v), path, "variant")
+    steps = F.size(F.split(F.to_json(root), '"(?:info|metadata)"'))
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.get(s["stack"], F.lit(0))
+        told = F.coalesce(truthy(trim(text_at(top, "$.model"))), truthy(trim(text_at(top, "$.model_name"))))
+        inner = F.filter(F.array(F.try_variant_get(top, "$.info", "variant"), F.try_variant_get(top, "$.metadata", "variant")), lambda x: x.isNotNull() & is_object(x))
+        further = F.struct(told.alias("found"), F.concat(inner, F.slice(s["stack"], 2, F.size(s["stack"]))).alias("stack")).cast(kind)
+        return F.when(s["found"].isNotNull() | (F.size(s["stack"]) == 0), s).otherwise(further)
+
+    start = F.struct(F.lit(None).cast("string").alias("found"), F.array(root).alias("stack")).cast(kind)
+    return F.when(root.isNotNull(), F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["found"]))
 
 
 def tool_result_text(v: Column) -> Column:

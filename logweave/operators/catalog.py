@@ -117,17 +117,23 @@ def prune_candidates(index: DataFrame, age: str, now: Column) -> DataFrame:
 
 
 def apply_tags(tags: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
-    """(session_id, tag) after additions, then removals; both idempotent."""
-    out = tags.select("session_id", "tag")
+    """(session_id, tag, seq) after additions, then removals; both idempotent.
+
+    ``seq`` numbers a session's tags as they were inserted, from 1: those that were there keep their order, new ones follow in
+    the order of the additions' ``seq`` (without one: by name).
+    """
+    numbered = lambda df, turn: df.select("session_id", "tag", F.struct(F.lit(turn).alias("turn"), (F.col("seq") if "seq" in df.columns else F.lit(0)).cast("bigint").alias("seq")).alias("at"))
+    out = numbered(tags, 0)
     if add is not None:
-        out = out.unionByName(add.select("session_id", "tag"))
-    out = out.distinct()
-    return out.join(remove, ["session_id", "tag"], "left_anti") if remove is not None else out
+        out = out.unionByName(numbered(add, 1))
+    out = out.groupBy("session_id", "tag").agg(F.min("at").alias("at"))
+    out = out.join(remove.select("session_id", "tag"), ["session_id", "tag"], "left_anti") if remove is not None else out
+    return out.select("session_id", "tag", F.row_number().over(Window.partitionBy("session_id").orderBy("at", "tag")).cast("bigint").alias("seq"))
 
 
 def with_tags(index: DataFrame, tags: DataFrame, tag: str | None = None) -> DataFrame:
-    """The index with each session's sorted tags; with ``tag`` only sessions that have it."""
-    held = tags.groupBy(F.col("session_id").alias("id")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    """The index with each session's tags in the order of their insertion; with ``tag`` only sessions that have it."""
+    held = apply_tags(tags).groupBy(F.col("session_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag"))), lambda t: t["tag"]).alias("tags"))
     out = index.join(held, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     return out.where(F.array_contains("tags", tag)) if tag else out
 

@@ -11,12 +11,16 @@ from .slicing import costed, ranked, trim_to_assistant, within_budget
 
 
 def diff_sessions(pairs: DataFrame, stats: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """J6 over ``pairs(a, b)`` of session ids: tools and files only in a, only in b, in both; facts of both."""
+    """J6 over ``pairs(a, b)`` of session ids: tools and files only in a, only in b, in both; facts of both.
+
+    Where sources share an id, ``pairs`` may name the sources too (``a_source``, ``b_source``); then only those sessions are compared.
+    """
     facts = stats.select("session_id", "source", "total_messages", "token_usage", F.col("tool_frequency.name").alias("tools"), F.col("files_modified").alias("files"))
     if sessions is not None:
         facts = facts.join(sessions.select("session_id", "source", "model", "created_at"), ["session_id", "source"], "left")
     side = lambda s: facts.select(*[F.col(c).alias(s if c == "session_id" else f"{s}_{c}") for c in facts.columns])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    on = lambda s: [s, f"{s}_source"] if f"{s}_source" in pairs.columns else s
+    both = pairs.join(side("a"), on("a")).join(side("b"), on("b"))
     for what in ("tools", "files"):
         x, y = f"a_{what}", f"b_{what}"
         both = both.withColumns({f"{what}_only_a": F.array_except(x, y), f"{what}_only_b": F.array_except(y, x), f"{what}_both": F.array_intersect(x, y)})

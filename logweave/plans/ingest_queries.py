@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as P
 from ..operators import catalog as C
-from ..operators import search_index
+from ..operators import compare as D
+from ..operators import search_index, snapshots
 from ..operators import slicing as S
 from ..operators import stats as A
 from ..scratch import new_path
@@ -361,3 +363,50 @@ def indexed_counts(spark, sf_dir):
 def indexed_search(spark, sf_dir):
     index = search_index.build_index(V.conversation_messages(spark, sf_dir), _scratch(spark))
     return C.search_sessions(V.session_index(spark, sf_dir), index, "ing")
+
+
+@query("i11_failing_source", """SELECT s AS source, count(*) FILTER (WHERE ok) AS messages, count(*) FILTER (WHERE NOT ok) > 0 AS failed FROM (SELECT s, true AS ok FROM conversations, (VALUES ('commandcode'), ('gemini')) v(s) WHERE role IN ('user', 'assistant') OR s = 'gemini' UNION ALL SELECT 'copilot', false FROM (SELECT count(*) FROM conversations)) GROUP BY s""")
+def failing_source(spark, sf_dir):
+    """Copilot's lines can't be read; the others' rows stay."""
+    broken = copilot_lines(spark, sf_dir).withColumn("value", F.when(F.col("line_no") >= 0, F.raise_error(F.lit("unreadable")).cast("string")))
+    got, failed = registry.store_all(spark, {"commandcode": {"lines": commandcode_lines(spark, sf_dir)}, "copilot": {"lines": broken}, "gemini": {"docs": gemini_docs(spark, sf_dir)}}, _scratch(spark))
+    counts = got.messages.groupBy("source").agg(F.count("*").alias("messages"), F.lit(False).alias("failed"))
+    return counts.unionByName(failed.where("reason is not null").select("source", F.lit(0).cast("bigint").alias("messages"), F.lit(True).alias("failed")))
+
+
+@query("e8_j8_snapshots", MESSAGE_QUERIES["j8_changed_sessions"][1])
+def snapshot_changes(spark, sf_dir):
+    """Two appends; what the second changed."""
+    m, kept = V.conversation_messages(spark, sf_dir), snapshots.Snapshots(spark, _scratch(spark), 16)
+    first = kept.advance(m.where("idx <= 4"))
+    kept.advance(m.where("idx > 4"))
+    return kept.changed(first)
+
+
+@query("e8_j7_snapshots", MESSAGE_QUERIES["j7_new_messages"][1])
+def snapshot_news(spark, sf_dir):
+    """Messages beyond the counts of a snapshot."""
+    m, kept = V.conversation_messages(spark, sf_dir), snapshots.Snapshots(spark, _scratch(spark), 16)
+    first = kept.advance(m.where((F.col("idx") <= 4) & (F.col("session_id").cast("bigint") % 5 != 0)))
+    kept.advance(m.where("idx = 5"))
+    return D.new_messages(m, kept.before(first)).select("session_id", "idx")
+
+
+@query("u3_insertion_order", """WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY conv_id, role) SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(role, ',' ORDER BY role = 'system', CASE WHEN role = 'system' THEN 0 ELSE t END) AS tags FROM f GROUP BY conv_id""")
+def insertion_order(spark, sf_dir):
+    """Roles as tags, in the order of their first turns, the system's added afterwards; all are added again."""
+    said = V.conversation_messages(spark, sf_dir).select("session_id", F.col("role").alias("tag"), F.col("idx").alias("seq"))
+    first = C.apply_tags(said.limit(0), said.where("tag != 'system'"))
+    tags = C.apply_tags(first, said)
+    return C.with_tags(tags.select(F.col("session_id").alias("id")).distinct(), tags).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("p14_deep_model", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'm' || user_id WHEN event_id % 3 = 1 THEN 'n' || event_id END AS model FROM events")
+def deep_model(spark, sf_dir):
+    """Names of models as many levels deep as the event's number says, up to 20, under info or metadata, beside a deeper one that comes later."""
+    e = V.table(spark, sf_dir, "events")
+    depth = (F.pmod(F.col("event_id"), F.lit(20)) + 1).cast("int")
+    own = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"model":" m'), F.col("user_id").cast("string"), F.lit('"'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('"model":"","model_name":"n'), F.col("event_id").cast("string"), F.lit('"'))).otherwise(F.lit('"other":1'))
+    under = F.when(F.col("event_id") % 2 == 0, F.lit('{"info":')).otherwise(F.lit('{"info":{"x":[]},"metadata":'))
+    text = F.concat(F.repeat(under, depth), F.lit("{"), own, F.lit("}"), F.repeat(F.lit("}"), depth))
+    return e.select("event_id", P.model_of(F.try_parse_json(text)).alias("model"))

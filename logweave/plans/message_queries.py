@@ -328,7 +328,7 @@ def prune(spark, sf_dir):
     return C.prune_candidates(V.session_index(spark, sf_dir), "7d", F.lit("2026-01-10 00:00:00").cast("timestamp")).select("id", "updated_at")
 
 
-@query("u3_j10_tags", f"""WITH {INDEX}, t AS (SELECT CAST(conv_id AS VARCHAR) AS id, role AS tag FROM conversations UNION SELECT CAST(user_id AS VARCHAR), event_type FROM events), k AS (SELECT * FROM t WHERE tag <> 'system'), g AS (SELECT id, array_to_string(list_sort(list(tag)), ',') AS tags FROM k GROUP BY id)
+@query("u3_j10_tags", f"""WITH {INDEX}, t AS (SELECT CAST(conv_id AS VARCHAR) AS id, role AS tag, 0 AS turn FROM conversations UNION SELECT CAST(user_id AS VARCHAR), event_type, 1 FROM events), k AS (SELECT * FROM t WHERE tag <> 'system'), g AS (SELECT id, string_agg(tag, ',' ORDER BY turn, tag) AS tags FROM k GROUP BY id)
 SELECT dedup.id, source, coalesce(tags, '') AS tags FROM dedup LEFT JOIN g ON g.id = dedup.id""")
 def tags(spark, sf_dir):
     tag = lambda t, i, c: V.table(spark, sf_dir, t).select(F.col(i).cast("string").alias("session_id"), F.col(c).alias("tag"))
