@@ -22,6 +22,9 @@ from logweave.llm.queries import END_ID, TARGETS, domain_labels, vocabulary
 #: Bytes of chunks that a worker keeps in the last stage: less than in the query alone, as workers carry other stages too.
 KEPT_BYTES = 40_000_000
 
+#: Bytes of rows that are sent to a Python worker at once: both the executor and the worker hold them.
+BATCH_BYTES = 8 << 20
+
 #: Scratch of the stage before.
 _LEFT: set[str] = set()
 
@@ -32,6 +35,7 @@ def stage(work):
     @wraps(work)
     def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(_LEFT, docs)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         before = live()
         out = work(spark, docs, sf_dir)
         _LEFT.clear()
