@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import detail_queries, ingest_queries, message_queries
+from . import detail_queries, ingest_queries, message_queries, source_queries
 
-_PARTS = (message_queries, ingest_queries, detail_queries)
+_PARTS = (message_queries, ingest_queries, detail_queries, source_queries)
 
 
 def queries() -> dict[str, Callable]:
