@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
@@ -10,6 +10,8 @@ from ..functions.presets import PRESETS
 from ..operators import catalog as C
 from ..operators import compare as D
 from ..operators import context, reading, render, slicing as S, stats as A
+from ..scratch import new_path
+from ..sources import writers
 from . import views as V
 
 QUERIES: dict = {}
@@ -378,3 +380,32 @@ def envelopes(spark, sf_dir):
     v = F.try_parse_json("json")
     parts = F.try_variant_get(v, "$.messages", "array<variant>")
     return render.envelopes(m, meta).select("session_id", v.isNotNull().alias("is_json"), F.size(parts).cast("bigint").alias("messages"), F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, x: n + F.try_variant_get(x, "$.tokens_estimate", "bigint")).alias("tokens"))
+
+
+#: JSON of each session's meta row about its slice from the head, and of each message up to its blocks.
+WRITTEN = f"""{trimmed(chosen('idx'))}, tot AS (SELECT session_id, source, count(*) AS n, CAST(sum(cost) AS BIGINT) AS s FROM c GROUP BY session_id, source), got AS (SELECT session_id, count(*) AS k, CAST(sum(cost) AS BIGINT) AS s, min(idx) AS a, max(idx) AS b FROM cut GROUP BY session_id),
+meta AS (SELECT session_id, '"source":"' || source || '","session_id":"' || session_id || '","total_messages":' || n || ',"total_tokens":' || tot.s || ',"returned_messages":' || k || ',"returned_tokens":' || got.s || ',"token_budget":{BUDGET},"anchor":"head","range_from":' || a || ',"range_to":' || b || ',"has_more_before":' || (a > 1) || ',"has_more_after":' || (b < n)
+  || CASE WHEN a > 1 THEN ',"cursor_before":' || (a - 1) ELSE '' END || CASE WHEN b < n THEN ',"cursor_after":' || (b + 1) ELSE '' END || '}}' AS meta FROM tot JOIN got USING (session_id)),
+said AS (SELECT session_id, idx, '"index":' || idx || ',"role":"' || role || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.000Z') || '","tokens_estimate":' || cost || ',"content":' || CAST(to_json(text) AS VARCHAR) AS told, CAST(to_json(text) AS VARCHAR) AS q FROM c)"""
+
+
+@query("s7_whole_lines", f"""WITH {WRITTEN} SELECT session_id, idx AS line_no, md5('{{"type":"message",' || told || ',"blocks":[{{"type":"text","text":' || q || '}}]}}') AS value_md5 FROM said UNION ALL SELECT session_id, 0, md5('{{"type":"meta",' || meta) FROM meta""")
+def whole_lines(spark, sf_dir):
+    """Lines as they are written, and read back from their files."""
+    m = V.conversation_messages(spark, sf_dir)
+    meta = S.slice_meta(S.costed(m), S.slice_sessions(m, BUDGET, "head"), BUDGET, "head")
+    at = new_path(spark, "jsonl")
+    writers.write_jsonl(m, meta, at)
+    value = F.try_parse_json("value")
+    own = F.coalesce(P.text_at(value, "$.session_id"), F.lit(""))
+    read = spark.read.text(at).select("value", own.alias("own"), F.coalesce(P.long_at(value, "$.index"), F.lit(0)).cast("int").alias("line_no"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    # a session's lines stand together, behind its meta record
+    session = F.last(F.nullif("own", F.lit("")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
+    return read.select(session.alias("session_id"), "line_no", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+
+
+@query("s8_whole_envelopes", f"""WITH {WRITTEN} SELECT session_id, md5('{{"api_version":1,"meta":{{' || any_value(meta) || ',"messages":[' || string_agg('{{' || told || '}}', ',' ORDER BY idx) || ']}}') AS json_md5 FROM said JOIN meta USING (session_id) GROUP BY session_id""")
+def whole_envelopes(spark, sf_dir):
+    m = V.conversation_messages(spark, sf_dir)
+    meta = S.slice_meta(S.costed(m), S.slice_sessions(m, BUDGET, "head"), BUDGET, "head")
+    return render.envelopes(m, meta).select("session_id", F.md5(F.col("json").cast("binary")).alias("json_md5"))
