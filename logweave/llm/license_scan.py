@@ -72,9 +72,66 @@ SENTENCES = {
     "all rights reserved": "reserved",
 }
 
-# Licence identifiers that may stand behind "SPDX-License-Identifier:".
+# Further sentences of public licence texts.
+SENTENCES |= {
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa4_line",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc_warranty",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd_warranty",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gpl_copying",
+    "gnu general public license version 3 29 june 2007": "gpl3_title",
+    "gnu general public license version 2 june 1991": "gpl2_title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3_title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21_title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3_title",
+    "apache license version 2 0 january 2004": "apache2_title",
+    "mozilla public license version 2 0": "mpl2_title",
+    "boost software license version 1 0 august 17th 2003": "boost_title",
+}
+#: Grants under one version of the GPL, with the version before or behind the publisher.
+for _v in ("2", "3"):
+    _grant = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+    for _tail in (f"version {_v} as published by the free software foundation", f"as published by the free software foundation version {_v}", f"as published by the free software foundation version {_v} of the license", f"as published by the free software foundation either version {_v} of the license"):
+        SENTENCES[f"{_grant} {_tail}"] = f"gpl{_v}_grant"
+
+# What licences are called in notices, by the identifier of their line.
+NAMES = {
+    "mit_line": ["mit license", "mit"],
+    "apache2_line": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0"],
+    "gpl2_line": ["gnu general public license version 2", "gnu gpl version 2", "gpl version 2", "gpl 2 0", "gplv2", "gpl v2"],
+    "gpl3_line": ["gnu general public license version 3", "gnu gpl version 3", "gpl version 3", "gpl 3 0", "gplv3", "gpl v3"],
+    "lgpl3_line": ["gnu lesser general public license version 3", "lgpl version 3", "lgpl 3 0", "lgplv3"],
+    "agpl3_line": ["gnu affero general public license version 3", "agpl version 3", "agpl 3 0", "agplv3"],
+    "bsd2_line": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause"],
+    "bsd3_line": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "bsd 3 clause"],
+    "isc_line": ["isc license", "isc"],
+    "mpl2_line": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"],
+    "epl2_line": ["eclipse public license 2 0", "eclipse public license version 2 0", "epl 2 0"],
+    "boost_line": ["boost software license version 1 0", "boost software license", "bsl 1 0"],
+    "zlib_line": ["zlib license"],
+    "cc0_line": ["cc0 1 0"],
+    "ccby4_line": ["cc by 4 0"],
+    "ccbysa4_line": ["cc by sa 4 0"],
+    "ccbync4_line": ["cc by nc 4 0"],
+    "unlicense_line": ["unlicense"],
+}
+NAMES |= {k.replace("_line", "_later_line"): [f"{n} or {x}" for n in NAMES[k] for x in ("later", "any later version")] for k in ("gpl2_line", "gpl3_line", "lgpl3_line", "agpl3_line")}
+#: Notices are an opening and a name; what stands in SENTENCES already keeps its identifier.
+OPENINGS = ["licensed under", "licensed under the", "license", "licence", "this project is licensed under the", "this software is licensed under the", "this work is licensed under the", "this file is licensed under the", "released under the", "distributed under the", "available under the"]
+for _id, _names in NAMES.items():
+    for _n in _names:
+        for _o in OPENINGS:
+            if "licen" in _o or "licen" in _n:
+                SENTENCES.setdefault(f"{_o} {_n}", _id)
+
+# Licence identifiers that may stand behind "SPDX-License-Identifier:", and old names of some.
 SPDX = ["MIT", "MIT-0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "Zlib", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+OLD_SPDX = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
 SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", s.lower()): f"spdx_{s.lower()}" for s in SPDX}
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", s.lower()): f"spdx_{s.lower()}-only" for s in OLD_SPDX}
+#: An expression of several identifiers is cut before each further one, so often at most.
+OPERANDS = 6
+#: The identifier that an operator follows, in lower-cased text, and what stands between.
+EXPRESSION = r"(spdx-license-identifier:[\x20\x09]*)\(?([a-z0-9.+-]+)\)?[\x20\x09]+(?:or|and)[\x20\x09]+"
 
 # Ordered rules, the licence and its run of identifiers.
 RULES = [
@@ -110,6 +167,28 @@ RULES = [
     ("BSL-1.0", ["boost_line"]),
     ("BSL-1.0", ["boost_grant"]),
 ]
+RULES += [
+    ("ISC", ["isc_grant", "isc_warranty"]),
+    ("GPL-2.0-only", ["gpl2_grant"]),
+    ("GPL-3.0-only", ["gpl3_grant"]),
+    ("GPL-2.0-only", ["gpl2_title"]),
+    ("GPL-3.0-only", ["gpl3_title"]),
+    ("LGPL-2.1-only", ["lgpl21_title"]),
+    ("LGPL-3.0-only", ["lgpl3_title"]),
+    ("AGPL-3.0-only", ["agpl3_title"]),
+    ("Apache-2.0", ["apache2_title"]),
+    ("MPL-2.0", ["mpl2_title"]),
+    ("BSL-1.0", ["boost_title"]),
+    ("GPL-2.0-or-later", ["gpl2_later_line"]),
+    ("GPL-3.0-or-later", ["gpl3_later_line"]),
+    ("LGPL-3.0-or-later", ["lgpl3_later_line"]),
+    ("AGPL-3.0-or-later", ["agpl3_later_line"]),
+    ("BSD-2-Clause", ["bsd2_line"]),
+    ("BSD-3-Clause", ["bsd3_line"]),
+    ("BSD-2-Clause", ["bsd_grant", "bsd_warranty"]),
+    ("ISC", ["isc_line"]),
+    ("Zlib", ["zlib_line"]),
+]
 RULES += [(s, [f"spdx_{s.lower()}"]) for s in SPDX]
 #: Reported where no rule before it matches: the line also stands in the headers of open licences.
 LAST = ("Proprietary", "reserved")
@@ -119,8 +198,35 @@ TRIGGERS = ["licen", "permission", "copyright", "warrant", "redistribut", "domai
 
 #: A piece ends at a line break, or after one of these marks if white space follows.
 PIECE_END = r"[.!?;][\x20\x09-\x0D]+"
-#: The known sentences between piece ends ("|"), longest first; each space may be an end, but two ends are a blank line.
-KNOWN = r"(?<=\| )(?:" + "|".join(s.replace(" ", r" (?:\| )?") for s in sorted(SENTENCES, key=len, reverse=True)) + r")(?= \|)"
+#: A hint at a file ends a notice, as a full stop would.
+HINT = r"[\x20\x09]*[,(][\x20\x09]*see[\x20\x09]+"
+
+
+def one_of(sentences: list[str]) -> str:
+    """Pattern of any of the sentences, the longest that fits; each space may be a piece end ("|"), but two ends are a blank line.
+
+    Words that sentences begin with alike are looked at once.
+    """
+    tree: dict = {}
+    for s in sentences:
+        node = tree
+        for word in s.split():
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def rest(node: dict) -> str:
+        inner = [word + rest(below) for word, below in sorted(node.items()) if word]
+        if not inner:
+            return ""
+        if len(inner) == 1 and "" not in node:
+            return r" (?:\| )?" + inner[0]
+        return r"(?: (?:\| )?(?:" + "|".join(inner) + "))" + ("?" if "" in node else "")
+
+    return "(?:" + "|".join(word + rest(below) for word, below in sorted(tree.items())) + ")"
+
+
+#: The known sentences between piece ends.
+KNOWN = r"(?<=\| )" + one_of(list(SENTENCES)) + r"(?= \|)"
 
 
 def pieces(text: Column) -> Column:
@@ -130,6 +236,8 @@ def pieces(text: Column) -> Column:
     """
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     steps = [
+        *[(EXPRESSION, "$1$2\n$1")] * (OPERANDS - 1),
+        (HINT, ". see "),
         (r"\r\n?", "\n"),
         (r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+", "H"),
         (r"\n[^a-z0-9H]*+", "S"),
@@ -184,6 +292,10 @@ def oracle() -> str:
     Pieces are numbered within their document and paragraph; a known sentence that begins at a piece is compared with the
     pieces from there on. Of the sentences that begin at one piece the longest counts, and the next is looked for behind it.
     """
+    expressions = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for _ in range(OPERANDS - 1):
+        expressions = f"regexp_replace({expressions}, '{EXPRESSION}', '\\1\\2' || chr(10) || '\\1', 'g')"
+    expressions = f"regexp_replace({expressions}, '{HINT}', '. see ', 'g')"
     quoted = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps = ["s0 AS (SELECT doc_id, n, ids, ' ' || coalesce(ids, '') || ' ' AS seq, [] :: VARCHAR[] AS got FROM joined)"]
     for k, (name, run) in enumerate(RULES):
@@ -191,7 +303,7 @@ def oracle() -> str:
         steps.append(f"s{k + 1} AS (SELECT doc_id, n, ids, replace(seq, '{pattern}', ' | ') AS seq, CASE WHEN contains(seq, '{pattern}') THEN list_append(got, '{name}') ELSE got END AS got FROM s{k})")
     return rf"""
 WITH RECURSIVE known(s, i) AS (VALUES {quoted}),
-low AS (SELECT doc_id, replace(replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+low AS (SELECT doc_id, replace(replace({expressions}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
 told AS (SELECT doc_id, t FROM low WHERE regexp_matches(t, '{"|".join(TRIGGERS)}')),
 line AS (SELECT doc_id, unnest(l) AS l, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM told)),
 para AS (SELECT doc_id, k, l, count(*) FILTER (WHERE NOT regexp_matches(l, '[a-z0-9]')) OVER (PARTITION BY doc_id ORDER BY k) AS para FROM line),
