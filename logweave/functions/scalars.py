@@ -319,7 +319,7 @@ def relative_time(ts: str | Column, now: Column) -> Column:
 
 def shorten_home(path: str | Column, home: str) -> Column:
     """P23."""
-    return F.when(F.startswith(col(path), F.lit(home)), F.concat(F.lit("~"), F.substring(col(path), len(home) + 1, 1 << 20))).otherwise(col(path))
+    return F.when(F.startswith(col(path), F.lit(home)), F.concat(F.lit("~"), col(path).substr(F.lit(len(home) + 1), F.length(col(path))))).otherwise(col(path))
 
 
 def etag(updated_at: str | Column, total: str | Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as P
+from ..functions.presets import preset
 from ..functions.schemas import BLOCKS
 from ..operators import catalog as C
 from ..operators import explode as X
@@ -157,3 +158,70 @@ def gemini_blocks(spark, sf_dir):
 @query("i3_a5_gemini_usage", "SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(sum(turn + 10) AS BIGINT) AS input, CAST(sum(turn) AS BIGINT) AS output, 3 * count(*) AS cache_read FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def gemini_usage(spark, sf_dir):
     return A.token_usage(documents.ingest_gemini(gemini_docs(spark, sf_dir)).usage).select("session_id", "token_usage.input", "token_usage.output", "token_usage.cache_read")
+
+
+def _tr(e: str, most: int | None) -> str:
+    return e if most is None else f"(CASE WHEN length({e}) <= {most} THEN {e} ELSE substr({e}, 1, {most - 3}) || '...' END)"
+
+
+def _rendered(content: int | None, args: str, result: str, thought: str) -> str:
+    """SQL of a rendered message: its parts that are not blank, by lines."""
+    parts = f"[{_tr('said', content)}, {thought}, {args}, {result}]"
+    return f"md5('## #' || event_id || ' assistant' || chr(10) || array_to_string(list_filter({parts}, lambda p: trim(p) <> ''), chr(10)))"
+
+
+RESULT = "(CASE WHEN event_id % 3 = 0 THEN '[ERROR] ' ELSE '' END || {})"
+THOUGHT = "('<thinking>' || chr(10) || {} || chr(10) || '</thinking>')"
+SHOWN = "('{ file_path: /f/' || event_id || ', n: ' || event_id || ', q: null, z: ' || z || ' }')"
+
+
+@query("p21_rendered_blocks", f"""WITH e AS (SELECT event_id, 'text ' || repeat('ab', CAST(event_id % 1200 AS INTEGER)) AS said, repeat('t', CAST(150 + event_id % 100 AS INTEGER)) AS thought, repeat('z', CAST(event_id % 250 AS INTEGER)) AS z, repeat('r', CAST(event_id % 700 AS INTEGER)) AS told FROM events)
+SELECT event_id, {_rendered(80, "'Edit'", "'[result hidden]'", "''")} AS minimal, {_rendered(500, "'Edit ' || " + _tr(SHOWN, 60), RESULT.format(_tr('told', 80)), "''")} AS standard, {_rendered(2000, "'Edit ' || " + _tr(SHOWN, 200), RESULT.format(_tr('told', 500)), THOUGHT.format(_tr('thought', 200)))} AS verbose,
+  {_rendered(None, "'Edit {\"file_path\":\"/f/' || event_id || '\",\"n\":' || event_id || ',\"q\":null,\"z\":\"' || z || '\"}'", RESULT.format('told'), THOUGHT.format('thought'))} AS "full" FROM e""")
+def rendered_blocks(spark, sf_dir):
+    """A text, a thought, a call and its result in every preset; lengths pass each cap."""
+    e = V.table(spark, sf_dir, "events")
+    n, many = F.col("event_id"), lambda c, k: F.repeat(F.lit(c), F.pmod(F.col("event_id"), F.lit(k)).cast("int"))
+    args = F.concat(F.lit('{"file_path":"/f/'), n.cast("string"), F.lit('","n":'), n.cast("string"), F.lit(',"q":null,"z":"'), many("z", 250), F.lit('"}'))
+    blocks = F.array(
+        X.block("text", text=F.concat(F.lit("text "), many("ab", 1200))),
+        X.block("thinking", text=F.concat(F.repeat(F.lit("t"), 150), many("t", 100))),
+        X.block("tool_use", id=F.lit("c"), name=F.lit("Edit"), input_json=args),
+        X.block("tool_result", tool_use_id=F.lit("c"), content=many("r", 700), is_error=n % 3 == 0),
+    ).cast(BLOCKS)
+    rows = e.select("event_id", F.col("event_id").alias("idx"), F.lit("assistant").alias("role"), blocks.alias("blocks"))
+    return rows.select("event_id", *[F.md5(P.render_message(preset(p)).cast("binary")).alias(p) for p in ("minimal", "standard", "verbose", "full")])
+
+
+@query("p1_p10_p11_outputs", """WITH e AS (SELECT event_id, event_id % 8 AS k, CAST(event_id AS VARCHAR) AS i FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'plain ' || i WHEN 1 THEN 'inner ' || i WHEN 2 THEN '{"x":' || i || '}' WHEN 3 THEN '{"a":' || i || '}' WHEN 4 THEN '[{"text":"a' || i || '","type":"text"},{"type":"image"},{"text":"b","type":"text"}]' WHEN 5 THEN i WHEN 6 THEN repeat('x', 500) || '…' ELSE '' END AS preview,
+  CASE k WHEN 1 THEN '{"output":"inner ' || i || '"}' WHEN 2 THEN '{"x":' || i || '}' WHEN 3 THEN '{"a":' || i || '}' ELSE '{}' END AS object,
+  CASE k WHEN 0 THEN 'plain  ' || i WHEN 1 THEN '{"output":"inner ' || i || '"}' WHEN 2 THEN '{"x":' || i || '}' WHEN 4 THEN 'a' || i || chr(10) || 'b' WHEN 6 THEN repeat('x', 600) WHEN 7 THEN '  ' ELSE '' END AS told FROM e""")
+def outputs(spark, sf_dir):
+    """Outputs of each kind: text, JSON in text with and without an output, objects, parts, numbers, long and blank texts."""
+    i = F.col("event_id").cast("string")
+    kinds = [
+        F.concat(F.lit('"plain  '), i, F.lit('"')),
+        F.concat(F.lit('"{\\"output\\":\\"inner '), i, F.lit('\\"}"')),
+        F.concat(F.lit('"{\\"x\\":'), i, F.lit('}"')),
+        F.concat(F.lit('{"a":'), i, F.lit("}")),
+        F.concat(F.lit('[{"type":"text","text":"a'), i, F.lit('"},{"type":"image"},{"type":"text","text":"b"}]')),
+        i,
+        F.concat(F.lit('"'), F.repeat(F.lit("x"), 600), F.lit('"')),
+        F.lit('"  "'),
+    ]
+    v = F.try_parse_json(F.element_at(F.array(*kinds), (F.pmod("event_id", F.lit(8)) + 1).cast("int")))
+    rows = V.table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    return rows.select("event_id", P.preview_output(F.col("v")).alias("preview"), P.object_or_empty(F.col("v")).alias("object"), P.tool_result_text(F.col("v")).alias("told"))
+
+
+@query("p23_texts", """WITH e AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * 977 % 5000000 AS ago FROM events)
+SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', ((n * 10 + 512) // 1024) / 10.0) || ' KB' ELSE printf('%.1f', ((n * 10 + 524288) // 1048576) / 10.0) || ' MB' END AS size,
+  CASE WHEN ago < 60 THEN 'just now' WHEN ago < 3600 THEN ago // 60 || 'm ago' WHEN ago < 86400 THEN ago // 3600 || 'h ago' WHEN ago < 172800 THEN 'yesterday' WHEN ago < 2592000 THEN ago // 86400 || 'd ago' ELSE strftime(TIMESTAMP '2026-03-01 00:00:00' - to_seconds(ago), '%Y-%m-%d') END AS age,
+  CASE WHEN event_id % 2 = 0 THEN '~/p/' || event_id ELSE '/srv/p/' || event_id END AS path, CASE WHEN ago < 60 THEN ago || 's' WHEN ago < 3600 THEN ago // 60 || 'm ' || ago % 60 || 's' ELSE ago // 3600 || 'h ' || ago // 60 % 60 || 'm' END AS duration FROM e""")
+def texts(spark, sf_dir):
+    """Sizes, ages, folders and durations of every unit."""
+    n, now = F.col("event_id"), F.lit("2026-03-01 00:00:00").cast("timestamp")
+    rows = V.table(spark, sf_dir, "events").select("event_id", (n * n * 37).alias("n"), (n * 977 % 5000000).alias("ago"), F.concat(F.when(n % 2 == 0, "/home/u").otherwise("/srv"), F.lit("/p/"), n.cast("string")).alias("path"))
+    when = F.timestamp_seconds(F.unix_timestamp(now) - F.col("ago"))
+    return rows.select("event_id", P.bytes_text("n").alias("size"), P.relative_time(when, now).alias("age"), P.shorten_home("path", "/home/u").alias("path"), P.duration_text(F.col("ago") * 1000).alias("duration"))
