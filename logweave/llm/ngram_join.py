@@ -376,19 +376,81 @@ def sifted(keys: DataFrame) -> DataFrame:
     return kept
 
 
+def group_spans(chunks: DataFrame) -> DataFrame:
+    """Per chunk and range, for each of the chunk's distinct tokens whether documents of two groups hold it (1) or not (0)."""
+
+    def span(table: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+        ends = [np.frombuffer(x, "<i8").reshape(2, -1) for x in table.column("counts").to_pylist()]
+        flat = np.concatenate(tokens)
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+        low, high = (f.reduceat(np.concatenate([e[k] for e in ends])[order], first) for k, f in enumerate((np.minimum, np.maximum)))
+        open_ = np.empty(len(flat), "<u2")
+        open_[order] = np.repeat(low != high, np.diff(np.r_[first, len(flat)]))
+        cuts = np.cumsum([len(t) for t in tokens])[:-1]
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": pa.array([x.tobytes() for x in np.split(open_, cuts)], pa.binary())})
+
+    return chunks.where("kind = 1").select("chunk", "part", "counts", "tokens").groupBy("part").applyInArrow(span, "chunk string, part int, counts binary")
+
+
+def group_chunks(sets: DataFrame, parts: int) -> DataFrame:
+    """Chunks over whole sets (doc_id, group, tokens); with each distinct token go its least and largest group."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        name, k = TaskContext.get().partitionId(), 0
+
+        def rows():
+            nonlocal k
+            for batch in (part for whole in batches for part in _parts(whole, "tokens")):
+                k += 1
+                got = _sets(batch.column("tokens"))
+                size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+                group = np.repeat(batch.column("group").to_numpy(), size)
+                distinct, place = np.unique(np.concatenate(got), return_inverse=True)
+                order = np.argsort(place, kind="stable")
+                first = np.searchsorted(place[order], np.arange(len(distinct)))
+                ends = np.stack([f.reduceat(group[order], first) for f in (np.minimum, np.maximum)]) if len(distinct) else np.zeros((2, 0), np.int64)
+                chunk = f"{name}-{k}"
+                yield _pack(0, chunk, -1, doc_ids=batch.column("doc_id").to_pylist(), sizes=size.tolist(), tokens=place.astype("<u4").tobytes())
+                edge = np.searchsorted((distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+                for r in np.flatnonzero(np.diff(edge)):
+                    x, y = edge[r], edge[r + 1]
+                    yield _pack(1, chunk, int(r), counts=ends[:, x:y].astype("<i8").tobytes(), tokens=distinct[x:y].astype("<u8").tobytes())
+
+        yield from _emit(rows())
+        give_back()
+
+    return sets.mapInArrow(split, CHUNKS)
+
+
+def _opened(percent: int):
+    def judge(head: dict, open_: np.ndarray) -> pa.Table:
+        size = np.array(head["sizes"], dtype=np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        n = np.bincount(owner[open_[np.frombuffer(head["tokens"], "<u4")] > 0], minlength=len(size))
+        return pa.table({"doc_id": pa.array(np.array(head["doc_ids"], dtype=np.int64)[n >= needed(size, percent)])})
+
+    return judge
+
+
 def shared_enough(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``keys`` of the documents that can link with another group.
 
     First by the tokens of their prefixes, then, for those that are left, by all tokens: a link needs an overlap of
-    ``needed``, so that many of a document's tokens must stand in documents of other groups.
+    ``needed``, so that many of a document's tokens must stand in documents of other groups. Whole sets are looked at in chunks, as in the
+    screen: no row is made for each token of each document.
     """
     prefix = sifted(keys)
     docs = prefix.groupBy("doc_id").agg(F.first("group").alias("group"))
-    least = F.ceil(F.size("tokens") * F.lit(percent) / 100).cast("int")
-    whole = written(docs.join(sets.hint("merge"), "doc_id").select("doc_id", "group", least.alias("least"), F.explode("tokens").alias("token")), "left-tokens")
-    left = sifted(whole).select("doc_id").distinct()
+    whole = written(docs.join(sets.hint("merge"), "doc_id").select("doc_id", "group", "tokens"), "left-sets")
+    total = whole.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    chunks = written(group_chunks(whole, int(total // RANGE_TOKENS) + 1), "left-chunks")
+    left = _with_counts(chunks, group_spans(chunks), _opened(percent), "doc_id long").distinct()
     kept = written(prefix.join(left.hint("merge"), "doc_id", "left_semi"), "left-keys")
-    discard(prefix, whole)
+    discard(prefix, whole, chunks)
     return kept
 
 
