@@ -65,16 +65,19 @@ def ingest_claude(lines: DataFrame, facts: DataFrame | None = None) -> Ingested:
     at = lambda path: P.truthy(P.text_at("v", path))
     model = F.coalesce(at("$.model"), at("$.message.model"))
     ts = P.timestamp_text(P.text_at("v", "$.timestamp"))
-    narrow = whole.select("file_path", "line_no", P.text_at("v", "$.uuid").alias("uuid"), F.size("messages").alias("n"), at("$.sessionId").alias("sid"), at("$.cwd").alias("cwd"), at("$.gitBranch").alias("git_branch"), model.alias("model"), ts.alias("ts"), _counters(kind == "assistant").alias("usage"))
-    kept = last_per_uuid(narrow)
+    fields = ["file_path", "line_no", P.text_at("v", "$.uuid").alias("uuid"), at("$.sessionId").alias("sid")]
+    told = [at("$.cwd").alias("cwd"), at("$.gitBranch").alias("git_branch"), model.alias("model"), ts.alias("ts"), _counters(kind == "assistant").alias("usage")]
     first = lambda c: R.first_of(F.col(c)).alias(c)
-    head = kept.groupBy("file_path").agg(first("sid"), first("cwd"), first("git_branch"), first("model"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
-    head = head.withColumn("session_id", F.coalesce("sid", R.base_name())).withColumn("cwd", F.coalesce("cwd", R.parent()))
-    placed = running(kept.select("file_path", "line_no", "n", "ts"), ["file_path"], "line_no", {"raw_line_index": F.lit(1)})
-    placed = placed.join(head.select("file_path", F.lit("claude").alias("source"), "session_id"), "file_path").where("n > 0")
+    named = lambda df: df.withColumn("session_id", F.coalesce("sid", R.base_name()))
+    # places need the number of messages of each line; sessions and usage are told by the lines' own fields alone
+    kept = last_per_uuid(whole.select(*fields, F.size("messages").alias("n")))
+    placed = running(kept.select("file_path", "line_no", "n"), ["file_path"], "line_no", {"raw_line_index": F.lit(1)})
+    placed = placed.join(named(kept.groupBy("file_path").agg(first("sid"))).select("file_path", F.lit("claude").alias("source"), "session_id"), "file_path").where("n > 0")
+    light = last_per_uuid(R.parsed(lines).select(*fields, *told))
+    head = named(light.groupBy("file_path").agg(first("sid"), first("cwd"), first("git_branch"), first("model"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))).withColumn("cwd", F.coalesce("cwd", R.parent()))
     placed = running(placed, list(KEY), "raw_line_index", {"first": F.col("n")}, ["file_path"])
-    shown = whole.select("file_path", "line_no", "messages").where(F.size("messages") > 0).join(placed, ["file_path", "line_no"])
-    usage = kept.where("usage is not null").join(head.select("file_path", "session_id"), "file_path")
+    shown = whole.select("file_path", "line_no", ts.alias("ts"), "messages").where(F.size("messages") > 0).join(placed, ["file_path", "line_no"])
+    usage = light.where("usage is not null").join(head.select("file_path", "session_id"), "file_path")
     sessions = head.join(facts, "file_path", "left") if facts is not None else head
     return Ingested(X.posed_messages(shown), session_table(sessions.withColumn("source", F.lit("claude"))), _usage(usage, "claude"))
 
