@@ -1,8 +1,10 @@
 """Running sessions (ST1): each new message once, and totals kept up to date.
 
 ``stream_new`` turns a stream of messages, in which rows may come again and in any order, into each message once: Spark keeps
-for each session how many messages of it are known without a gap, and which beyond (J7 with stored counts). Its sink is Spark's file
-sink, whose log makes a replayed batch count once. ``stream_totals`` reads that sink as a stream and keeps each session's totals in the state
+for each session how many messages of it are known without a gap, and which beyond (J7 with stored counts). Sessions share their state
+in ``SLOTS`` slots, so a batch calls Python once a slot and not once a session. Its sink is Spark's file
+sink, whose log makes a replayed batch count once; a batch writes ``FILES`` files at most, so the batches of what reads
+them are as few as its own, whatever the number of shuffle partitions. ``stream_totals`` reads that sink as a stream and keeps each session's totals in the state
 store (update mode); a batch writes the totals of the sessions it touched to a folder of its own number, so a batch that is
 replayed replaces its folder. ``compact_totals`` folds those folders into one.
 
@@ -24,6 +26,10 @@ from ..functions.schemas import KEY, ROLES
 from ..scratch import delete
 
 SUMS = ("total_messages", *[f"n_{r}" for r in ROLES], "tokens")
+#: Slots that hold the state of sessions, by hash: fixed for the life of a checkpoint. A batch writes the slots it touches.
+SLOTS = 1024
+#: Files of new messages that a batch writes.
+FILES = 8
 #: How times stand in a packed message: to the microsecond.
 PACKED = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -59,22 +65,26 @@ def without_gap(known: int, beyond: set[int]) -> int:
 def stream_new(messages: DataFrame) -> DataFrame:
     """Each message of the stream once, by session and ``idx`` (from 1).
 
-    A session's rows are seen in Arrow batches; its state is a count and the numbers that came before their turn.
+    A slot's rows are seen in Arrow batches; a session's state is a count and the numbers that came before their turn.
     """
 
-    def fresh(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, beyond = state.get if state.exists else (0, [])
-        beyond = set(beyond)
+    def fresh(slot: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, beyond = state.get if state.exists else ({}, {})
+        known, beyond = dict(known), {s: set(b) for s, b in beyond.items()}
         for frame in frames:
-            keep = unseen(frame["idx"].tolist(), known, beyond)
-            if any(keep):
+            keep = pd.Series(False, frame.index)
+            for session, numbers in frame.groupby("session")["idx"]:
+                before = known.setdefault(session, 0)
+                keep[numbers.index] = unseen(numbers.tolist(), before, beyond.setdefault(session, set()))
+                known[session] = without_gap(before, beyond[session])
+            if keep.any():
                 yield frame.loc[keep, ["message"]]
-        known = without_gap(known, beyond)
-        state.update((known, sorted(beyond)))
+        state.update((known, {s: sorted(b) for s, b in beyond.items() if b}))
 
-    packed = messages.where("idx > 0").select(*KEY, "idx", F.to_json(F.struct(*messages.columns), PACKED).alias("message"))
-    got = packed.groupBy(*KEY).applyInPandasWithState(fresh, "message string", "known int, beyond array<int>", "append", GroupStateTimeout.NoTimeout)
-    return got.select(F.from_json("message", messages.schema, PACKED).alias("m")).select("m.*")
+    session = F.to_json(F.array(*KEY)).alias("session")
+    packed = messages.where("idx > 0").select(F.pmod(F.xxhash64(*KEY), F.lit(SLOTS)).alias("slot"), session, "idx", F.to_json(F.struct(*messages.columns), PACKED).alias("message"))
+    got = packed.groupBy("slot").applyInPandasWithState(fresh, "message string", "known map<string,int>, beyond map<string,array<int>>", "append", GroupStateTimeout.NoTimeout)
+    return got.select(F.from_json("message", messages.schema, PACKED).alias("m")).select("m.*").repartition(FILES)
 
 
 def start_new(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -87,3 +87,18 @@ def test_known_numbers():
             got += [n for n, new in zip(part, R.unseen(part, known, beyond)) if new]
             known = R.without_gap(known, beyond)
         assert sorted(got) == list(range(1, 20)) and known == 19 and not beyond
+
+
+def test_batches_follow_the_data(spark, tmp_path):
+    """Files and calls of a batch don't grow with shuffle partitions and sessions."""
+    m = V.conversation_messages(spark, SF)
+    at = lambda name: str(tmp_path / name)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        m.repartition(2).write.parquet(at("in"))
+        R.start_new(R.stream_messages(spark, at("in"), m.schema, 2), at("new"), at("c1")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(list((tmp_path / "new").glob("*.parquet"))) <= R.FILES
+    assert rows(spark.read.schema(m.schema).parquet(at("new"))) == rows(m)
