@@ -36,9 +36,9 @@ class SearchIndex:
 
 
 def grams(text: Column) -> Column:
-    """Distinct trigrams of a text; the text itself if it is shorter."""
+    """Distinct trigrams of a text, in one pass over it; the text itself if it is shorter."""
     n = F.char_length(text)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda k: F.substring(text, k, F.lit(3))))).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 3, F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))."), F.lit(1)))).when(n > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def build_index(messages: DataFrame, path: str, block: int = BLOCK) -> SearchIndex:

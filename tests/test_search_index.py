@@ -70,3 +70,17 @@ def test_an_index_is_opened_again(spark, indexed, tmp_path):
 @pytest.mark.parametrize("name", ["f4_a11_indexed_counts", "t2_indexed_search"])
 def test_queries_equal_sql(spark, name):
     same(spark, registry.queries()[name], registry.oracle_sql()[name], SF)
+
+
+def test_grams_of_odd_and_long_texts(spark):
+    import time
+
+    texts = ["", "a", "ab", "abc", "aaaa", "a\nb\r\nc", "é x\u0085y", "x😀y😀z", "😀😀😀😀", "é́ab", "a\x00bc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [list(dict.fromkeys(t[k : k + 3] for k in range(len(t) - 2))) if len(t) > 2 else [t] if t else [] for t in texts]
+    assert [r["g"] for r in df.select(X.grams(F.col("t")).alias("g")).collect()] == want
+    # work is in proportion to the text
+    began = time.time()
+    one = spark.range(1).select(F.repeat(F.lit("some text "), 60_000).alias("t"))
+    assert one.select(F.size(X.grams(F.col("t"))).alias("n")).first()["n"] == 10
+    assert time.time() - began < 20
