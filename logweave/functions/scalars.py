@@ -177,21 +177,27 @@ def object_or_empty(v: Column) -> Column:
 def model_of(v: str | Column, path: str = "$") -> Column:
     """Model or model_name of an object, else of its ``info``, else of its ``metadata``, and so on to any depth.
 
-    A stack of objects is worked off, the next one first, in as many steps as the JSON text names the two fields, plus one.
+    A stack of values is worked off, the next one first, in as many steps as the JSON text names the two fields, plus one. A
+    step takes a value's fields apart at once; one that is no object has none.
     """
     kind = "struct<found:string,stack:array<variant>>"
-    root = F.try_variant_get(col(v), path, "variant")
-    steps = F.size(F.split(F.to_json(root), '"(?:info|metadata)"'))
+    fields = "struct<model:variant,model_name:variant,info:variant,metadata:variant>"
+
+    def further(top: Column, rest: Column) -> Column:
+        told = F.coalesce(truthy(trim(text_at(top["model"], "$"))), truthy(trim(text_at(top["model_name"], "$"))))
+        inner = F.filter(F.array(top["info"], top["metadata"]), lambda x: x.isNotNull())
+        return F.struct(told.alias("found"), F.concat(inner, rest).alias("stack")).cast(kind)
 
     def step(s: Column, _: Column) -> Column:
-        top = F.get(s["stack"], F.lit(0))
-        told = F.coalesce(truthy(trim(text_at(top, "$.model"))), truthy(trim(text_at(top, "$.model_name"))))
-        inner = F.filter(F.array(F.try_variant_get(top, "$.info", "variant"), F.try_variant_get(top, "$.metadata", "variant")), lambda x: x.isNotNull() & is_object(x))
-        further = F.struct(told.alias("found"), F.concat(inner, F.slice(s["stack"], 2, F.size(s["stack"]))).alias("stack")).cast(kind)
-        return F.when(s["found"].isNotNull() | (F.size(s["stack"]) == 0), s).otherwise(further)
-
-    start = F.struct(F.lit(None).cast("string").alias("found"), F.array(root).alias("stack")).cast(kind)
-    return F.when(root.isNotNull(), F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["found"]))
+        top = F.try_variant_get(F.get(s["stack"], F.lit(0)), "$", fields)
+        return F.when(s["found"].isNotNull() | (F.size(s["stack"]) == 0), s).otherwise(let(top, lambda t: further(t, F.slice(s["stack"], 2, F.size(s["stack"])))))
+
+    def search(root: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("found"), F.array(root).alias("stack")).cast(kind)
+        steps = F.size(F.split(F.to_json(root), '"(?:info|metadata)"'))
+        return F.when(root.isNotNull(), F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["found"]))
+
+    return let(F.try_variant_get(col(v), path, "variant"), search)
 
 
 def tool_result_text(v: Column) -> Column:

@@ -78,3 +78,12 @@ def test_diffs_of_ids_that_sources_share(spark):
     pairs = spark.createDataFrame([("1", "2", "claude", "gemini")], "a string, b string, a_source string, b_source string")
     assert [(r["a_source"], r["b_source"]) for r in D.diff_sessions(pairs, stats).collect()] == [("claude", "gemini")]
     assert D.diff_sessions(pairs.select("a", "b"), stats).count() == 4
+
+
+def test_model_steps_look_at_a_value_once(spark):
+    deep = lambda n, end: '{"info":{"x":[]},"metadata":' * n + end + "}" * n
+    cases = [(deep(120, '{"model":"m"}'), "m"), (deep(120, '{"x":1}'), None), ('{"info":null,"metadata":{"info":[{"model":"a"}],"metadata":{"model":1,"model_name":" b "}}}', "b"), ('[{"model":"a"}]', None), ('"model"', None), ('{"model":{"model":"a"},"info":"info","metadata":{"model":"c"}}', "c")]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(P.model_of(F.try_parse_json("t")).alias("m"))
+    assert [r["m"] for r in df.collect()] == [m for _, m in cases]
+    # no schema of a whole subtree is made in a step, only those of the two names
+    assert df._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == 2
