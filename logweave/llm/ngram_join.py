@@ -147,13 +147,13 @@ def token_counts(chunks: DataFrame) -> DataFrame:
     return chunks.where("kind = 1").select("chunk", "part", "counts", "tokens").groupBy("part").applyInArrow(count, "chunk string, part int, counts binary")
 
 
-def _with_counts(chunks: DataFrame, counts: DataFrame, per_chunk, schema: str) -> DataFrame:
-    """Apply per_chunk(head row, count of each of the chunk's distinct tokens) -> table to every chunk."""
+def _with_counts(chunks: DataFrame, counts: DataFrame, per_chunk, schema: str, kind: str = "<u2") -> DataFrame:
+    """Apply per_chunk(head row, count of each of the chunk's distinct tokens) -> table to every chunk; ``kind`` is a count's type."""
 
     def meet(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
         head, rest = rows[0], rows[1:]
-        got = np.frombuffer(b"".join(r["counts"] for r in rest), "<u2")
+        got = np.frombuffer(b"".join(r["counts"] for r in rest), kind)
         return per_chunk(head, got)
 
     heads = chunks.where("kind = 0").select("chunk", "part", "doc_ids", "marks", "sizes", "signs", "counts", "tokens")
@@ -343,11 +343,13 @@ def _solve_blocks(percent: int):
 def hub_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of documents with the first documents of their postings.
 
-    A hub of many documents is copied, once for HUB_ROWS of them, so no task compares all that share a hub.
+    A hub of many documents is copied, once for HUB_ROWS of them, so no task compares all that share a hub. Hubs are told in
+    chunks, as in the screen: no posting is joined row by row.
     """
-    first = written(keys.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")), "hubs")
-    pairs = join_groups(keys.select("token", F.col("doc_id").alias("a")), first, "token", "n").where("a != b").select("a", "b").distinct()
-    pairs = written(pairs, "hub-pairs")
+    docs = written(keys.groupBy("doc_id").agg(F.collect_list("token").alias("tokens")).select("doc_id", F.col("doc_id").alias("group"), F.lit(0).alias("least"), "tokens"), "key-sets")
+    chunks = written(group_chunks(docs, _ranges(docs)), "key-chunks")
+    pairs = written(_with_counts(chunks, group_spans(chunks, first=True), _hub_pairs, "a long, b long", "<i8").distinct(), "hub-pairs")
+    discard(docs, chunks)
     many = written(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
     copies = F.ceil(F.col("n") / HUB_ROWS).cast("int")
     ask = join_groups(pairs, many, "b", "n").select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"))
@@ -356,46 +358,73 @@ def hub_links(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = ask.join(member.hint("merge"), "a").join(hub.hint("merge"), ["b", "copy"])
     both = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("n"))
     links = written(both.where(100 * F.col("o") >= percent * (F.col("n") - F.col("o"))).select("a", "b"), "hub-links")
-    discard(first, pairs, many)
+    discard(pairs, many)
     return links
 
 
-def open_keys(keys: DataFrame) -> DataFrame:
-    """The rows of ``keys(token, group, ...)`` whose token stands in two groups, with the number of rows ``n`` of their token."""
-    spread = keys.groupBy("token").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("open")).where("open").select("token", "n")
-    spread = written(spread, "open-tokens")
-    return join_groups(keys, spread, "token", "n")
+def _ranges(sets: DataFrame) -> int:
+    """Into how many ranges the tokens of the sets are dealt."""
+    return int((sets.agg(F.sum(F.size("tokens"))).first()[0] or 0) // RANGE_TOKENS) + 1
+
+
+def _hub_pairs(head: dict, first: np.ndarray) -> pa.Table:
+    """Each document with the first documents of its tokens, but for itself."""
+    ids = np.array(head["doc_ids"], dtype=np.int64)
+    a, b = np.repeat(ids, head["sizes"]), first[np.frombuffer(head["tokens"], "<u4")]
+    a, b = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _opened(head: dict, open_: np.ndarray) -> pa.Table:
+    ids = np.array(head["doc_ids"], dtype=np.int64)
+    owner = np.repeat(np.arange(len(ids)), head["sizes"])
+    n = np.bincount(owner[open_[np.frombuffer(head["tokens"], "<u4")] > 0], minlength=len(ids))
+    return pa.table({"doc_id": pa.array(ids[n >= np.array(head["marks"], dtype=np.int64)], pa.int64())})
+
+
+def open_enough(sets: DataFrame) -> DataFrame:
+    """Ids of ``sets(doc_id, group, least, tokens)`` of which at least ``least`` tokens stand in sets of other groups too."""
+    chunks = written(group_chunks(sets, _ranges(sets)), "left-chunks")
+    left = written(_with_counts(chunks, group_spans(chunks), _opened, "doc_id long").distinct(), "left-ids")
+    discard(chunks)
+    return left
 
 
 def sifted(keys: DataFrame) -> DataFrame:
-    """``keys(token, doc_id, group, least, ...)`` without the documents that share fewer than ``least`` of their tokens with other groups."""
-    open_ = written(open_keys(keys).drop("n"), "open-keys")
-    enough = open_.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("doc_id")
-    kept = written(open_.join(enough.hint("merge"), "doc_id", "left_semi"), "sifted-keys")
-    discard(open_)
+    """``keys(token, doc_id, group, least, ...)`` without the documents that share fewer than ``least`` of their tokens with other groups.
+
+    The tokens are looked at in chunks, a row a document: no posting is joined row by row.
+    """
+    docs = written(keys.groupBy("doc_id").agg(F.first("group").alias("group"), F.first("least").alias("least"), F.collect_list("token").alias("tokens")), "key-sets")
+    enough = open_enough(docs)
+    kept = written(keys.join(enough.hint("merge"), "doc_id", "left_semi"), "sifted-keys")
+    discard(docs, enough)
     return kept
 
 
-def group_spans(chunks: DataFrame) -> DataFrame:
-    """Per chunk and range, for each of the chunk's distinct tokens whether documents of two groups hold it (1) or not (0)."""
+def group_spans(chunks: DataFrame, first: bool = False) -> DataFrame:
+    """Per chunk and range, for each of the chunk's distinct tokens whether documents of two groups hold it (1) or not (0).
+
+    With ``first`` the least group that holds it.
+    """
 
     def span(table: pa.Table) -> pa.Table:
         tokens = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
         ends = [np.frombuffer(x, "<i8").reshape(2, -1) for x in table.column("counts").to_pylist()]
         flat = np.concatenate(tokens)
         order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-        low, high = (f.reduceat(np.concatenate([e[k] for e in ends])[order], first) for k, f in enumerate((np.minimum, np.maximum)))
-        open_ = np.empty(len(flat), "<u2")
-        open_[order] = np.repeat(low != high, np.diff(np.r_[first, len(flat)]))
+        begin = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+        low, high = (f.reduceat(np.concatenate([e[k] for e in ends])[order], begin) for k, f in enumerate((np.minimum, np.maximum)))
+        told = np.empty(len(flat), "<i8" if first else "<u2")
+        told[order] = np.repeat(low if first else low != high, np.diff(np.r_[begin, len(flat)]))
         cuts = np.cumsum([len(t) for t in tokens])[:-1]
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": pa.array([x.tobytes() for x in np.split(open_, cuts)], pa.binary())})
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": pa.array([x.tobytes() for x in np.split(told, cuts)], pa.binary())})
 
     return chunks.where("kind = 1").select("chunk", "part", "counts", "tokens").groupBy("part").applyInArrow(span, "chunk string, part int, counts binary")
 
 
 def group_chunks(sets: DataFrame, parts: int) -> DataFrame:
-    """Chunks over whole sets (doc_id, group, tokens); with each distinct token go its least and largest group."""
+    """Chunks over sets (doc_id, group, least, tokens), ``least`` as mark; with each distinct token go its least and largest group."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -414,7 +443,7 @@ def group_chunks(sets: DataFrame, parts: int) -> DataFrame:
                 first = np.searchsorted(place[order], np.arange(len(distinct)))
                 ends = np.stack([f.reduceat(group[order], first) for f in (np.minimum, np.maximum)]) if len(distinct) else np.zeros((2, 0), np.int64)
                 chunk = f"{name}-{k}"
-                yield _pack(0, chunk, -1, doc_ids=batch.column("doc_id").to_pylist(), sizes=size.tolist(), tokens=place.astype("<u4").tobytes())
+                yield _pack(0, chunk, -1, doc_ids=batch.column("doc_id").to_pylist(), marks=batch.column("least").to_pylist(), sizes=size.tolist(), tokens=place.astype("<u4").tobytes())
                 edge = np.searchsorted((distinct >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
                 for r in np.flatnonzero(np.diff(edge)):
                     x, y = edge[r], edge[r + 1]
@@ -426,16 +455,6 @@ def group_chunks(sets: DataFrame, parts: int) -> DataFrame:
     return sets.mapInArrow(split, CHUNKS)
 
 
-def _opened(percent: int):
-    def judge(head: dict, open_: np.ndarray) -> pa.Table:
-        size = np.array(head["sizes"], dtype=np.int64)
-        owner = np.repeat(np.arange(len(size)), size)
-        n = np.bincount(owner[open_[np.frombuffer(head["tokens"], "<u4")] > 0], minlength=len(size))
-        return pa.table({"doc_id": pa.array(np.array(head["doc_ids"], dtype=np.int64)[n >= needed(size, percent)])})
-
-    return judge
-
-
 def shared_enough(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``keys`` of the documents that can link with another group.
 
@@ -445,12 +464,11 @@ def shared_enough(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     prefix = sifted(keys)
     docs = prefix.groupBy("doc_id").agg(F.first("group").alias("group"))
-    whole = written(docs.join(sets.hint("merge"), "doc_id").select("doc_id", "group", "tokens"), "left-sets")
-    total = whole.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    chunks = written(group_chunks(whole, int(total // RANGE_TOKENS) + 1), "left-chunks")
-    left = _with_counts(chunks, group_spans(chunks), _opened(percent), "doc_id long").distinct()
+    need = F.floor((F.size("tokens") * percent + 99) / 100).cast("int").alias("least")
+    whole = written(docs.join(sets.hint("merge"), "doc_id").select("doc_id", "group", need, "tokens"), "left-sets")
+    left = open_enough(whole)
     kept = written(prefix.join(left.hint("merge"), "doc_id", "left_semi"), "left-keys")
-    discard(prefix, whole, chunks)
+    discard(prefix, whole, left)
     return kept
 
 

@@ -35,3 +35,22 @@ def test_sifting_nothing(spark):
     sets = spark.createDataFrame([(1, [5, 6]), (2, [7])], "doc_id long, tokens array<long>")
     keys = spark.createDataFrame([(5, 1, 2, True, 1, 1), (7, 2, 1, True, 1, 2)], "token long, doc_id long, size int, key boolean, least int, `group` long")
     assert N.shared_enough(keys, sets, 80).count() == 0
+
+
+def test_near_copies_are_not_joined_row_by_row(spark, monkeypatch):
+    r, rows, join = random.Random(7), [], N.join_groups
+    monkeypatch.setattr(N, "join_groups", lambda part, groups, key, size: rows.append(part.count() if key == "token" else 0) or join(part, groups, key, size))
+    base = [r.randrange(2**62) for _ in range(100)]
+    near = [(k, sorted(base[: 90 + k % 5] + [r.randrange(2**62)])) for k in range(200)]
+    links = N.near_links(spark.createDataFrame(near, "doc_id long, tokens array<long>"), 80)
+    parent = list(range(200))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links.collect():
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {root(x) for x in range(200)} == {0}
+    assert sum(rows) < 200
